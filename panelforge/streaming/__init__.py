@@ -1,0 +1,8 @@
+"""Streaming.
+
+The original pipeline has no streaming input, watermark or windowed state: it
+is a batch pipeline over survey waves.  Nothing is built here on purpose; the
+batch operators are plain DataFrame transformations, so they also apply to a
+``readStream`` source inside ``foreachBatch`` when a run log arrives as a
+stream of files (see ``panelforge.sources.files.log_run``).
+"""
