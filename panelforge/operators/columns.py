@@ -112,43 +112,53 @@ def _ranked(imp: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def feature_set(name: str, available: DataFrame, imp: DataFrame, top_n=(8, 50),
                 min_imp: float = 5.0) -> DataFrame:
-    """Named feature set as (feature, pos): ``wave`` first, then members.
-
-    top8 / top50: the first n of the importance ranking, then dropped when
-    not in the data (not "top n among available"); min_imp_5: importance >
-    ``min_imp``; all: every non-key, non-target, non-temporal column;
-    temporal_only: ``*_delta`` / ``*_pct_change``; top50_plus_temporal.
+    """Named feature set as (feature, pos): ``wave`` first (pos 0), then members.
+
+    ``available`` is (feature, pos) of the data's columns.  top8 / top50: the
+    first n of the importance ranking, dropped when not in the data (not
+    "top n among available"); min_imp_5: importance > ``min_imp``; all:
+    every non-key, non-target, non-temporal column; temporal_only:
+    ``*_delta`` / ``*_pct_change``; top50_plus_temporal: top50 then temporal.
+    Importance members are ordered by importance, column members by column
+    position; positions are dense and come from the bucketed rank (no
+    one-partition window).
     """
+    from ..functions.prefix import global_rank
     avail = available.select("feature", F.col("pos").alias("_col_pos"))
     temporal = F.col("feature").endswith("_delta") | F.col("feature").endswith("_pct_change")
+    not_wave = F.col("feature") != "wave"
     n8, n50 = top_n
+
+    def by_importance(members):
+        return global_rank(members.filter(not_wave), "importance", True, ["feature"])
+
+    def by_position(members):
+        return global_rank(members.filter(not_wave), "_col_pos", False, ["feature"])
+
     if name in ("top8", "top50", "top50_plus_temporal"):
         k = n8 if name == "top8" else n50
-        members = (top_importances(imp, k).select("feature", "importance")
-                   .join(avail, "feature", "inner")
-                   .select("feature", F.struct(F.lit(0), -F.col("importance"),
-                                               F.col("feature")).alias("_o")))
+        head = by_importance(top_importances(imp, k).select("feature", "importance")
+                             .join(avail, "feature", "left_semi"))
+        ranked = head.select("feature", "pos")
         if name == "top50_plus_temporal":
-            members = members.unionByName(
-                avail.filter(temporal).select("feature", F.struct(
-                    F.lit(1), F.col("_col_pos").cast("double"), F.col("feature")).alias("_o")))
+            n_head = head.agg(F.count(F.lit(1)).alias("_k"), F.lit(1).alias("_one"))
+            tail = by_position(avail.filter(temporal).join(head.select("feature"), "feature", "left_anti"))
+            # one-row count: broadcast of bounded size
+            tail = (tail.withColumn("_one", F.lit(1)).join(F.broadcast(n_head), "_one")
+                    .select("feature", (F.col("pos") + F.col("_k")).alias("pos")))
+            ranked = ranked.unionByName(tail)
     elif name == "min_imp_5":
-        members = (min_importance(imp, min_imp).join(avail, "feature", "inner")
-                   .select("feature", F.struct(F.lit(0), -F.col("importance"),
-                                               F.col("feature")).alias("_o")))
+        ranked = by_importance(min_importance(imp, min_imp).select("feature", "importance")
+                               .join(avail, "feature", "left_semi")).select("feature", "pos")
     elif name == "all":
         bad = F.col("feature").isin("id", "wave") | F.col("feature").startswith("target_") | temporal
-        members = avail.filter(~bad).select("feature", F.struct(
-            F.lit(0), F.col("_col_pos").cast("double"), F.col("feature")).alias("_o"))
+        ranked = by_position(avail.filter(~bad)).select("feature", "pos")
     elif name == "temporal_only":
-        members = avail.filter(temporal).select("feature", F.struct(
-            F.lit(0), F.col("_col_pos").cast("double"), F.col("feature")).alias("_o"))
+        ranked = by_position(avail.filter(temporal)).select("feature", "pos")
     else:
         raise ValueError(f"unknown feature set: {name}")
-    members = members.filter(F.col("feature") != "wave")
-    ordered = members.withColumn("pos", F.row_number().over(Window.orderBy("_o"))).drop("_o")
-    head = available.sparkSession.createDataFrame([("wave", 0)], "feature string, pos int")
-    return head.unionByName(ordered.select("feature", F.col("pos").cast("int")))
+    head_row = available.sparkSession.createDataFrame([("wave", 0)], "feature string, pos long")
+    return head_row.unionByName(ranked.select("feature", F.col("pos").cast("long")))
 
 
 # -- P12 --------------------------------------------------------------------

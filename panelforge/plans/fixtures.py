@@ -141,10 +141,10 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     per_task = ev.groupBy("user_id", F.upper("event_type").alias("task")).agg(
         F.min("ts").alias("task_start"),
-        F.round(F.lit(0.5) + F.avg("value") / 1000, 4).alias("roc"),
-        F.round(F.avg("value") / 500, 4).alias("pr"),
-        F.round(F.max("value") / 1000, 4).alias("f2"),
-        F.round(F.sum("value") / 10, 2).alias("time_sec"))
+        F.round(F.lit(0.5) + F.avg("value") / 1000, 6).alias("roc"),
+        F.round(F.avg("value") / 500, 6).alias("pr"),
+        F.round(F.max("value") / 1000, 6).alias("f2"),
+        F.round(F.sum("value") / 10, 6).alias("time_sec"))
     run_w = Window.partitionBy("user_id")
     return per_task.select(
         F.concat(F.lit("run_"), uid.cast("string")).alias("run_id"),
@@ -239,8 +239,8 @@ CTES: dict[str, tuple[list[str], str]] = {
                max(p_retailprice) AS importance FROM part GROUP BY 1, 2"""),
     "runs_task": ([], """
         SELECT user_id, upper(event_type) AS task, min(ts) AS task_start,
-               round(0.5 + avg(value) / 1000, 4) AS roc, round(avg(value) / 500, 4) AS pr,
-               round(max(value) / 1000, 4) AS f2, round(sum(value) / 10, 2) AS time_sec
+               round(0.5 + avg(value) / 1000, 6) AS roc, round(avg(value) / 500, 6) AS pr,
+               round(max(value) / 1000, 6) AS f2, round(sum(value) / 10, 6) AS time_sec
         FROM events GROUP BY 1, 2"""),
     "runs": (["runs_task"], f"""
         SELECT 'run_' || CAST(user_id AS VARCHAR) AS run_id,
