@@ -1 +1,131 @@
-"""Queries."""
+"""Queries: sources and sinks.
+
+File-based sources first write their input with Spark into a fresh folder
+under the shared checkpoint folder, then read it back.
+"""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..session import scratch_path
+from ..sources import files as IO
+from . import fixtures as fx
+from .q_panel import oracle
+from .registry import query
+
+
+@query("scan_parquet", "SELECT * FROM customer")
+def q_scan_parquet(spark, sf):
+    return IO.read_table(spark, f"{sf}/customer.parquet")
+
+
+@query("scan_limited", "SELECT * FROM customer ORDER BY c_custkey LIMIT 100")
+def q_scan_limited(spark, sf):
+    return IO.read_wide(spark, f"{sf}/customer.parquet", sample_rows=100, key="c_custkey")
+
+
+@query("source_coverage", """
+    SELECT count(*) AS total_rows, least(count(*), 1000) AS used_rows,
+           round(100.0 * least(count(*), 1000) / count(*), 2)::DOUBLE AS pct_used FROM orders""")
+def q_source_coverage(spark, sf):
+    return IO.table_size(spark, f"{sf}/orders.parquet", sample_rows=1000)
+
+
+@query("sink_roundtrip", oracle(["model"], "SELECT * FROM model"))
+def q_sink_roundtrip(spark, sf):
+    path = IO.write_table(fx.model(spark, sf), scratch_path(spark, "model"), partition_by=["wave"])
+    return IO.read_table(spark, path)
+
+
+@query("scan_importances", oracle(["importances"], "SELECT * FROM importances"))
+def q_scan_importances(spark, sf):
+    path = IO.write_csv(fx.importances(spark, sf), scratch_path(spark, "importances"))
+    return IO.read_importances(spark, path)
+
+
+@query("feature_manifest", oracle(["importances"],
+                                  "SELECT feature, 'feature' AS role, 'importances' AS source FROM importances"))
+def q_feature_manifest(spark, sf):
+    from ..operators.columns import manifest
+    path = IO.write_csv(manifest(fx.importances(spark, sf), "feature", "importances"),
+                        scratch_path(spark, "manifest"))
+    return spark.read.option("header", "true").csv(path)
+
+
+@query("scan_feature_list", oracle(["importances"], "SELECT feature FROM importances"))
+def q_scan_feature_list(spark, sf):
+    imp = fx.importances(spark, sf)
+    lines = imp.select(F.concat(F.lit("  "), F.col("feature"), F.lit(" ")).alias("value"))
+    blanks = imp.select("grp").distinct().select(F.lit("   ").alias("value"))
+    path = scratch_path(spark, "features")
+    lines.unionByName(blanks).write.text(path)
+    return IO.read_feature_list(spark, path)
+
+
+def _run_summary(spark, sf):
+    from ..operators.runs import aggregate_metrics
+    return aggregate_metrics(fx.runs(spark, sf))
+
+
+@query("scan_run_records")
+def q_scan_run_records(spark, sf):
+    s = _run_summary(spark, sf)
+    rec = s.select(
+        F.col("run_id").alias("experiment_name"), F.col("run_id").alias("_run"),
+        F.struct(F.col("family").alias("type"), F.col("family").alias("name")).alias("architecture"),
+        F.struct("dropout").alias("regularization"), F.struct("optimizer").alias("optimization"),
+        F.struct("loss", "use_smote").alias("imbalance"),
+        F.struct("mean_roc_auc", "mean_pr_auc", "mean_f2_score", "std_roc_auc").alias("aggregate_metrics"),
+        "training_time_sec")
+    root = scratch_path(spark, "runs_json")
+    rec.write.partitionBy("_run").json(f"{root}/records")
+    s.agg(F.count(F.lit(1)).alias("n_runs")).write.json(f"{root}/summary")
+    spark.createDataFrame([("{not json",)], "value string").write.text(f"{root}/broken")
+    return IO.read_runs(spark, root, skip=r"/summary/", glob=None)
+
+
+@query("scan_tracking")
+def q_scan_tracking(spark, sf):
+    r = fx.runs(spark, sf)
+    ms = F.unix_millis(F.col("start_time").cast("timestamp"))
+    metrics = r.select("experiment", "run_id", F.lit("metrics").alias("kind"),
+                       F.concat(F.col("task"), F.lit("_roc_auc")).alias("key"),
+                       F.concat_ws(" ", ms.cast("string"), F.col("roc").cast("string"), F.lit("0")).alias("value"))
+    params = r.select("experiment", "run_id", F.lit("params").alias("kind"), F.lit("dropout").alias("key"),
+                      F.col("dropout").cast("string").alias("value")).distinct()
+    root = scratch_path(spark, "tracking")
+    metrics.unionByName(params).write.partitionBy("experiment", "run_id", "kind", "key").text(root)
+    return IO.read_tracking(spark, root)
+
+
+@query("discover_latest")
+def q_discover_latest(spark, sf):
+    root = scratch_path(spark, "imp_by_grp")
+    fx.importances(spark, sf).write.partitionBy("grp").option("header", "true").csv(root)
+    return IO.discover(spark, f"{root}/*/*.csv", by="size", group_regex=r"grp=([^/]+)/")
+
+
+@query("sink_json_roundtrip")
+def q_sink_json_roundtrip(spark, sf):
+    r = fx.runs(spark, sf)
+    nested = r.groupBy("run_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("task", F.struct("roc", "pr", "f2")))).alias("per_task"))
+    path = IO.write_json(nested, scratch_path(spark, "nested"))
+    back = spark.read.schema(nested.schema).json(path)
+    return back.select("run_id", F.explode("per_task").alias("task", "m")).select("run_id", "task", "m.*")
+
+
+@query("run_log_append")
+def q_run_log_append(spark, sf):
+    r = fx.runs(spark, sf)
+    now = F.current_timestamp()
+    params = r.select("experiment", "run_id", F.lit("params").alias("kind"), F.lit("loss").alias("key"),
+                      F.lit(None).cast("double").alias("value"), F.col("loss").alias("text"),
+                      now.alias("logged_at")).distinct()
+    metrics = r.select("experiment", "run_id", F.lit("metrics").alias("kind"),
+                       F.concat(F.col("task"), F.lit("_roc_auc")).alias("key"), F.col("roc").alias("value"),
+                       F.lit(None).cast("string").alias("text"), now.alias("logged_at"))
+    root = scratch_path(spark, "run_log")
+    IO.log_run(params, root)
+    IO.log_run(metrics, root)
+    return IO.read_run_log(spark, root)

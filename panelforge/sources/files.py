@@ -66,17 +66,21 @@ def read_importances(spark: SparkSession, path: str) -> DataFrame:
 
 # -- S5 ---------------------------------------------------------------------
 def read_runs(spark: SparkSession, path: str, schema: T.StructType | None = None,
-              skip=("summary.json",)) -> DataFrame:
-    """One nested run record per JSON file; summaries and corrupt files skipped."""
-    reader = (spark.read.option("multiLine", "true").option("mode", "PERMISSIVE")
+              skip: str = r"(^|/)summary\.json$", glob: str | None = "*.json",
+              multiline: bool = True) -> DataFrame:
+    """Nested run records (one per JSON file by default); files whose path
+    matches ``skip`` and corrupt records are dropped, not fatal."""
+    reader = (spark.read.option("multiLine", str(multiline).lower()).option("mode", "PERMISSIVE")
               .option("columnNameOfCorruptRecord", "_corrupt_record")
-              .option("pathGlobFilter", "*.json"))
+              .option("recursiveFileLookup", "true"))
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
     if schema is not None:
         schema = schema.add("_corrupt_record", T.StringType())
         reader = reader.schema(schema)
     df = reader.json(path)
-    df = df.withColumn("_file", F.col("_metadata.file_name"))
-    df = df.filter(~F.col("_file").isin(*skip))
+    df = df.withColumn("_file", F.col("_metadata.file_path"))
+    df = df.filter(~F.col("_file").rlike(skip))
     if "_corrupt_record" in df.columns:
         df = df.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
     return df
@@ -91,7 +95,10 @@ def read_feature_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 # -- S7 ---------------------------------------------------------------------
-TRACKING_PATH = r"([^/]+)/([^/]+)/(metrics|params)/([^/]+)$"
+# <experiment>/<run>/(metrics|params)/<key>, also as Hive-style folders
+# (experiment=../run_id=../kind=../key=../part-*) written by partitionBy.
+TRACKING_PATH = (r"(?:[^/=]+=)?([^/]+)/(?:[^/=]+=)?([^/]+)/(?:kind=)?(metrics|params)/"
+                 r"(?:key=)?([^/]+?)(?:/part-[^/]*)?$")
 
 
 def read_tracking(spark: SparkSession, root: str) -> DataFrame:
