@@ -1 +1,83 @@
-"""Queries."""
+"""Queries: model jobs (E1-E8) and synthetic oversampling.
+
+These are not SQL-expressible (iterative fits, neighbour search), so they
+carry no oracle; the tests check their invariants on small fixtures.
+"""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators.joins import experiment_grid
+from ..operators.smote import adasyn, smote
+from ..sources.files import read_table
+from . import fixtures as fx
+from . import models as MD
+from .fixtures import FEATURES, TARGETS
+from .registry import query
+
+_SMALL = {"lr": {"max_iter": 50}, "rf": {"n_estimators": 50, "max_depth": 6},
+          "gbt": {"n_estimators": 30, "max_depth": 4}, "mlp": {"max_iter": 50, "hidden": [16, 8]}}
+
+
+def _fit(model_type):
+    def run(spark, sf):
+        _, _, scored = MD.train_eval(fx.model(spark, sf), FEATURES, "target_URGE", model_type,
+                                     _SMALL[model_type], task="URGE")
+        return MD.metrics_row(scored).withColumn("model_type", F.lit(model_type))
+    return run
+
+
+query("train_logistic")(_fit("lr"))
+query("train_forest")(_fit("rf"))
+query("train_gbt")(_fit("gbt"))
+query("train_mlp")(_fit("mlp"))
+
+
+@query("feature_importance")
+def q_feature_importance(spark, sf):
+    model, used, _ = MD.train_eval(fx.model(spark, sf), FEATURES, "target_URGE", "gbt", _SMALL["gbt"])
+    return MD.feature_importance(spark, model, used)
+
+
+@query("train_conditions")
+def q_train_conditions(spark, sf):
+    return MD.train_conditions(fx.model(spark, sf), FEATURES, TARGETS, "lr", _SMALL["lr"])
+
+
+@query("run_condition")
+def q_run_condition(spark, sf):
+    return MD.run_condition(fx.model(spark, sf), "STF", FEATURES + ["BMI"], "gbt", sample=0.5,
+                            params=_SMALL["gbt"])
+
+
+@query("run_sweep")
+def q_run_sweep(spark, sf):
+    m = fx.model(spark, sf)
+    models = spark.createDataFrame([("lr",), ("rf",), ("bogus",)], "model string")
+    sets = {"all": FEATURES, "spend_only": ["SPEND", "N"]}
+    grid = experiment_grid(models, list(sets), smote=(False,))
+    return MD.run_sweep(m, grid, sets, "URGE")
+
+
+def _vectors(spark, sf, dims=16):
+    """One-vs-rest tasks over the embedding classes: rare positives."""
+    e = read_table(spark, f"{sf}/embeddings.parquet")
+    cols = [F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(dims)]
+    tasks = F.explode(F.sequence(F.lit(0), F.lit(9)))
+    return (e.select(F.col("vec_id").alias("id"), F.lit(0).alias("wave"), "label", *cols)
+            .withColumn("k", tasks)
+            .select(F.concat(F.lit("C"), F.col("k").cast("string")).alias("task"), "id", "wave",
+                    (F.col("label") == F.col("k")).cast("int").alias("label"),
+                    *[f"e{i}" for i in range(dims)]))
+
+
+@query("smote")
+def q_smote(spark, sf):
+    v = _vectors(spark, sf)
+    return smote(v, [c for c in v.columns if c.startswith("e")])
+
+
+@query("adasyn")
+def q_adasyn(spark, sf):
+    v = _vectors(spark, sf)
+    return adasyn(v, [c for c in v.columns if c.startswith("e")])
