@@ -46,9 +46,11 @@ def _prev_precision():
 def _curve_aggs():
     P, N = F.col("P"), F.col("N")
     prec = F.col("tp") / (F.col("tp") + F.col("fp"))
-    roc = F.sum(F.col("pos") * ((N - F.col("fp")) + F.col("neg") / 2.0)) / (F.first(P) * F.first(N))
-    ap = F.sum(F.col("pos") / P * prec)
-    trap = F.sum(F.col("pos") / P * (prec + _prev_precision()) / 2.0)
+    roc = F.try_divide(F.sum(F.col("pos") * ((N - F.col("fp")) + F.col("neg") / 2.0)),
+                       F.first(P) * F.first(N))
+    recall_step = F.try_divide(F.col("pos"), P)
+    ap = F.sum(recall_step * prec)
+    trap = F.sum(recall_step * (prec + _prev_precision()) / 2.0)
     return roc, ap, trap
 
 

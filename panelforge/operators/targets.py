@@ -52,10 +52,14 @@ def incident_targets(df: DataFrame, conditions: list[str] | None = None, horizon
     """
     wanted = conditions if conditions is not None else [s for s, _ in SURVEY_CONDITIONS]
     present = [c for c in wanted if c in df.columns]
-    cols = {f"{prefix}{c}": incident_rule(F.col(c), [_ahead(c, k, key, time)
-                                                     for k in range(1, horizon + 1)])
-            for c in present}
-    out = df.withColumns(cols) if cols else df
+    if not present:
+        out = df
+    else:
+        # every lookahead value once (one Window node for all), then the rule
+        ahead = {f"_{c}_t{k}": _ahead(c, k, key, time) for c in present for k in range(1, horizon + 1)}
+        rules = {f"{prefix}{c}": incident_rule(F.col(c), [F.col(f"_{c}_t{k}") for k in range(1, horizon + 1)])
+                 for c in present}
+        out = df.withColumns(ahead).withColumns(rules).drop(*ahead)
     if max_wave is not None:
         out = out.filter(F.col(time) <= max_wave)
     return out
