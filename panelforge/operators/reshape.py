@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,14 +77,16 @@ def wide_to_long(df: DataFrame, key: str | None = None, prefix: str | None = Non
     if not per_wave:
         raise ValueError(f"no wave columns with prefix {prefix!r} in {df.columns[:20]}")
     ctype = {c: _common_type([types[m[c]] for _, m in per_wave if c in m]) for c in concepts}
-    structs: list[Column] = []
+    # SQL ``stack``: a code-generated generator, several times faster than
+    # ``inline(array(struct(...)))`` on wide rows; still a single narrow pass.
+    rows = []
     for w, mapping in per_wave:
-        fields = [F.lit(w).cast("int").alias(spec.time)]
-        for c in concepts:
-            src = F.col(mapping[c]) if c in mapping else F.lit(None)
-            fields.append(src.cast(ctype[c]).alias(c))
-        structs.append(F.struct(*fields))
-    long = df.select(F.col(key).cast("long").alias(spec.key), F.inline(F.array(*structs)))
+        vals = [f"CAST(`{mapping[c]}` AS {ctype[c].simpleString()})" if c in mapping
+                else f"CAST(NULL AS {ctype[c].simpleString()})" for c in concepts]
+        rows.append(", ".join([f"CAST({w} AS INT)"] + vals))
+    names = ", ".join([f"`{spec.time}`"] + [f"`{c}`" for c in concepts])
+    long = df.selectExpr(f"CAST(`{key}` AS BIGINT) AS `{spec.key}`",
+                         f"stack({len(rows)}, {', '.join(rows)}) AS ({names})")
     return nan_to_null(long, concepts) if nan_as_null else long
 
 

@@ -81,45 +81,66 @@ def build_estimator(model_type: str, params: dict, weighted: bool):
 
 
 def train_eval(df: DataFrame, feats: list[str], label: str, model_type: str = "gbt",
-               params: dict | None = None, spec: SplitSpec = SplitSpec(), task: str | None = None):
+               params: dict | None = None, spec: SplitSpec = SplitSpec(), task: str | None = None,
+               use_smote: bool = False):
     """Fit on the training waves, score the validation waves.
 
+    ``use_smote`` adds synthetic minority rows to the training side only
+    (a no-op when the minority share is already above the SMOTE ratio).
     Returns (model, used feature names, scored DataFrame (task, id, wave, label, prob)).
     """
     params = dict(params or {})
     d, used = _prepare(df, feats, label, model_type, spec)
     if not d.filter(F.col("split") == "train").take(1):
         raise ValueError(f"no training rows in waves {spec.train[0]}-{spec.train[1]}")
+    if use_smote:
+        from ..operators.smote import smote
+        cols = ["id", "wave", "label", "split", *used]
+        tr = d.filter(F.col("split") == "train").select(*cols).withColumn("task", F.lit("t"))
+        tr = smote(tr, used).drop("task", "synthetic")
+        d = tr.unionByName(d.filter(F.col("split") == "val").select(*cols))
     weighted = model_type in ("lr", "rf", "gbt")
     if weighted:
         d = _weights(d)
     d = VectorAssembler(inputCols=used, outputCol="features", handleInvalid="keep").transform(d)
+    # the prepared table feeds the iterative fit and the scoring: cache it
+    # for this call; the (small) scored validation rows stay cached instead
+    d = d.persist()
     train = d.filter(F.col("split") == "train")
     if model_type == "gbt":
         # early stopping on the last training wave, never on the reported split
         train = train.withColumn("_inner_val", F.col("wave") == spec.train[1])
     if model_type == "mlp":
         params.setdefault("layers", [len(used)] + list(params.pop("hidden", [16, 8])) + [2])
-    # iterative learners scan their input many times: keep it cached for the fit
-    train = train.persist()
     try:
         model = build_estimator(model_type, params, weighted).fit(train)
+        val = d.filter(F.col("split") == "val")
+        scored = (model.transform(val)
+                  .select(F.lit(task or label).alias("task"), "id", "wave", "label",
+                          vector_to_array("probability")[1].alias("prob"))).persist()
+        scored.count()
     finally:
-        train.unpersist()
-    val = d.filter(F.col("split") == "val")
-    scored = (model.transform(val)
-              .select(F.lit(task or label).alias("task"), "id", "wave", "label",
-                      vector_to_array("probability")[1].alias("prob")))
+        d.unpersist()
     return model, used, scored
 
 
 def metrics_row(scored: DataFrame) -> DataFrame:
-    """F2 at 0.5, average precision, ROC-AUC and best observed F2 threshold."""
-    f2 = M.fbeta_at(scored, 0.5, 2.0).withColumnRenamed("fbeta", "F2_score")
-    ap = M.average_precision(scored).withColumnRenamed("average_precision", "PR_AUC")
-    roc = M.roc_auc(scored).withColumnRenamed("roc_auc", "ROC_AUC")
-    best = M.best_fbeta_observed(scored, 2.0).select("task", "best_threshold")
-    out = f2.join(ap, "task").join(roc, "task").join(best, "task", "left")
+    """F2 at 0.5, average precision, ROC-AUC and best observed F2 threshold.
+
+    The scored validation rows are cached once (they come from a model
+    transform over a long lineage) and the curve points are built once.
+    """
+    s = scored.persist()
+    pts = M.curve_points(s).persist()
+    roc, ap, _ = M._curve_aggs()
+    curve = pts.groupBy("task").agg(
+        F.when((F.first("P") > 0) & (F.first("N") > 0), roc).alias("ROC_AUC"),
+        F.when(F.first("P") > 0, ap).alias("PR_AUC"))
+    f = M._fbeta(F.col("tp"), F.col("fp"), F.col("P") - F.col("tp"), 2.0)
+    best = (pts.filter(F.col("P") > 0).withColumn("f", f).groupBy("task")
+            .agg(F.max_by(F.col("prob"), F.struct(F.col("f"), -F.col("prob"))).alias("best_threshold")))
+    f2 = M.fbeta_at(s, 0.5, 2.0).withColumnRenamed("fbeta", "F2_score")
+    out = f2.join(curve, "task").join(best, "task", "left")
     return out.select("task", F.round("F2_score", 4).alias("F2_score"), F.round("PR_AUC", 4).alias("PR_AUC"),
                       F.round("ROC_AUC", 4).alias("ROC_AUC"),
                       F.round("best_threshold", 3).alias("best_F2_threshold"))
@@ -165,7 +186,7 @@ def train_conditions(df: DataFrame, feats: list[str], targets: list[str], model_
 
 def run_condition(df: DataFrame, condition: str, feats: list[str], model_type: str = "gbt",
                   sample: float | None = None, params: dict | None = None,
-                  min_rows: int = 1) -> DataFrame:
+                  min_rows: int = 1, use_smote: bool = False) -> DataFrame:
     """Config-driven single-condition run: optional exact-size sample,
     feature override (missing ones skipped), fail-fast row checks."""
     target = f"target_{condition}"
@@ -178,7 +199,7 @@ def run_condition(df: DataFrame, condition: str, feats: list[str], model_type: s
     labelled = d.filter(F.col(target).isNotNull())
     if len(labelled.select("id").take(min_rows)) < min_rows:
         raise ValueError(f"fewer than {min_rows} labelled rows for {target}")
-    _, _, scored = train_eval(d, present, target, model_type, params, task=condition)
+    _, _, scored = train_eval(d, present, target, model_type, params, task=condition, use_smote=use_smote)
     return metrics_row(scored).withColumn("model_type", F.lit(model_type))
 
 
@@ -190,7 +211,8 @@ def run_sweep(df: DataFrame, grid: DataFrame, feature_sets: dict[str, list[str]]
     rows = []
     for g in grid.orderBy("model", "feature_set", "use_smote").collect():
         try:
-            m = run_condition(df, condition, feature_sets[g["feature_set"]], g["model"]).first()
+            m = run_condition(df, condition, feature_sets[g["feature_set"]], g["model"],
+                              use_smote=bool(g["use_smote"])).first()
             rows.append((g["model"], g["feature_set"], bool(g["use_smote"]), m["ROC_AUC"], m["PR_AUC"],
                          m["F2_score"], None))
         except Exception as e:  # noqa: BLE001 - a failed run is a result row

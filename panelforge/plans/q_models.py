@@ -53,10 +53,11 @@ def q_run_condition(spark, sf):
 @query("run_sweep")
 def q_run_sweep(spark, sf):
     m = fx.model(spark, sf)
-    models = spark.createDataFrame([("lr",), ("rf",), ("bogus",)], "model string")
-    sets = {"all": FEATURES, "spend_only": ["SPEND", "N"]}
-    grid = experiment_grid(models, list(sets), smote=(False,))
-    return MD.run_sweep(m, grid, sets, "URGE")
+    models = spark.createDataFrame([("lr",), ("bogus",)], "model string")
+    sets = {"all": FEATURES}
+    grid = experiment_grid(models, list(sets), smote=(False, True))
+    # STF is the rarest condition: SMOTE has work to do there
+    return MD.run_sweep(m, grid, sets, "STF")
 
 
 def _vectors(spark, sf, dims=16):
