@@ -22,12 +22,21 @@ def _bucket_bounds(df: DataFrame, by: list[str], key: str, buckets: int) -> Data
     return df.groupBy(*by).agg(agg) if by else df.agg(agg)
 
 
-def with_buckets(df: DataFrame, by: list[str], key: str, buckets: int = 256) -> DataFrame:
+def with_buckets(df: DataFrame, by: list[str], key: str, buckets: int = 256,
+                 key_range: tuple[float, float] | None = None) -> DataFrame:
     """Add ``_bkt``: number of quantile bounds strictly below ``key``
-    (monotone in ``key``, so equal keys share a bucket)."""
+    (monotone in ``key``, so equal keys share a bucket).
+
+    ``key_range=(lo, hi)`` declares the key uniform on that range (e.g. a
+    hash): buckets are then equal-width and no quantile pass is needed.
+    """
     buckets = max(1, min(buckets, MAX_BUCKETS))
     if buckets == 1:
         return df.withColumn("_bkt", F.lit(0))
+    if key_range is not None:
+        lo, hi = key_range
+        b = F.floor((F.col(key).cast("double") - F.lit(float(lo))) / F.lit((hi - lo) / buckets))
+        return df.withColumn("_bkt", F.least(F.greatest(b, F.lit(0)), F.lit(buckets - 1)).cast("int"))
     bounds = _bucket_bounds(df, by, key, buckets)
     # one row per group: broadcast is bounded by the number of groups
     if not by:   # a single bounds row: join it on a constant key
@@ -40,7 +49,7 @@ def with_buckets(df: DataFrame, by: list[str], key: str, buckets: int = 256) ->
 
 def prefix_sums(df: DataFrame, by: list[str], key: str, values: dict[str, Column],
                 descending: bool = True, tiebreak: list[str] | None = None,
-                buckets: int = 256) -> DataFrame:
+                buckets: int = 256, key_range: tuple[float, float] | None = None) -> DataFrame:
     """Add ``cum_<name>``: sum of ``values[name]`` over all rows of the same
     ``by`` group that come at or before this row in the order of ``key``
     (descending by default), ties broken by ``tiebreak``.
@@ -48,7 +57,7 @@ def prefix_sums(df: DataFrame, by: list[str], key: str, values: dict[str, Column
     ``df`` should already be reduced (e.g. one row per distinct key).
     """
     tiebreak = tiebreak or []
-    b = with_buckets(df.withColumns({f"_v_{n}": c for n, c in values.items()}), by, key, buckets)
+    b = with_buckets(df.withColumns({f"_v_{n}": c for n, c in values.items()}), by, key, buckets, key_range)
     if descending:
         b = b.withColumn("_bkt", -F.col("_bkt"))
     kcol = F.col(key).desc() if descending else F.col(key).asc()
@@ -67,7 +76,8 @@ def prefix_sums(df: DataFrame, by: list[str], key: str, values: dict[str, Column
 
 
 def global_rank(df: DataFrame, key: str, descending: bool = True, tiebreak: list[str] | None = None,
-                by: list[str] | None = None, buckets: int = 256, name: str = "pos") -> DataFrame:
+                by: list[str] | None = None, buckets: int = 256, name: str = "pos",
+                key_range: tuple[float, float] | None = None) -> DataFrame:
     """1-based position of each row in the order (key, tiebreak) within ``by``."""
-    out = prefix_sums(df, by or [], key, {"_one": F.lit(1)}, descending, tiebreak, buckets)
+    out = prefix_sums(df, by or [], key, {"_one": F.lit(1)}, descending, tiebreak, buckets, key_range)
     return out.withColumnRenamed("cum__one", name)

@@ -14,6 +14,9 @@ from ..conf import RANDOM_STATE
 from ..functions.prefix import global_rank
 
 
+HASH_RANGE = (0.0, float(1 << 60))   # md5_hash is uniform on [0, 2^60)
+
+
 def md5_hash(cols: list[str], seed: int = RANDOM_STATE) -> Column:
     """A 60-bit non-negative integer from md5(key columns | seed)."""
     s = F.concat_ws("|", *[F.col(c).cast("string") for c in cols], F.lit(str(seed)))
@@ -60,7 +63,8 @@ def _first_n(df: DataFrame, n: Column, keys: list[str], seed: int, by: list[str]
     """Rows whose rank by (hash, keys) within ``by`` is <= ``n`` (a column,
     may come from a join)."""
     h = df.withColumn("_h", md5_hash(hash_cols or keys, seed))
-    ranked = global_rank(h, "_h", descending=False, tiebreak=keys, by=by, name="_pos")
+    ranked = global_rank(h, "_h", descending=False, tiebreak=keys, by=by, name="_pos",
+                         buckets=1024, key_range=HASH_RANGE)
     return ranked.filter(F.col("_pos") <= n).drop("_h", "_pos")
 
 
@@ -110,7 +114,8 @@ def oversample(df: DataFrame, label: str = "label", ratio: float = 1.0, by: str
     j = df.join(F.broadcast(counts), by)
     neg = j.filter(F.col(label) != 1).drop("_n1", "_m").withColumn("copy", F.lit(0))
     pos = j.filter(F.col(label) == 1).withColumn("_h", md5_hash(list(keys), seed))
-    pos = global_rank(pos, "_h", descending=False, tiebreak=list(keys), by=[by], name="_pos")
+    pos = global_rank(pos, "_h", descending=False, tiebreak=list(keys), by=[by], name="_pos",
+                      buckets=1024, key_range=HASH_RANGE)
     k = F.floor(F.col("_m") / F.col("_n1"))
     r = F.col("_m") - k * F.col("_n1")
     reps = k + F.when(F.col("_pos") <= r, 1).otherwise(0)

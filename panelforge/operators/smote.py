@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from ..conf import RANDOM_STATE, SMOTE_K, SMOTE_RATIO
 from ..functions.prefix import global_rank
-from .balance import md5_hash
+from .balance import HASH_RANGE, md5_hash
 
 
 def _projection(cols: list[str], seed: int):
@@ -126,7 +126,8 @@ def oversample_synthetic(df: DataFrame, cols: list[str], label: str = "label", b
         src = src.withColumn("_reps", F.round(share * F.col("_new")).cast("long"))
     else:
         src = src.withColumn("_h", md5_hash(keys, seed))
-        src = global_rank(src, "_h", descending=False, tiebreak=keys, by=[by], name="_hp")
+        src = global_rank(src, "_h", descending=False, tiebreak=keys, by=[by], name="_hp",
+                          buckets=1024, key_range=HASH_RANGE)
         per = F.floor(F.col("_new") / F.col("_nmin"))
         rem = F.col("_new") - per * F.col("_nmin")
         src = src.withColumn("_reps", (per + F.when(F.col("_hp") <= rem, 1).otherwise(0)).cast("long"))
