@@ -70,20 +70,16 @@ def read_runs(spark: SparkSession, path: str, schema: T.StructType | None = None
               multiline: bool = True) -> DataFrame:
     """Nested run records (one per JSON file by default); files whose path
     matches ``skip`` and corrupt records are dropped, not fatal."""
-    reader = (spark.read.option("multiLine", str(multiline).lower()).option("mode", "PERMISSIVE")
-              .option("columnNameOfCorruptRecord", "_corrupt_record")
+    # DROPMALFORMED: a corrupt file yields no record instead of failing the scan
+    reader = (spark.read.option("multiLine", str(multiline).lower()).option("mode", "DROPMALFORMED")
               .option("recursiveFileLookup", "true"))
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if schema is not None:
-        schema = schema.add("_corrupt_record", T.StringType())
         reader = reader.schema(schema)
     df = reader.json(path)
     df = df.withColumn("_file", F.col("_metadata.file_path"))
-    df = df.filter(~F.col("_file").rlike(skip))
-    if "_corrupt_record" in df.columns:
-        df = df.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    return df
+    return df.filter(~F.col("_file").rlike(skip))
 
 
 # -- S6 ---------------------------------------------------------------------
