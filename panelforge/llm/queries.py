@@ -60,3 +60,28 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_char
 def op7_secret_scan(spark, sf_dir):
     from .secrets import digest, find_secrets
     return digest(find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+
+
+@query
+def op1_decontaminate(spark, sf_dir):
+    from .decontam import contamination, digest
+    return digest(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+_WORDS = r"""list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
+SQL["op1_decontaminate"] = rf"""
+WITH b AS (SELECT item_id, ws, least(len(ws), 10) AS l FROM (SELECT item_id, {_WORDS} AS ws FROM benchmark) WHERE len(ws) > 0),
+bw AS (SELECT DISTINCT item_id, l, array_to_string(ws[i + 1:i + l], ' ') AS gram
+       FROM (SELECT *, unnest(range(len(ws) - l + 1)) AS i FROM b)),
+d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+dw AS (SELECT doc_id, i, l, array_to_string(ws[i + 1:i + l], ' ') AS gram
+       FROM (SELECT doc_id, ws, l, unnest(range(greatest(0, len(ws) - l + 1))) AS i FROM d, (SELECT DISTINCT l FROM bw))),
+h AS (SELECT doc_id, i, l, item_id FROM dw JOIN bw USING (l, gram)),
+n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + l)) AS p FROM (SELECT DISTINCT doc_id, i, l FROM h)) GROUP BY 1),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+       FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h WHERE item_id IS NOT NULL) GROUP BY 1)
+SELECT d.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
