@@ -85,3 +85,38 @@ SELECT d.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_ite
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)
 """
+
+
+@query
+def op9_merkle(spark, sf_dir):
+    from .merkle import fingerprints_and_edits
+    return fingerprints_and_edits(table(spark, sf_dir, "documents"))
+
+
+def _fingerprint_sql(text: str) -> str:
+    node = lambda kind, x, n: f"substr(md5('{kind}' || {x}), 1, {n})"
+    leaf = rf"list_transform(regexp_extract_all(p, '[^\n]{{1,32}}\n*|\n+'), lambda x: {node('L', 'x', 8)})"
+    par = f"list_transform([array_to_string({leaf}, '.')], lambda s: {node('P', 's', 8)} || '.' || s)[1]"
+    pars = rf"list_transform(regexp_extract_all({text}, '[^\n]*\n+|[^\n]+'), lambda p: {par})"
+    sec = f"list_transform([array_to_string(ps[i:i + 7], ';')], lambda s: {node('S', 's', 16)} || ':' || s)[1]"
+    body = f"list_transform([{pars}], lambda ps: array_to_string(list_transform(range(1, len(ps) + 1, 8), lambda i: {sec}), '|'))"
+    return f"list_transform({body}, lambda s: {node('R', 's', 32)} || '|' || s)[1]"
+
+
+def _likeness_sql(a: str, b: str) -> str:
+    leaves = lambda x: rf"list_distinct(regexp_extract_all({x}, '\.([0-9a-f]{{8}})', 1))"
+    x, y = leaves(a), leaves(b)
+    return f"CASE WHEN len({x}) + len({y}) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect({x}, {y})) / (len({x}) + len({y})) END"
+
+
+SQL["op9_merkle"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+f AS (SELECT *, {_fingerprint_sql('text')} AS fp FROM d),
+n AS (SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS nt, coalesce(lead(fp) OVER w, first_value(fp) OVER w) AS nf
+      FROM f WINDOW w AS (ORDER BY doc_id DESC NULLS LAST, text)),
+e AS (SELECT *, length(text) AS n_chars,
+      left(text, length(text) - length(text) // 3) || left(nt, length(text) // 3) AS edited FROM n),
+g AS (SELECT *, {_fingerprint_sql('edited')} AS ef FROM e)
+SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, fp AS fingerprint, ef AS edited_fingerprint,
+  {_likeness_sql('fp', 'ef')} AS near_edited, {_likeness_sql('fp', 'nf')} AS near_next FROM g
+"""
