@@ -120,3 +120,9 @@ g AS (SELECT *, {_fingerprint_sql('edited')} AS ef FROM e)
 SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, fp AS fingerprint, ef AS edited_fingerprint,
   {_likeness_sql('fp', 'ef')} AS near_edited, {_likeness_sql('fp', 'nf')} AS near_next FROM g
 """
+
+
+@query
+def op4_simhash(spark, sf_dir):
+    from .simhash import digest, near_duplicates
+    return digest(near_duplicates(table(spark, sf_dir, "documents"), shingle=4, distance=4))
