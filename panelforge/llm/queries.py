@@ -126,3 +126,10 @@ SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, fp AS fingerprint, ef A
 def op4_simhash(spark, sf_dir):
     from .simhash import digest, near_duplicates
     return digest(near_duplicates(table(spark, sf_dir, "documents"), shingle=4, distance=4))
+
+
+@query
+def op8_toxicity(spark, sf_dir):
+    from .toxicity import classify, digest, fit
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return digest(classify(docs, fit(docs, table(spark, sf_dir, "labels"))).drop("text"))
