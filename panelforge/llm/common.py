@@ -47,3 +47,24 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sum_blocks(parts: DataFrame, dtype: str, fan_in: int = 64) -> DataFrame:
+    """Sum arrays that the tasks of a job made: rows (part, block, payload), payload a zlib-packed
+    array of ``dtype``, give one row (block, payload) a block.  Groups of ``fan_in`` parts are
+    summed first, so no task reads the arrays of all tasks."""
+    import zlib
+
+    import numpy as np
+    import pandas as pd
+
+    def add(frame):
+        total = 0
+        for p in frame["payload"]:
+            total = total + np.frombuffer(zlib.decompress(p), dtype)
+        return pd.DataFrame({"part": [int(frame["part"].iloc[0])], "block": [int(frame["block"].iloc[0])],
+                             "payload": [zlib.compress(total.astype(dtype).tobytes(), 1)]})
+
+    schema = "part int, block int, payload binary"
+    first = parts.withColumn("part", (F.col("part") / fan_in).cast("int")).groupBy("part", "block").applyInPandas(add, schema)
+    return first.withColumn("part", F.lit(0)).groupBy("block").applyInPandas(add, schema)

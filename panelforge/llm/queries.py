@@ -133,3 +133,10 @@ def op8_toxicity(spark, sf_dir):
     from .toxicity import classify, digest, fit
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return digest(classify(docs, fit(docs, table(spark, sf_dir, "labels"))).drop("text"))
+
+
+@query
+def op10_quality(spark, sf_dir):
+    from .quality import classify, digest, fit
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return digest(classify(docs, fit(docs, table(spark, sf_dir, "labels"))).drop("text"))
