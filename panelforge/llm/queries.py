@@ -140,3 +140,10 @@ def op10_quality(spark, sf_dir):
     from .quality import classify, digest, fit
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return digest(classify(docs, fit(docs, table(spark, sf_dir, "labels"))).drop("text"))
+
+
+@query
+def op3_maxent_lm(spark, sf_dir):
+    from .lm import score, train
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score(docs, *train(docs))
