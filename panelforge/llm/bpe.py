@@ -240,10 +240,11 @@ def decode(df: DataFrame, ranks, pattern: str, ids_col: str = "ids", out: str =
     return _map_column(df, ids_col, out, T.BinaryType(), make)
 
 
-def digest(encoded: DataFrame) -> DataFrame:
-    """n_tokens, ids_sha256 and decoded_sha256 from the columns ids and decoded."""
+def digest(encoded: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """n_tokens, ids_sha256 and decoded_sha256 from the columns ids and decoded; ``keep`` names
+    columns to keep beside them."""
     return encoded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        "doc_id", *keep, F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
 

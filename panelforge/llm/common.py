@@ -68,3 +68,12 @@ def sum_blocks(parts: DataFrame, dtype: str, fan_in: int = 64) -> DataFrame:
     schema = "part int, block int, payload binary"
     first = parts.withColumn("part", (F.col("part") / fan_in).cast("int")).groupBy("part", "block").applyInPandas(add, schema)
     return first.withColumn("part", F.lit(0)).groupBy("block").applyInPandas(add, schema)
+
+
+def pack(docs: DataFrame, *named: str) -> tuple[DataFrame, list[Column]]:
+    """(frame, columns): the named columns and the others as one struct ``_rest``, so that no name of
+    theirs can clash with a working column; ``frame.select(columns)`` gives the columns of docs again."""
+    rest = [c for c in docs.columns if c not in named]
+    held = F.struct(*[docs[f"`{c}`"] for c in rest]) if rest else F.lit(0)
+    return docs.select(*[docs[f"`{c}`"] for c in named], held.alias("_rest")), [
+        F.col(f"`{c}`") if c in named else F.col("_rest").getField(c).alias(c) for c in docs.columns]

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, lower_ascii, same_row, small
+from .common import let, lower_ascii, pack, same_row, small, stage
 
 WINDOW = 10
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -127,6 +127,19 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
                          ids.alias("item_ids"), (n_hit > 0).alias("contaminated"))
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` in which no item's window occurs."""
+    spans = item_windows(items.select("item_id", "text"), window)
+    lengths = sorted(r[0] for r in spans.select("length").distinct().collect())
+    if not lengths:
+        return docs
+    bad = stage(document_hits(docs.select("doc_id", "text"), spans, lengths).select(
+        F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct(), "contaminated")
+    found = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_h"))
+    packed, columns = pack(docs, "doc_id", "text")
+    return packed.join(small(bad), found, "left_anti").select(columns)
+
+
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items",
                         F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")

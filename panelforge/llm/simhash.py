@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import pack, stage
 
 LIST = 2048
 SEED = 42
@@ -217,9 +217,10 @@ def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
     found = near_duplicates(docs, shingle, distance)
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(
         F.min(F.struct("doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("_d"), F.col("k.text_hash").alias("_h"))
-    keyed = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    packed, columns = pack(docs, "doc_id", "text")
+    keyed = packed.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     return keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h")), "left_semi").dropDuplicates(
-        ["doc_id", "_hash"]).select(*docs.columns)
+        ["doc_id", "_hash"]).select(columns)
 
 
 def digest(found: DataFrame) -> DataFrame:
