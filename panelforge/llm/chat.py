@@ -67,7 +67,7 @@ class Flatten:
 
     def visit_turn(self, role: str, parts) -> None:
         self.write(TURN + escape(role) + BODY)
-        for p in parts or ():
+        for p in () if parts is None else parts:
             if p is not None:
                 getattr(self, "visit_" + (p["type"] or "text"), self.visit_unknown)(p, role)
         self.write(END)

@@ -40,13 +40,8 @@ def same_row(a: DataFrame, b: DataFrame, *cols: str) -> Column:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table below the shared checkpoint folder and read back: cuts the lineage
     and survives lost executors. The table goes when the application ends."""
-    from panelforge.session import scratch_path
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
+    from panelforge.session import cut_lineage
+    return cut_lineage(df, name)
 
 
 def sum_blocks(parts: DataFrame, dtype: str, fan_in: int = 64) -> DataFrame:

@@ -35,10 +35,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(text), SEPARATOR), "")
 
 
-def _length(n: Column, window: int) -> Column:
-    return F.least(n, F.lit(window))
-
-
 def winnow(ws: Column, length: int) -> Column:
     """array<(start, fp)>: the fingerprints of all windows of ``length`` words.  A fingerprint
     stands for the windows from its start up to the next start, at most ``length - k + 1``."""
@@ -46,25 +42,35 @@ def winnow(ws: Column, length: int) -> Column:
     span = length - k + 1
 
     def marks(w):
+        # get(), not slice(): inside a lambda slice() copies the whole array first
         n = F.size(w)
-        grams = F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.xxhash64(F.slice(w, i, k)))
-        least = lambda h: F.transform(F.sequence(F.lit(1), n - (length - 1)), lambda j: F.array_min(F.slice(h, j, span))) if span > 1 else h
-        every = lambda m: F.transform(m, lambda fp, j: F.struct(j.alias("start"), fp.alias("fp"), (
-            (j % span == 0) | (fp != F.get(m, j - 1))).alias("new")))
-        found = let(grams, lambda h: let(least(h), lambda m: F.filter(every(m), lambda x: x["new"])))
-        kept = F.transform(found, lambda x: F.struct(x["start"], x["fp"]))
-        return F.when(n >= length, kept).otherwise(F.array().cast("array<struct<start:int,fp:bigint>>"))
+        grams = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(*[F.get(w, i + x) for x in range(k)]))
+        starts = F.sequence(F.lit(0), n - length)
+
+        def kept(m):
+            new = F.filter(starts, lambda j: (j % span == 0) | (F.get(m, j) != F.get(m, j - 1)))
+            return F.transform(new, lambda j: F.struct(j.alias("start"), F.get(m, j).alias("fp")))
+
+        def least(h):
+            return kept(h) if span == 1 else let(
+                F.transform(starts, lambda j: F.least(*[F.get(h, j + x) for x in range(span)])), kept)
+
+        return F.when(n >= length, let(grams, least)).otherwise(F.array().cast("array<struct<start:int,fp:bigint>>"))
 
     return let(ws, marks)
 
 
+def _gram(ws: Column, at: Column, length: int) -> Column:
+    return F.concat_ws(" ", *[F.get(ws, at + x) for x in range(length)])
+
+
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     """Distinct (length, gram, item_id): the windows of all items; gram joins the words by spaces."""
     n = F.size("ws")
-    grams = F.transform(F.sequence(F.lit(1), n - F.col("length") + 1), lambda i: F.array_join(F.slice("ws", i, F.col("length")), " "))
+    grams = F.when(n >= window, F.transform(F.sequence(F.lit(0), n - window), lambda i: _gram(F.col("ws"), i, window))).otherwise(
+        F.array(F.concat_ws(" ", "ws")))
     ws = items.select("item_id", words(F.col("text")).alias("ws")).filter(n > 0)
-    return (ws.withColumn("length", _length(n, window))
-            .select("item_id", "length", F.explode(grams).alias("gram")).distinct())
+    return ws.select("item_id", F.least(n, F.lit(window)).alias("length"), F.explode(grams).alias("gram")).distinct()
 
 
 def _fingerprints(spans: DataFrame, length: int) -> DataFrame:
@@ -86,8 +92,8 @@ def document_hits(docs: DataFrame, spans: DataFrame, lengths: list[int]) -> Data
         near = F.slice("ws", F.col("m.start") + 1, length + span - 1)
         places = marks.join(small(_fingerprints(spans, length)), F.col("m.fp") == F.col("fp")).select(
             "doc_id", "text_hash", F.col("m.start").alias("at"), near.alias("near"))
-        extended = F.transform(F.sequence(F.lit(1), F.size("near") - (length - 1)), lambda i: F.struct(
-            (F.col("at") + i - 1).alias("start"), F.array_join(F.slice("near", i, length), " ").alias("gram")))
+        extended = F.transform(F.sequence(F.lit(0), F.size("near") - length), lambda i: F.struct(
+            (F.col("at") + i).alias("start"), _gram(F.col("near"), i, length).alias("gram")))
         windows = places.select("doc_id", "text_hash", F.explode(extended).alias("x")).select(
             "doc_id", "text_hash", F.col("x.start").alias("start"), F.lit(length).alias("length"), F.col("x.gram").alias("gram"))
         hits = windows.join(grams, ["length", "gram"]).select("doc_id", "text_hash", "start", "length", "gram")
@@ -114,7 +120,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
         lambda a, x: F.struct(F.greatest(a["end"], x["start"] + x["length"]).alias("end"),
                               (a["n"] + F.greatest(F.lit(0), x["start"] + x["length"] - F.greatest(a["end"], x["start"]))).alias("n")),
         lambda a: a["n"])
-    per_doc = per_doc.select("doc_id", "text_hash", covered.cast("long").alias("n_hit"), "grams")
+    per_doc = stage(per_doc.select("doc_id", "text_hash", covered.cast("long").alias("n_hit"), "grams"), "benchmark-hits")
     owners = spans.filter("item_id IS NOT NULL").select("gram", F.col("item_id").cast("string").alias("item"))
     listed = (per_doc.select("doc_id", "text_hash", F.explode("grams").alias("gram")).join(small(owners), "gram")
               .groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("item")).alias("item_ids")))

@@ -45,11 +45,12 @@ def fingerprint(text: Column) -> Column:
         return let(F.array_join(leaves, "."), lambda s: F.concat(_node("P", s, 8), F.lit("."), s))
 
     def section(ps, i):
-        return let(F.array_join(F.slice(ps, i, SECTION), ";"), lambda s: F.concat(_node("S", s, 16), F.lit(":"), s))
+        # get(), not slice(): inside a lambda slice() copies the whole array first
+        return let(F.concat_ws(";", *[F.get(ps, i + x) for x in range(SECTION)]), lambda s: F.concat(_node("S", s, 16), F.lit(":"), s))
 
     paragraphs = F.transform(F.regexp_extract_all(t, F.lit("[^\\n]*\\n+|[^\\n]+"), F.lit(0)), paragraph)
     sections = let(paragraphs, lambda ps: F.when(F.size(ps) > 0, F.transform(
-        F.sequence(F.lit(1), F.size(ps), F.lit(SECTION)), lambda i: section(ps, i))).otherwise(F.array().cast("array<string>")))
+        F.sequence(F.lit(0), F.size(ps) - 1, F.lit(SECTION)), lambda i: section(ps, i))).otherwise(F.array().cast("array<string>")))
     body = F.array_join(sections, "|")
     return let(body, lambda s: F.concat(_node("R", s, 32), F.lit("|"), s))
 
