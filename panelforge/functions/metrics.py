@@ -17,24 +17,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..conf import FBETA_GRID, FOCAL_ALPHA, FOCAL_GAMMA
-from .prefix import prefix_sums
+from ..session import cut_lineage
+from .prefix import join_groups, prefix_sums
 
 EPS = 1e-7
 
 
+def score_counts(scored: DataFrame, by: str = "task", label: str = "label", score: str = "prob") -> DataFrame:
+    """One row per (task, distinct score): pos, neg.  Written once, as every curve reads it several
+    times (bounds, running counts, totals)."""
+    return cut_lineage(scored.filter(F.col(label).isNotNull() & F.col(score).isNotNull())
+                       .groupBy(by, score)
+                       .agg(F.count_if(F.col(label) == 1).alias("pos"),
+                            F.count_if(F.col(label) == 0).alias("neg")), "score-counts")
+
+
 def curve_points(scored: DataFrame, by: str = "task", label: str = "label",
-                 score: str = "prob", buckets: int = 256) -> DataFrame:
+                 score: str = "prob", buckets: int | None = None) -> DataFrame:
     """One row per (task, distinct score): pos, neg, tp / fp at threshold
     ``>= score`` and the task totals P, N."""
-    pts = (scored.filter(F.col(label).isNotNull() & F.col(score).isNotNull())
-           .groupBy(by, score)
-           .agg(F.count_if(F.col(label) == 1).alias("pos"),
-                F.count_if(F.col(label) == 0).alias("neg")))
+    return points_of(score_counts(scored, by, label, score), by, score, buckets)
+
+
+def points_of(pts: DataFrame, by: str = "task", score: str = "prob", buckets: int | None = None) -> DataFrame:
+    """Curve points of ``score_counts``."""
     cum = prefix_sums(pts, [by], score, {"tp": F.col("pos"), "fp": F.col("neg")},
                       descending=True, buckets=buckets)
     totals = pts.groupBy(by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    # one row per task: bounded by the number of tasks
-    return cum.withColumnsRenamed({"cum_tp": "tp", "cum_fp": "fp"}).join(F.broadcast(totals), by)
+    return join_groups(cum.withColumnsRenamed({"cum_tp": "tp", "cum_fp": "fp"}), totals, [by])
 
 
 def _prev_precision():
@@ -123,6 +133,13 @@ def best_fbeta_grid(scored: DataFrame, beta: float = 2.0, by: str = "task", labe
                     score: str = "prob", grid=FBETA_GRID) -> DataFrame:
     """Best F-beta over the fixed grid; strict improvement from 0.0, so the
     lowest threshold wins ties and 0.5 is kept when nothing beats 0."""
+    rows = scored.filter(F.col(label).isNotNull() & F.col(score).isNotNull()).select(
+        by, score, (F.col(label) == 1).cast("long").alias("pos"), (F.col(label) == 0).cast("long").alias("neg"))
+    return _best_on_grid(rows, beta, by, score, grid)
+
+
+def _best_on_grid(counts: DataFrame, beta: float, by: str, score: str, grid=FBETA_GRID) -> DataFrame:
+    """The same from rows with the numbers of positives and negatives at a score."""
     n, delta = grid_thresholds(*grid)
     lo = grid[0]
 
@@ -133,9 +150,7 @@ def best_fbeta_grid(scored: DataFrame, beta: float = 2.0, by: str = "task", labe
     b0 = F.least(F.greatest(F.floor((p - F.lit(lo)) / F.lit(delta)) + 1, F.lit(0)), F.lit(n)).cast("int")
     b1 = F.when((b0 < n) & (p >= t(b0)), b0 + 1).otherwise(b0)
     b2 = F.when((b1 > 0) & (p < t(b1 - 1)), b1 - 1).otherwise(b1)
-    hist = (scored.filter(F.col(label).isNotNull() & p.isNotNull())
-            .groupBy(by, b2.alias("b"))
-            .agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")))
+    hist = counts.groupBy(by, b2.alias("b")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     # per task at most n + 1 rows: sums above each grid point in one small aggregate
     per_task = hist.groupBy(by).agg(
         F.collect_list(F.struct("b", "pos", "neg")).alias("h"),
@@ -189,12 +204,13 @@ def evaluate_tasks(scored: DataFrame, by: str = "task", label: str = "label", sc
     """Per task: ROC-AUC, trapezoid PR-AUC, best grid F2 and its threshold,
     sample and positive counts.  A single-class task reports 0, 0, 0, 0.5."""
     roc, _, trap = _curve_aggs()
-    curve = (curve_points(scored, by, label, score).groupBy(by)
+    counts = score_counts(scored, by, label, score)
+    curve = (points_of(counts, by, score).groupBy(by)
              .agg(roc.alias("_roc"), trap.alias("_pr"),
                   F.first("P").alias("n_positive"), (F.first("P") + F.first("N")).alias("n_samples")))
-    grid = best_fbeta_grid(scored, beta, by, label, score)
+    grid = _best_on_grid(counts, beta, by, score)
     two = (F.col("n_positive") > 0) & (F.col("n_positive") < F.col("n_samples"))
-    return (curve.join(grid, by).select(
+    return (join_groups(curve, grid, [by]).select(
         by,
         F.when(two, F.round("_roc", 4)).otherwise(F.lit(0.0)).alias("ROC_AUC"),
         F.when(two, F.round("_pr", 4)).otherwise(F.lit(0.0)).alias("PR_AUC"),
@@ -215,7 +231,7 @@ def weighted_log_loss(scored: DataFrame, weights: DataFrame | None = None, by: s
     tasks present as task ``__total__``."""
     s = scored.filter(F.col(label).isNotNull())
     if weights is not None:
-        s = s.join(F.broadcast(weights.select(by, "pos_weight")), by, "left")
+        s = s.join(weights.select(by, "pos_weight"), by, "left")
     else:
         s = s.withColumn("pos_weight", F.lit(1.0))
     p = _clip(F.col(score))
@@ -232,7 +248,7 @@ def focal_loss(scored: DataFrame, gamma: float = FOCAL_GAMMA, alpha: float = FOC
     """Mean focal loss per task; with ``weights`` alpha = min(w / 20, 0.75)."""
     s = scored.filter(F.col(label).isNotNull())
     if weights is not None:
-        s = s.join(F.broadcast(weights.select(by, "pos_weight")), by, "left")
+        s = s.join(weights.select(by, "pos_weight"), by, "left")
         a = F.least(F.coalesce(F.col("pos_weight"), F.lit(1.0)) / 20.0, F.lit(0.75))
     else:
         a = F.lit(alpha)

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..conf import RANDOM_STATE
-from ..functions.prefix import global_rank
+from ..functions.prefix import global_rank, join_groups
+from ..session import cut_lineage
 
 
 HASH_RANGE = (0.0, float(1 << 60))   # md5_hash is uniform on [0, 2^60)
@@ -46,8 +47,7 @@ def row_weights(df: DataFrame, weights: DataFrame, mode: str = "balanced", by: s
     """Attach a ``weight`` column: balanced (n / (2 n_class)) or
     scale_pos_weight (positives weighted n_neg / n_pos, negatives 1)."""
     w = weights.select(by, "weight_neg", "weight_pos", "scale_pos_weight")
-    # one row per task: bounded by the number of tasks
-    j = df.join(F.broadcast(w), by, "left")
+    j = df.join(w, by, "left")
     if mode == "balanced":
         wt = F.when(F.col(label) == 1, F.col("weight_pos")).otherwise(F.col("weight_neg"))
     elif mode == "scale_pos_weight":
@@ -58,25 +58,19 @@ def row_weights(df: DataFrame, weights: DataFrame, mode: str = "balanced", by: s
 
 
 # -- L4 ---------------------------------------------------------------------
-def _first_n(df: DataFrame, n: Column, keys: list[str], seed: int, by: list[str] | None = None,
-             hash_cols: list[str] | None = None) -> DataFrame:
-    """Rows whose rank by (hash, keys) within ``by`` is <= ``n`` (a column,
-    may come from a join)."""
-    h = df.withColumn("_h", md5_hash(hash_cols or keys, seed))
-    ranked = global_rank(h, "_h", descending=False, tiebreak=keys, by=by, name="_pos",
-                         buckets=1024, key_range=HASH_RANGE)
-    return ranked.filter(F.col("_pos") <= n).drop("_h", "_pos")
+def _hash_ranked(df: DataFrame, keys: list[str], seed: int, by: list[str] | None = None) -> DataFrame:
+    """``_pos``: position by (hash, keys) within ``by``."""
+    h = df.withColumn("_h", md5_hash(keys, seed))
+    return global_rank(h, "_h", descending=False, tiebreak=keys, by=by, name="_pos", key_range=HASH_RANGE).drop("_h")
 
 
 def sample_fraction(df: DataFrame, fraction: float, keys: list[str], seed: int = RANDOM_STATE) -> DataFrame:
     """Exactly max(1, int(N * fraction)) rows, chosen by hash order."""
     if not 0 < fraction <= 1:
         raise ValueError("fraction must be in (0, 1]")
-    n = df.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * F.lit(fraction)).cast("long"))
-               .alias("_n"), F.lit(1).alias("_one"))
-    # a single-row count: broadcast of bounded size
-    j = df.withColumn("_one", F.lit(1)).join(F.broadcast(n), "_one").drop("_one")
-    return _first_n(j, F.col("_n"), keys, seed).drop("_n")
+    df = cut_lineage(df, "sample")   # the table is counted and ranked
+    n = df.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * F.lit(fraction)).cast("long")).alias("_n"))
+    return join_groups(_hash_ranked(df, keys, seed), n, []).filter(F.col("_pos") <= F.col("_n")).drop("_pos", "_n")
 
 
 def sample_rows(df: DataFrame, n: int, keys: list[str]) -> DataFrame:
@@ -85,40 +79,35 @@ def sample_rows(df: DataFrame, n: int, keys: list[str]) -> DataFrame:
 
 
 # -- D4 ---------------------------------------------------------------------
-def _class_counts(df: DataFrame, by: str, label: str) -> DataFrame:
-    return df.groupBy(by).agg(F.count_if(F.col(label) == 1).alias("_n1"),
-                              F.count_if(F.col(label) == 0).alias("_n0"))
+def _with_counts(df: DataFrame, by: str, label: str, keys: list[str], seed: int) -> DataFrame:
+    """Rows with the class counts of their task (``_n1``, ``_n0``) and their position by hash among
+    the rows of their task and label; a NULL task is a task, a NULL label a class of its own."""
+    df = cut_lineage(df, "balance")   # the table is counted and ranked
+    counts = df.groupBy(by).agg(F.count_if(F.col(label) == 1).alias("_n1"),
+                                F.count_if(F.col(label) == 0).alias("_n0"))
+    return join_groups(_hash_ranked(df, keys, seed, [by, label]), counts, [by])
 
 
 def undersample(df: DataFrame, label: str = "label", ratio: float = 3.0, by: str = "task",
                 keys: list[str] = ("id",), seed: int = RANDOM_STATE) -> DataFrame:
-    """Keep every positive and at most ``ratio`` x positives negatives per
-    task (chosen by hash order)."""
-    counts = _class_counts(df, by, label).select(
-        by, F.floor(F.col("_n1") * F.lit(ratio)).cast("long").alias("_keep"))
-    # one row per task: bounded by the number of tasks
-    j = df.join(F.broadcast(counts), by)
-    pos = j.filter(F.col(label) == 1).drop("_keep")
-    neg = _first_n(j.filter(F.col(label) == 0), F.col("_keep"), list(keys), seed, by=[by]).drop("_keep")
-    return pos.unionByName(neg)
+    """Keep at most floor(``ratio`` x positives) negatives per task, chosen by
+    hash order.  Positives and rows without a label always stay, and a task
+    without positives has nothing to balance against, so all its rows stay."""
+    d = _with_counts(df, by, label, list(keys), seed)
+    keep = (F.col("_n1") == 0) | (F.col("_pos") <= F.floor(F.col("_n1") * F.lit(ratio)))
+    return d.filter(~F.coalesce(F.col(label) == 0, F.lit(False)) | keep).select(*df.columns)
 
 
 def oversample(df: DataFrame, label: str = "label", ratio: float = 1.0, by: str = "task",
                keys: list[str] = ("id",), seed: int = RANDOM_STATE) -> DataFrame:
     """Replicate positives until positives = floor(ratio x negatives) per
     task: every positive k times, the first r (hash order) once more.
-    Adds ``copy`` (0 = original).  Tasks already at the ratio are unchanged."""
-    counts = _class_counts(df, by, label).select(
-        by, "_n1", F.greatest(F.floor(F.col("_n0") * F.lit(ratio)).cast("long"), F.col("_n1"))
-        .alias("_m"))
-    j = df.join(F.broadcast(counts), by)
-    neg = j.filter(F.col(label) != 1).drop("_n1", "_m").withColumn("copy", F.lit(0))
-    pos = j.filter(F.col(label) == 1).withColumn("_h", md5_hash(list(keys), seed))
-    pos = global_rank(pos, "_h", descending=False, tiebreak=list(keys), by=[by], name="_pos",
-                      buckets=1024, key_range=HASH_RANGE)
-    k = F.floor(F.col("_m") / F.col("_n1"))
-    r = F.col("_m") - k * F.col("_n1")
-    reps = k + F.when(F.col("_pos") <= r, 1).otherwise(0)
-    pos = (pos.withColumn("copy", F.explode(F.sequence(F.lit(0), (reps - 1).cast("int"))))
-           .drop("_h", "_pos", "_n1", "_m"))
-    return neg.unionByName(pos)
+    Adds ``copy`` (0 = original).  Tasks already at the ratio, tasks without
+    positives and rows without a label are unchanged."""
+    d = _with_counts(df, by, label, list(keys), seed)
+    want = F.greatest(F.floor(F.col("_n0") * F.lit(ratio)).cast("long"), F.col("_n1"))
+    k = F.floor(want / F.col("_n1"))
+    reps = k + F.when(F.col("_pos") <= want - k * F.col("_n1"), 1).otherwise(0)
+    reps = F.when(F.col(label) == 1, reps).otherwise(F.lit(1))
+    return (d.withColumn("copy", F.explode(F.sequence(F.lit(0), (reps - 1).cast("int"))))
+            .select(*df.columns, "copy"))

@@ -59,6 +59,16 @@ def align_tasks(frames: dict[str, DataFrame], on=("id", "wave"), value: str = "l
     return stacked.groupBy(*on).pivot("_task", tasks).agg(F.first("_v"))
 
 
+def align_targets(model: DataFrame, targets: list[str], on=("id", "wave"),
+                  prefix: str = "target_") -> DataFrame:
+    """``align_tasks`` of the labelled rows of each target, without a frame per
+    task: the keys with any label and one column per task, in one pass over the
+    model table (whose keys are unique)."""
+    names = {t: t[len(prefix):] if t.startswith(prefix) else t for t in targets}
+    any_label = F.coalesce(*[F.col(t) for t in targets]).isNotNull()
+    return model.filter(any_label).select(*on, *[F.col(t).alias(n) for t, n in names.items()])
+
+
 def task_frames(model: DataFrame, targets: list[str], on=("id", "wave"),
                 prefix: str = "target_") -> dict[str, DataFrame]:
     """Per-task labelled rows (non-NULL target) of a model table."""
@@ -111,14 +121,6 @@ def feature_presence(want: DataFrame, have: DataFrame, col: str = "feature",
     return out
 
 
-def present_features(want: DataFrame, have: DataFrame, col: str = "feature") -> DataFrame:
-    return want.join(have.select(col).distinct(), col, "left_semi")
-
-
-def missing_features(want: DataFrame, have: DataFrame, col: str = "feature") -> DataFrame:
-    return want.join(have.select(col).distinct(), col, "left_anti")
-
-
 def experiment_grid(models: DataFrame, feature_sets: list[str], smote=(False, True),
                     model_col: str = "model") -> DataFrame:
     """Models x feature sets x SMOTE flag, built with generators (no join)."""

@@ -74,16 +74,17 @@ def median_impute(df: DataFrame, cols: list[str], fit_on: DataFrame | None = Non
     ``functions.prefix`` so no single task sees a whole column.
     """
     from ..functions.prefix import prefix_sums
+    from ..session import cut_lineage
     src = fit_on if fit_on is not None else df
     cols = [c for c in cols if c in df.columns]
     if not cols:
         return df
     stack = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
     long = src.selectExpr(f"stack({len(cols)}, {stack}) AS (_col, _x)").filter(F.col("_x").isNotNull())
-    counts = long.groupBy("_col", "_x").agg(F.count(F.lit(1)).alias("_c"))
+    counts = cut_lineage(long.groupBy("_col", "_x").agg(F.count(F.lit(1)).alias("_c")), "value-counts")
     cum = prefix_sums(counts, ["_col"], "_x", {"n": F.col("_c")}, descending=False)
     tot = counts.groupBy("_col").agg(F.sum("_c").alias("_tot"))
-    cum = cum.join(F.broadcast(tot), "_col")
+    cum = cum.join(tot, "_col")
     lo_rank = F.floor((F.col("_tot") + 1) / 2)   # 1-based ranks of the middle values
     hi_rank = F.floor(F.col("_tot") / 2) + 1
     start = F.col("cum_n") - F.col("_c") + 1

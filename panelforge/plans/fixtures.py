@@ -139,12 +139,18 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                     else expr.when(uid % mod == i, F.lit(v)))
         return expr
 
-    per_task = ev.groupBy("user_id", F.upper("event_type").alias("task")).agg(
-        F.min("ts").alias("task_start"),
-        F.round(F.lit(0.5) + F.avg("value") / 1000, 6).alias("roc"),
-        F.round(F.avg("value") / 500, 6).alias("pr"),
-        F.round(F.max("value") / 1000, 6).alias("f2"),
-        F.round(F.sum("value") / 10, 6).alias("time_sec"))
+    # Values are whole cents; sums and the rounding to 6 places are done in integers, so that no
+    # order of summation shows in a result.
+    cents = F.round(F.col("value") * 100).cast("long")
+    sums = ev.groupBy("user_id", F.upper("event_type").alias("task")).agg(
+        F.min("ts").alias("task_start"), F.sum(cents).alias("s"), F.max(cents).alias("m"), F.count("value").alias("n"))
+    million = F.lit(1000000.0)
+    per_task = sums.select(
+        "user_id", "task", "task_start",
+        (F.expr("500000 + (20 * s + n) div (2 * n)") / million).alias("roc"),
+        (F.expr("(40 * s + n) div (2 * n)") / million).alias("pr"),
+        (F.col("m") * 10 / million).alias("f2"),
+        (F.col("s") * 1000 / million).alias("time_sec"))
     run_w = Window.partitionBy("user_id")
     return per_task.select(
         F.concat(F.lit("run_"), uid.cast("string")).alias("run_id"),
@@ -238,10 +244,15 @@ CTES: dict[str, tuple[list[str], str]] = {
         SELECT p_brand AS disease, replace(p_name, ' ', '_') AS feature,
                max(p_retailprice) AS importance FROM part GROUP BY 1, 2"""),
     "runs_task": ([], """
-        SELECT user_id, upper(event_type) AS task, min(ts) AS task_start,
-               round(0.5 + avg(value) / 1000, 6) AS roc, round(avg(value) / 500, 6) AS pr,
-               round(max(value) / 1000, 6) AS f2, round(sum(value) / 10, 6) AS time_sec
-        FROM events GROUP BY 1, 2"""),
+        SELECT user_id, task, task_start,
+               CAST(500000 + (20 * s + n) // (2 * n) AS DOUBLE) / CAST(1000000 AS DOUBLE) AS roc,
+               CAST((40 * s + n) // (2 * n) AS DOUBLE) / CAST(1000000 AS DOUBLE) AS pr,
+               CAST(m * 10 AS DOUBLE) / CAST(1000000 AS DOUBLE) AS f2,
+               CAST(s * 1000 AS DOUBLE) / CAST(1000000 AS DOUBLE) AS time_sec
+        FROM (SELECT user_id, upper(event_type) AS task, min(ts) AS task_start,
+                     CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS s,
+                     max(CAST(round(value * 100) AS BIGINT)) AS m, count(value) AS n
+              FROM events GROUP BY 1, 2) q"""),
     "runs": (["runs_task"], f"""
         SELECT 'run_' || CAST(user_id AS VARCHAR) AS run_id,
                'exp_' || CAST(user_id % 3 AS VARCHAR) AS experiment,

@@ -10,6 +10,7 @@ from ..operators import reshape as R
 from ..operators import split as S
 from ..operators import temporal as TM
 from ..operators.targets import lookahead
+from ..session import cut_lineage
 from . import fixtures as fx
 from .fixtures import COND_NAMES, FEATURES, TARGETS, with_ctes
 from .registry import query
@@ -74,7 +75,7 @@ def q_merge_person(spark, sf):
     SELECT id, wave, {", ".join(f"target_{c} AS {c}" for c in COND_NAMES)} FROM model
     WHERE {" OR ".join(f"target_{c} IS NOT NULL" for c in COND_NAMES)}"""))
 def q_align_tasks(spark, sf):
-    return J.align_tasks(J.task_frames(fx.model(spark, sf), TARGETS))
+    return J.align_targets(fx.model(spark, sf), TARGETS)
 
 
 @query("union_by_name", oracle(["panel"], """
@@ -170,7 +171,7 @@ def q_temporal_impute(spark, sf):
     FROM model m, (SELECT median(SPEND) AS ms, median(N)::DOUBLE AS mn FROM model
                    WHERE wave BETWEEN 3 AND 9) s"""))
 def q_median_impute(spark, sf):
-    m = fx.model(spark, sf)
+    m = cut_lineage(fx.model(spark, sf), "model")   # read for the medians and to be filled
     return TM.median_impute(m, ["SPEND", "N"], fit_on=m.filter(F.col("wave").between(3, 9)))
 
 

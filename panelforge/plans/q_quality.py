@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from ..operators import balance as B
 from ..operators import quality as Q
 from ..operators import reshape as R
+from ..operators.targets import incident_targets
+from ..session import cut_lineage
 from . import fixtures as fx
 from .fixtures import COND_NAMES, FEATURES, TARGETS
 from .q_panel import _train, oracle, rnd, task_split_sql
@@ -98,7 +100,8 @@ def _report_sql():
 
 @query("quality_report", oracle(["model", "plong"], _report_sql()))
 def q_quality_report(spark, sf):
-    return Q.quality_report(R.filter_waves(fx.panel(spark, sf), 3, 14), fx.model(spark, sf), _MISS_COLS)
+    long = cut_lineage(R.filter_waves(fx.panel(spark, sf), 3, 14), "long")   # profiled and modelled
+    return Q.quality_report(long, incident_targets(long, COND_NAMES), _MISS_COLS)
 
 
 # -- class weights, weights, sampling ---------------------------------------
@@ -148,7 +151,7 @@ def q_sample_rows(spark, sf):
       SELECT t.*, row_number() OVER (PARTITION BY t.task ORDER BY {_H.format(cols='t.id, t.wave')}, t.id, t.wave) AS _r,
              c.keep FROM ts t JOIN (SELECT task, CAST(floor(3.0 * count(*) FILTER (WHERE label = 1)) AS BIGINT) AS keep
                                     FROM ts WHERE split = 'train' GROUP BY task) c ON c.task = t.task
-      WHERE t.split = 'train' AND t.label = 0) n WHERE _r <= keep
+      WHERE t.split = 'train' AND t.label = 0) n WHERE _r <= keep OR keep = 0
     UNION ALL SELECT id, wave, task, label, split FROM ts WHERE split = 'train' AND label = 1"""))
 def q_undersample(spark, sf):
     return B.undersample(_train(spark, sf), "label", 3.0, "task", ["id", "wave"])

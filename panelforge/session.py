@@ -6,7 +6,7 @@ and lineage cuts (``spark.checkpoint.dir``).
 """
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -44,13 +44,15 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the operator and is read as is.  Only when it
-    is unset (local tests) a fresh folder is created and registered.
+    On a cluster this is set by the operator and is read as is.  Only a local
+    session without one gets a fresh folder; on a cluster a folder of the
+    driver's own machine would lose rows, so that is an error.
     """
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
-        # unset: only happens in ad-hoc local sessions
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="panelforge-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
@@ -58,12 +60,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unique path below the shared checkpoint folder."""
+    """A new, unique path below the shared checkpoint folder; what is written there goes when the
+    application ends."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/panelforge-scratch/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/panelforge-scratch/{name}-{uuid.uuid4().hex[:12]}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """``df`` written once as a table in the shared folder and read back: later plans read it
+    instead of computing it again, and it survives lost executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
