@@ -44,20 +44,32 @@ def feature_columns(columns: list[str], variant: str = "a", spec: PanelSpec = Pa
     """Role-based feature list.
 
     a: not key, not ``target_*``, ``wave`` forced first.
-    b: not key / wave / known targets, then ``wave`` prepended.
-    c: ``wave`` kept where it stands as an ordinary feature.
+    b: not key / wave / the known ``targets`` (other ``target_*`` columns stay), then ``wave`` prepended.
+    c: like a, with ``wave`` kept where it stands as an ordinary feature.
     """
-    is_target = (lambda c: c in targets) if targets is not None \
-        else (lambda c: c.startswith(spec.target_prefix))
-    if variant == "a":
-        rest = [c for c in columns if c not in (spec.key, spec.time) and not is_target(c)]
-        return [spec.time] + rest
+    if variant not in ("a", "b", "c"):
+        raise ValueError(f"unknown variant {variant!r}")
     if variant == "b":
-        rest = [c for c in columns if c not in (spec.key, spec.time) and not is_target(c)]
-        return [spec.time] + rest
-    if variant == "c":
-        return [c for c in columns if c != spec.key and not is_target(c)]
-    raise ValueError(f"unknown variant {variant!r}")
+        gone = set(targets or [])
+    else:
+        gone = {c for c in columns if c.startswith(spec.target_prefix)}
+    rest = [c for c in columns if c != spec.key and c not in gone]
+    return rest if variant == "c" else [spec.time] + [c for c in rest if c != spec.time]
+
+
+def resolve_features(columns: list[str], listed: list[str] | None = None, imp: DataFrame | None = None,
+                     top_n: int | None = None, min_importance: float | None = None,
+                     spec: PanelSpec = PanelSpec()) -> list[str]:
+    """The features of a run: the listed ones, else the important ones (``min_importance`` before
+    ``top_n``), else all; in each case only those in the data, ``wave`` first."""
+    if listed is not None:
+        want = listed
+    elif imp is not None and (top_n is not None or min_importance is not None):
+        want = [r["feature"] for r in top_importances(imp, top_n, min_importance).select("feature").collect()]   # a feature list
+    else:
+        want = feature_columns(columns, "a", spec)
+    present, _ = select_features(columns, want)
+    return [spec.time] + [c for c in present if c not in (spec.time, spec.key)]
 
 
 def select_features(columns: list[str], want: list[str], strict: bool = False):
@@ -81,9 +93,9 @@ def project_xy(df: DataFrame, features: list[str], targets: list[str],
 
 
 # -- name frames ------------------------------------------------------------
-def columns_frame(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """(feature, pos) for the columns of ``df``."""
-    return spark.createDataFrame([(c, i) for i, c in enumerate(df.columns)], "feature string, pos int")
+def columns_frame(spark: SparkSession, columns: list[str]) -> DataFrame:
+    """(feature, pos) for a list of column names."""
+    return spark.createDataFrame([(c, i) for i, c in enumerate(columns)], "feature string, pos int")
 
 
 # -- P11 --------------------------------------------------------------------
@@ -192,14 +204,15 @@ def union_features(imp: DataFrame, base_n: int = 100, other_n: int = 30,
     """Top ``base_n`` of the base list plus top ``other_n`` of every other
     list, distinct.  The base list is the longest one (ties by name) unless
     given.  ``imp`` is (disease, feature, importance)."""
-    ranked = _ranked(imp, ["disease"])
+    # the constant bound on the rank lets every task cut its lists before the shuffle
+    ranked = _ranked(imp, ["disease"]).filter(F.col("rank") <= max(base_n, other_n))
     if base is None:
         sizes = imp.groupBy("disease").agg(F.count(F.lit(1)).alias("_n"))
         chosen = (sizes.orderBy(F.desc("_n"), F.asc("disease")).limit(1)
                   .select(F.col("disease").alias("_base")))
     else:
         chosen = imp.sparkSession.createDataFrame([(base,)], "_base string")
-    tagged = ranked.join(F.broadcast(chosen), F.col("disease") == F.col("_base"), "left")
+    tagged = ranked.join(chosen, F.col("disease") == F.col("_base"), "left")
     keep = F.when(F.col("_base").isNotNull(), F.col("rank") <= base_n).otherwise(F.col("rank") <= other_n)
     return tagged.filter(keep).select("feature").distinct()
 
@@ -225,17 +238,21 @@ def feature_overlap(a: DataFrame, b: DataFrame, col: str = "feature") -> DataFra
 
 
 # -- D6 ---------------------------------------------------------------------
-def group_round_robin(prio: DataFrame, n: int | None = None, group: str = "grp") -> DataFrame:
-    """Pick features group by group: every group's best, then every group's
-    second, ...; groups ordered by their best importance.  (feature, grp, pick)."""
-    ranked = _ranked(prio, [group])
-    # one row per group: bounded by the number of groups
-    gorder = (prio.groupBy(group).agg(F.max("importance").alias("_best"))
-              .withColumn("_g", F.row_number().over(Window.orderBy(F.desc("_best"), F.asc(group)))))
-    picks = (ranked.join(gorder.select(group, F.col("_g").alias("group_order")), group)
-             .select("feature", group, "importance", "rank", "group_order"))
-    if n is None:
-        return picks.orderBy("rank", "group_order")
+def group_round_robin(prio: DataFrame, n: int, group: str = "grp", priority: DataFrame | None = None) -> DataFrame:
+    """Pick ``n`` features group by group: every group's best, then every group's
+    second, ...  Groups are ordered by ``priority`` (group, priority; groups that
+    it lacks come last) or else by their best importance.
+    (feature, group, importance, rank, group_order, pick)."""
+    # no group can give more than n of the picks; the constant bound cuts the groups before the shuffle
+    ranked = _ranked(prio, [group]).filter(F.col("rank") <= n)
+    best = prio.groupBy(group).agg(F.max("importance").alias("_best"))
+    order = [F.desc("_best"), F.asc(group)]
+    if priority is not None:
+        best = best.join(priority.select(group, F.col("priority").alias("_p")), group, "left")
+        order = [F.asc_nulls_last("_p"), *order]
+    # the numbering runs over one row per group
+    gorder = best.withColumn("group_order", F.row_number().over(Window.orderBy(*order))).select(group, "group_order")
+    picks = ranked.join(gorder, group).select("feature", group, "importance", "rank", "group_order")
     # a distributed top-n, then numbering of at most n rows
     top = picks.orderBy("rank", "group_order").limit(n)
     return top.withColumn("pick", F.row_number().over(Window.orderBy("rank", "group_order")))

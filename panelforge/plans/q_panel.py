@@ -107,6 +107,30 @@ def q_role_columns(spark, sf):
     return m.select(*C.feature_columns(m.columns, "a"))
 
 
+@query("role_columns_known_targets", oracle(["model"], f"""SELECT wave, {', '.join(FEATURES)},
+    {', '.join(t for t in TARGETS if t != 'target_URGE')} FROM model"""))
+def q_role_columns_known_targets(spark, sf):
+    m = fx.model(spark, sf)
+    return m.select(*C.feature_columns(m.columns, "b", targets=["target_URGE"]))
+
+
+@query("role_columns_in_place", oracle(["model"], f"SELECT wave, {', '.join(FEATURES)} FROM model WHERE wave > 5"))
+def q_role_columns_in_place(spark, sf):
+    m = fx.model(spark, sf).filter("wave > 5")
+    return m.select(*C.feature_columns(m.columns, "c"))
+
+
+@query("resolve_features", oracle(["model"], "SELECT wave, N, SPEND FROM model"))
+def q_resolve_features(spark, sf):
+    """Importances of the model's own columns (how often they are present) decide; threshold before top-n."""
+    m = cut_lineage(fx.model(spark, sf), "model")
+    one = m.agg(*[F.count(c).alias(c) for c in ("SPEND", "N")], *[F.sum(c).alias(c) for c in COND_NAMES])
+    names = ["SPEND", "N", *COND_NAMES]
+    imp = one.selectExpr(f"stack({len(names)}, " + ", ".join(f"'{c}', CAST({c} AS DOUBLE)" for c in names)
+                         + ") AS (feature, importance)")
+    return m.select(*C.resolve_features(m.columns, imp=imp, top_n=2, min_importance=1.0))
+
+
 @query("project_xy", oracle(["model"], f"SELECT id, wave, {', '.join(FEATURES)}, target_URGE AS target FROM model"))
 def q_project_xy(spark, sf):
     return C.project_xy(fx.model(spark, sf), FEATURES + ["BMI"], ["target_DIABE"] + TARGETS)
@@ -158,6 +182,13 @@ def q_temporal_pct_change(spark, sf):
     return TM.temporal_pct_change(C.labelled(fx.model(spark, sf), "target_URGE"), _TF, pad=True)
 
 
+@query("temporal_features", oracle(["model"], "SELECT *, " + ", ".join(
+    [f"{c} - lag({c}) OVER w AS {c}_delta" for c in _TF] + [_pct_sql(c) for c in _TF])
+    + f" FROM model WHERE target_URGE IS NOT NULL {_W}"))
+def q_temporal_features(spark, sf):
+    return TM.build_temporal_features(C.labelled(fx.model(spark, sf), "target_URGE"), _TF)
+
+
 @query("temporal_impute", oracle(["model"], "SELECT * REPLACE (" + ", ".join(
     f"coalesce(last_value({c} IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), "
     f"first_value({c} IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS {c}"

@@ -33,6 +33,15 @@ def q_min_importance(spark, sf):
     return C.min_importance(fx.importances(spark, sf), 995.0, strict=True)
 
 
+@query("min_importance_inclusive", oracle(["importances"], """
+    SELECT * FROM importances WHERE importance >= (SELECT quantile_disc(importance, 0.9) FROM importances)"""))
+def q_min_importance_inclusive(spark, sf):
+    imp = fx.importances(spark, sf)
+    # a threshold that is itself a value of the table, so that > and >= differ
+    cut = imp.agg(F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY importance)").alias("x")).first()["x"]
+    return C.min_importance(imp, cut, strict=False)
+
+
 @query("feature_presence", oracle(["importances"], f"""
     SELECT i.feature, s.feature IS NOT NULL AS present
     FROM importances i LEFT JOIN ({_SOLD_SQL}) s ON s.feature = i.feature"""))
@@ -62,6 +71,49 @@ def q_feature_sets(spark, sf):
     return out
 
 
+# -- sets that depend on column names: a catalogue with keys, targets and temporal columns
+_KINDS = ["", "_delta", "_pct_change"]
+_NAMED_SQL = """named AS (
+    SELECT CASE WHEN p_partkey % 17 = 0 THEN 'target_' ELSE '' END || 'F' || CAST(p_partkey AS VARCHAR)
+             || ['', '_delta', '_pct_change'][p_partkey % 3 + 1] AS feature, p_partkey AS pos FROM part
+    UNION ALL SELECT 'id', -2 UNION ALL SELECT 'wave', -1),
+  nimp AS (SELECT n.feature, p_retailprice AS importance FROM part p JOIN named n ON n.pos = p.p_partkey)"""
+
+
+def _named(spark, sf):
+    part = read_table(spark, f"{sf}/part.parquet")
+    key = F.col("p_partkey")
+    kind = F.element_at(F.array(*[F.lit(k) for k in _KINDS]), (key % 3 + 1).cast("int"))
+    feature = F.concat(F.when(key % 17 == 0, "target_").otherwise(""), F.lit("F"), key.cast("string"), kind)
+    names = part.select(feature.alias("feature"), key.cast("long").alias("pos"))
+    keys = spark.createDataFrame([("id", -2), ("wave", -1)], "feature string, pos long")
+    return names.unionByName(keys), part.select(feature.alias("feature"), F.col("p_retailprice").alias("importance"))
+
+
+_BY_POS = "SELECT '{name}' AS feature_set, feature, row_number() OVER (ORDER BY pos) AS pos FROM named WHERE {cond}"
+_TEMPORAL = "(ends_with(feature, '_delta') OR ends_with(feature, '_pct_change'))"
+
+
+@query("feature_sets_by_name", f"""
+    WITH {_NAMED_SQL},
+    top AS (SELECT *, row_number() OVER (ORDER BY importance DESC, feature) AS r FROM nimp),
+    t50 AS (SELECT feature, r FROM top WHERE r <= 50),
+    w AS (SELECT unnest(['all', 'temporal_only', 'top50_plus_temporal']) AS feature_set, 'wave' AS feature, 0 AS pos)
+    SELECT * FROM w UNION ALL
+    {_BY_POS.format(name='all', cond="feature NOT IN ('id', 'wave') AND NOT starts_with(feature, 'target_') AND NOT " + _TEMPORAL)}
+    UNION ALL {_BY_POS.format(name='temporal_only', cond=_TEMPORAL)}
+    UNION ALL SELECT 'top50_plus_temporal', feature, r FROM t50
+    UNION ALL SELECT 'top50_plus_temporal', feature, 50 + row_number() OVER (ORDER BY pos) FROM named
+      WHERE {_TEMPORAL} AND feature NOT IN (SELECT feature FROM t50)""")
+def q_feature_sets_by_name(spark, sf):
+    avail, imp = _named(spark, sf)
+    out = None
+    for name in ("all", "temporal_only", "top50_plus_temporal"):
+        fs = C.feature_set(name, avail, imp).select(F.lit(name).alias("feature_set"), "feature", "pos")
+        out = fs if out is None else out.unionByName(fs)
+    return out
+
+
 # -- keyword catalogue: "<agg>_<part name>" with the aggregate picked by size
 _AGGS = AGG_KEYWORDS + ["last"]
 
@@ -84,6 +136,16 @@ def q_keyword_columns(spark, sf):
     return C.keyword_columns(_catalogue(spark, sf), AGG_KEYWORDS)
 
 
+@query("keyword_columns_fallback", f"SELECT * FROM ({_CAT_SQL}) c WHERE pos < 200")
+def q_keyword_columns_fallback(spark, sf):
+    return C.keyword_columns(_catalogue(spark, sf), ["no_such_keyword"], fallback_n=200)
+
+
+@query("first_columns", f"SELECT * FROM ({_CAT_SQL}) c WHERE pos < 100")
+def q_first_columns(spark, sf):
+    return C.first_columns(_catalogue(spark, sf), 100)
+
+
 _UF = """
     ranked AS (SELECT *, row_number() OVER (PARTITION BY disease ORDER BY importance DESC, feature) AS rk FROM imp_multi),
     base AS (SELECT disease FROM imp_multi GROUP BY disease ORDER BY count(*) DESC, disease LIMIT 1),
@@ -136,6 +198,21 @@ def q_group_round_robin(spark, sf):
     return out.withColumns({c: F.col(c).cast("long") for c in ("rank", "group_order", "pick")})
 
 
+@query("group_priority", fx.with_ctes("importances").rstrip() + """,
+    pr AS (SELECT p_brand AS grp, max(p_size) AS priority FROM part WHERE p_brand <> 'Brand#11' GROUP BY 1),
+    rr AS (SELECT i.*, row_number() OVER (PARTITION BY grp ORDER BY importance DESC, feature) AS rank FROM importances i),
+    go AS (SELECT i.grp, row_number() OVER (ORDER BY min(pr.priority) NULLS LAST, max(importance) DESC, i.grp) AS group_order
+           FROM importances i LEFT JOIN pr ON pr.grp = i.grp GROUP BY i.grp)
+    SELECT rr.feature, rr.grp, rr.importance, rr.rank, go.group_order,
+           row_number() OVER (ORDER BY rr.rank, go.group_order) AS pick
+    FROM rr JOIN go ON go.grp = rr.grp ORDER BY rr.rank, go.group_order LIMIT 40""")
+def q_group_priority(spark, sf):
+    part = read_table(spark, f"{sf}/part.parquet")
+    prio = part.filter("p_brand <> 'Brand#11'").groupBy(F.col("p_brand").alias("grp")).agg(F.max("p_size").alias("priority"))
+    out = C.group_round_robin(fx.importances(spark, sf), 40, priority=prio)
+    return out.withColumns({c: F.col(c).cast("long") for c in ("rank", "group_order", "pick")})
+
+
 @query("group_best", fx.with_ctes("importances").rstrip() + "," + _RR + """
     SELECT grp, feature, importance FROM rr WHERE rank = 1""")
 def q_group_best(spark, sf):

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from ..sources import files as IO
 from . import fixtures as fx
-from .q_panel import oracle
+from .q_panel import oracle, rnd
+from .q_runs import rsql
 from .registry import query
 
 
@@ -67,7 +68,12 @@ def _run_summary(spark, sf):
     return aggregate_metrics(fx.runs(spark, sf))
 
 
-@query("scan_run_records")
+_REC_COLS = ["mean_roc_auc", "mean_pr_auc", "mean_f2_score", "std_roc_auc", "training_time_sec"]
+
+
+@query("scan_run_records", rsql("""
+    SELECT run_id AS experiment_name, family, dropout, optimizer, loss, use_smote, mean_roc_auc, mean_pr_auc,
+           mean_f2_score, std_roc_auc, training_time_sec, 1 AS n_rejects FROM rs""", _REC_COLS))
 def q_scan_run_records(spark, sf):
     s = _run_summary(spark, sf)
     rec = s.select(
@@ -81,11 +87,13 @@ def q_scan_run_records(spark, sf):
     rec.write.partitionBy("_run").json(f"{root}/records")
     s.agg(F.count(F.lit(1)).alias("n_runs")).write.json(f"{root}/summary")
     spark.createDataFrame([("{not json",)], "value string").write.text(f"{root}/broken")
-    return IO.read_runs(spark, root, skip=r"/summary/", glob=None)
+    good, bad = IO.read_runs(spark, root, rec.drop("_run").schema, skip=r"/summary/", glob=None)
+    flat = good.select("experiment_name", F.col("architecture.name").alias("family"), "regularization.dropout",
+                       "optimization.optimizer", "imbalance.loss", "imbalance.use_smote", "aggregate_metrics.*", "training_time_sec")
+    return rnd(flat.crossJoin(bad.agg(F.count("path").alias("n_rejects"))), _REC_COLS)   # one row of rejects
 
 
-@query("scan_tracking")
-def q_scan_tracking(spark, sf):
+def _tracking(spark, sf):
     r = fx.runs(spark, sf)
     ms = F.unix_millis(F.col("start_time").cast("timestamp"))
     metrics = r.select("experiment", "run_id", F.lit("metrics").alias("kind"),
@@ -98,14 +106,74 @@ def q_scan_tracking(spark, sf):
     return IO.read_tracking(spark, root)
 
 
-@query("discover_latest")
-def q_discover_latest(spark, sf):
+@query("scan_tracking", oracle(["runs"], """
+    SELECT experiment, run_id, 'metrics' AS kind, task || '_roc_auc' AS key, epoch_us(start_time) // 1000 AS ts_ms,
+           roc AS value, CAST(0 AS BIGINT) AS step, NULL AS text FROM runs
+    UNION ALL
+    SELECT DISTINCT experiment, run_id, 'params', 'dropout', CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE),
+           CAST(NULL AS BIGINT), CAST(dropout AS VARCHAR) FROM runs"""))
+def q_scan_tracking(spark, sf):
+    t = _tracking(spark, sf)
+    return t.withColumn("ts_ms", F.unix_millis("ts")).drop("ts")
+
+
+_EVENT_KEYS = ["CLICK", "ERROR", "PURCHASE", "SIGNUP", "VIEW"]
+
+
+@query("tracking_runs", oracle(["runs"], "SELECT experiment, run_id, " + ", ".join(
+    f"max(CASE WHEN task = '{k}' THEN roc END) AS {k}_roc_auc" for k in _EVENT_KEYS) + " FROM runs GROUP BY 1, 2"))
+def q_tracking_runs(spark, sf):
+    return IO.tracking_runs(_tracking(spark, sf), [f"{k}_roc_auc" for k in _EVENT_KEYS])
+
+
+@query("tracking_best_run", rsql("""
+    SELECT experiment, arg_min(run_id, {'m': -best, 'r': run_id}) AS run_id, max(best) AS best FROM (
+      SELECT experiment, run_id, max(roc) AS best FROM runs GROUP BY 1, 2) q GROUP BY 1"""))
+def q_tracking_best_run(spark, sf):
+    """Run lookup from the tracking files: pivot, then the best run of each experiment."""
+    from ..operators.runs import best_run
+    wide = IO.tracking_runs(_tracking(spark, sf), [f"{k}_roc_auc" for k in _EVENT_KEYS])
+    best = F.greatest(*[F.col(f"{k}_roc_auc") for k in _EVENT_KEYS])
+    return best_run(wide.withColumn("best", best).withColumn("error", F.lit(None).cast("string")), "best")
+
+
+def _generations(spark, sf):
+    """One importance file a group in each of four generations, the newest written last."""
     root = scratch_path(spark, "imp_by_grp")
-    fx.importances(spark, sf).write.partitionBy("grp").option("header", "true").csv(root)
-    return IO.discover(spark, f"{root}/*/*.csv", by="size", group_regex=r"grp=([^/]+)/")
+    imp = fx.importances(spark, sf).repartition("grp")
+    for name, pad in (("config", 0), ("old", 200), ("new", 0), ("multi_new", 400)):
+        (imp.withColumn("generation", F.lit(name)).withColumn("pad", F.repeat(F.lit("x"), pad))
+         .write.mode("append").partitionBy("grp", "generation").option("header", "true").csv(root))
+    return f"{root}/*/*/*.csv"
+
+
+_GEN = r"generation=([^/]+)/"
+
+
+def _discovered(found):
+    return found.select(F.url_decode("grp").alias("grp"), F.regexp_extract("path", _GEN, 1).alias("generation"), "n_files")
+
+
+def _discover_sql(generation, n):
+    return f"SELECT DISTINCT p_brand AS grp, '{generation}' AS generation, {n} AS n_files FROM part"
+
+
+@query("discover_latest", _discover_sql("new", 3))
+def q_discover_latest(spark, sf):
+    return _discovered(IO.discover(spark, _generations(spark, sf), "mtime", r"grp=([^/]+)/", skip=r"generation=multi_"))
+
+
+@query("discover_largest", _discover_sql("multi_new", 4))
+def q_discover_largest(spark, sf):
+    return _discovered(IO.discover(spark, _generations(spark, sf), "size", r"grp=([^/]+)/"))
+
+
+@query("discover_config_first", _discover_sql("config", 4))
+def q_discover_config_first(spark, sf):
+    return _discovered(IO.discover(spark, _generations(spark, sf), "size", r"grp=([^/]+)/", prefer=["generation=config/", "generation=new/"]))
 
 
-@query("sink_json_roundtrip")
+@query("sink_json_roundtrip", oracle(["runs"], "SELECT run_id, task, roc, pr, f2 FROM runs"))
 def q_sink_json_roundtrip(spark, sf):
     r = fx.runs(spark, sf)
     nested = r.groupBy("run_id").agg(
@@ -115,7 +183,9 @@ def q_sink_json_roundtrip(spark, sf):
     return back.select("run_id", F.explode("per_task").alias("task", "m")).select("run_id", "task", "m.*")
 
 
-@query("run_log_append")
+@query("run_log_append", oracle(["runs"], """
+    SELECT experiment, run_id, 'metrics' AS kind, task || '_roc_auc' AS key, roc AS value, NULL AS text FROM runs
+    UNION ALL SELECT DISTINCT experiment, run_id, 'params', 'loss', CAST(NULL AS DOUBLE), loss FROM runs"""))
 def q_run_log_append(spark, sf):
     r = fx.runs(spark, sf)
     now = F.current_timestamp()
@@ -128,4 +198,4 @@ def q_run_log_append(spark, sf):
     root = scratch_path(spark, "run_log")
     IO.log_run(params, root)
     IO.log_run(metrics, root)
-    return IO.read_run_log(spark, root)
+    return IO.read_run_log(spark, root).drop("logged_at")

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
+
 IMPORTANCE_SCHEMA = T.StructType([T.StructField("feature", T.StringType()),
                                   T.StructField("importance", T.DoubleType())])
 
@@ -65,21 +67,24 @@ def read_importances(spark: SparkSession, path: str) -> DataFrame:
 
 
 # -- S5 ---------------------------------------------------------------------
-def read_runs(spark: SparkSession, path: str, schema: T.StructType | None = None,
-              skip: str = r"(^|/)summary\.json$", glob: str | None = "*.json",
-              multiline: bool = True) -> DataFrame:
-    """Nested run records (one per JSON file by default); files whose path
-    matches ``skip`` and corrupt records are dropped, not fatal."""
-    # DROPMALFORMED: a corrupt file yields no record instead of failing the scan
-    reader = (spark.read.option("multiLine", str(multiline).lower()).option("mode", "DROPMALFORMED")
+def read_runs(spark: SparkSession, path: str, schema: T.StructType, skip: str = r"(^|/)summary\.json$",
+              glob: str | None = "*.json", multiline: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Nested run records, one per JSON file by default, as (records, rejects).
+
+    Files whose path matches ``skip`` are left out.  Records that don't parse go
+    to ``rejects`` (path, reason), where ``reason`` holds the text.  The files
+    are parsed once, with the given schema (no inference pass).
+    """
+    full = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+    reader = (spark.read.schema(full).option("multiLine", str(multiline).lower()).option("mode", "PERMISSIVE")
               .option("recursiveFileLookup", "true"))
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    if schema is not None:
-        reader = reader.schema(schema)
-    df = reader.json(path)
-    df = df.withColumn("_file", F.col("_metadata.file_path"))
-    return df.filter(~F.col("_file").rlike(skip))
+    df = reader.json(path).withColumn("_file", F.col("_metadata.file_path"))
+    df = cut_lineage(df.filter(~F.col("_file").rlike(skip)), "run-records")
+    return (df.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record"),
+            df.filter(F.col("_corrupt_record").isNotNull()).select(
+                F.col("_file").alias("path"), F.col("_corrupt_record").alias("reason")))
 
 
 # -- S6 ---------------------------------------------------------------------
@@ -102,7 +107,8 @@ def read_tracking(spark: SparkSession, root: str) -> DataFrame:
 
     Layout ``<experiment>/<run>/metrics/<key>`` with lines ``ts value step``
     and ``<experiment>/<run>/params/<key>`` holding the value.  Output:
-    (experiment, run_id, kind, key, ts, value, step, text).
+    (experiment, run_id, kind, key, ts, value, step, text).  Parts of a metric
+    line that are missing or don't parse are NULL.
     """
     raw = (spark.read.option("recursiveFileLookup", "true").text(root)
            .select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("path")))
@@ -112,9 +118,9 @@ def read_tracking(spark: SparkSession, root: str) -> DataFrame:
     return (raw.filter(F.trim("line") != "")
             .select(parts[0].alias("experiment"), parts[1].alias("run_id"),
                     parts[2].alias("kind"), parts[3].alias("key"),
-                    F.when(is_metric, F.timestamp_millis(tok[0].cast("long"))).alias("ts"),
-                    F.when(is_metric, tok[1].cast("double")).alias("value"),
-                    F.when(is_metric, tok[2].cast("long")).alias("step"),
+                    F.when(is_metric, F.timestamp_millis(F.get(tok, 0).try_cast("long"))).alias("ts"),
+                    F.when(is_metric, F.get(tok, 1).try_cast("double")).alias("value"),
+                    F.when(is_metric, F.get(tok, 2).try_cast("long")).alias("step"),
                     F.when(~is_metric, F.col("line")).alias("text"))
             .filter(F.col("kind") != ""))
 
@@ -128,19 +134,26 @@ def tracking_runs(tidy: DataFrame, metric_keys: list[str] | None = None) -> Data
 
 
 # -- S8 ---------------------------------------------------------------------
-def discover(spark: SparkSession, pattern: str, by: str = "mtime",
-             group_regex: str | None = None) -> DataFrame:
-    """Pick the newest (``by="mtime"``) or largest (``by="size"``) file per group.
+def discover(spark: SparkSession, pattern: str, by: str = "mtime", group_regex: str | None = None,
+             skip: str | None = None, prefer: list[str] | None = None) -> DataFrame:
+    """Pick one file per group: the newest (``by="mtime"``) or largest (``by="size"``).
 
     Lists files with the binary-file source without reading their content.
-    ``group_regex``'s first group names the group; otherwise one group.
+    ``group_regex``'s first group names the group; otherwise one group.  Paths
+    that match ``skip`` are left out; paths that match an earlier pattern of
+    ``prefer`` go before all others.
     """
     files = (spark.read.format("binaryFile").load(pattern)
              .select("path", "modificationTime", "length"))
+    if skip:
+        files = files.filter(~F.col("path").rlike(skip))
+    first = F.lit(0)
+    for rank, p in enumerate(reversed(prefer or []), 1):
+        first = F.when(F.col("path").rlike(p), rank).otherwise(first)
     order = F.col("modificationTime") if by == "mtime" else F.col("length")
     grp = (F.regexp_extract("path", group_regex, 1) if group_regex else F.lit("all")).alias("grp")
     return (files.groupBy(grp)
-            .agg(F.max_by("path", F.struct(order, F.col("path"))).alias("path"),
+            .agg(F.max_by("path", F.struct(first.alias("first"), order.alias("order"), F.col("path"))).alias("path"),
                  F.count(F.lit(1)).alias("n_files")))
 
 
