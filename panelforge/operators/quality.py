@@ -6,7 +6,7 @@ then ``stack``-ed into long form on the driver side of the plan.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +24,17 @@ def _stack(df: DataFrame, rows: list[list[str]], names: list[str]) -> DataFrame:
     return df.selectExpr(f"stack({len(rows)}, {body}) AS ({', '.join(names)})")
 
 
+def _unpivot(one: DataFrame, rows: list[list[str]], names: list[str]) -> DataFrame:
+    """The same for rows whose last entry is a number: the values become one array, so that reports
+    over very many columns stay within the code-size limit.  The labels, one row each, are joined
+    by position."""
+    values = F.array(*[F.expr(r[-1]).cast("double") for r in rows])
+    text = [(i, *[x[1:-1].replace("\\'", "'") for x in r[:-1]]) for i, r in enumerate(rows)]
+    labels = one.sparkSession.createDataFrame(text, "pos int, " + ", ".join(f"{n} string" for n in names[:-1]))
+    at = one.select(F.posexplode(values).alias("pos", names[-1]))
+    return at.join(labels, "pos").select(*names)
+
+
 def _lit(s: str) -> str:
     return "'" + s.replace("'", "\\'") + "'"
 
@@ -47,23 +58,22 @@ def missingness(df: DataFrame, cols: list[str]) -> DataFrame:
     present = [c for c in cols if c in df.columns]
     one = df.agg(F.count(F.lit(1)).alias("_n"),
                  *[F.count_if(F.col(c).isNull()).alias(f"_m{i}") for i, c in enumerate(present)])
-    rows = []
-    for c in cols:
-        if c in present:
-            i = present.index(c)
-            rows.append([_lit(c), f"_m{i}", f"round(try_divide(100 * _m{i}, _n), 2)", "'ok'"])
-        else:
-            rows.append([_lit(c), "CAST(NULL AS BIGINT)", "CAST(NULL AS DOUBLE)",
-                         "'column_not_present'"])
-    return _stack(one, rows, ["feature", "missing_count", "missing_pct", "status"])
+    counts = _unpivot(one, [[_lit(c), f"_m{i}"] for i, c in enumerate(present)] + [["''", "_n"]], ["feature", "missing_count"])
+    named = df.sparkSession.createDataFrame([(c, c in present) for c in cols], "feature string, here boolean")
+    n = F.max(F.when(F.col("feature") == "", F.col("missing_count"))).over(Window.partitionBy())   # one row a column
+    counts = counts.select("feature", "missing_count", n.alias("_n"))
+    status = F.when(F.col("here"), "ok").otherwise("column_not_present")
+    return named.join(counts, "feature", "left").select(
+        "feature", F.col("missing_count").cast("long").alias("missing_count"),
+        F.round(F.try_divide(100 * F.col("missing_count"), F.col("_n")), 2).alias("missing_pct"), status.alias("status"))
 
 
 # -- A3 ---------------------------------------------------------------------
 def all_present(cols: list[str]):
-    cond = F.lit(True)
-    for c in cols:
-        cond = cond & F.col(c).isNotNull()
-    return cond
+    conds = [F.col(c).isNotNull() for c in cols] or [F.lit(True)]
+    while len(conds) > 1:   # pairwise: a chain over hundreds of columns would be too deep
+        conds = [a & b for a, b in zip(conds[::2], conds[1::2])] + conds[len(conds) // 2 * 2:]
+    return conds[0]
 
 
 def complete_case_counts(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -150,9 +160,8 @@ def quality_report(long: DataFrame, model: DataFrame, cols: list[str],
         rows += [["'feature_stats'", _lit(c), "'min'", f"_lo{i}"],
                  ["'feature_stats'", _lit(c), "'max'", f"_hi{i}"],
                  ["'feature_stats'", _lit(c), "'mean'", f"_mu{i}"]]
-    rows = [r[:3] + [f"CAST({r[3]} AS DOUBLE)"] for r in rows]
     names = ["section", "item", "metric", "value"]
-    model_part = _stack(one, rows, names)
+    model_part = _unpivot(one, rows, names)
     prof = long.agg(F.count(F.lit(1)).cast("double").alias("rows"),
                     F.count_distinct(key).cast("double").alias("unique_ids"))
     long_part = _stack(prof, [["'long'", "''", "'rows'", "rows"],

@@ -55,7 +55,7 @@ def wide_to_long(df: DataFrame, key: str | None = None, prefix: str | None = Non
 
     Every wave that has at least one column produces a row for every subject,
     even when all of its values are NULL.  Concepts missing from a wave are NULL
-    (outer union).  The plan is a projection plus ``inline`` - no shuffle.
+    (outer union).  The plan is a projection plus ``stack`` - no shuffle.
     """
     key = key or spec.wide_key
     prefix = prefix or spec.prefix

@@ -1,19 +1,23 @@
 """SMOTE and ADASYN oversampling (B5, D5) as distributed jobs.
 
-Neighbour search never builds all pairs of a group.  Rows are ordered by a
-fixed random projection (bucketed rank, no one-partition sort) and cut into
-blocks of ``block`` rows; each block is searched together with its two
-neighbouring blocks, exactly (numpy, at most ``block`` x ``3 block``
-distances per task).  Points far apart on the projection are far apart in
-space, so this is the usual projection-blocking approximation of k nearest
-neighbours; every row takes part and no row is dropped.
-
-How many synthetic rows each minority row produces is decided up front
-from the counts, so the total is exact: n_new = floor(ratio * n_majority) -
-n_minority per task, spread evenly (hash order breaks the remainder).  When
-the minority share is already at or above the ratio nothing is generated
-(the original library raises and the pipeline swallows the error - here
-that is an explicit no-op).  Random draws use md5 of (key, copy, seed).
+Neighbour search never builds all pairs of a group.  Rows are ordered along
+``TABLES`` fixed random projections (bucketed rank, no one-partition sort);
+each order is cut into blocks of ``block`` rows, and a row's candidates are the
+rows of its own and the two neighbouring blocks in every order.  Each block
+gives its rows' k nearest by exact distance, and the k nearest of all tables
+together are kept.  The same search runs at every size; it is approximate where
+a group has more rows than three blocks, and a test states its recall.
+
+How many synthetic rows each minority row produces is decided up front from the
+counts, so the total is exact in both modes: n_new = floor(ratio * n_majority) -
+n_minority per task.  SMOTE spreads them evenly (hash order breaks the
+remainder), ADASYN by the share of majority rows among the k nearest (largest
+remainders).  When the minority share is already at or above the ratio nothing
+is generated (the original library raises and the pipeline swallows the error -
+here that is an explicit no-op).  Random draws use md5 of (key, copy, seed).
+
+A NULL feature counts as 0, in distances and in synthetic rows; a NULL task is a
+task; rows without a label pass through and are nobody's neighbours.
 """
 from __future__ import annotations
 
@@ -24,30 +28,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..conf import RANDOM_STATE, SMOTE_K, SMOTE_RATIO
-from ..functions.prefix import global_rank
+from ..functions.prefix import global_rank, join_groups
+from ..session import cut_lineage
 from .balance import HASH_RANGE, md5_hash
 
+TABLES = 6
+BLOCK = 512
 
-def _projection(cols: list[str], seed: int):
-    rng = np.random.default_rng(seed)
-    w = rng.normal(size=len(cols))
-    expr = None
-    for c, wi in zip(cols, w):
-        term = F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * F.lit(float(wi))
-        expr = term if expr is None else expr + term
-    return expr
 
+def _projections(dims: int, seed: int, tables: int):
+    """array<(t, p)>: the position of a row on each random projection."""
+    def dot(row):
+        return F.aggregate(F.zip_with("_v", F.array(*[F.lit(float(x)) for x in row]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
 
-def _blocked(df: DataFrame, by: str, cols: list[str], keys: list[str], block: int, seed: int) -> DataFrame:
-    """Each row once in its own block (``_home``) and once in each neighbouring block."""
-    p = df.withColumn("_proj", _projection(cols, seed))
-    ranked = global_rank(p, "_proj", descending=False, tiebreak=keys, by=[by], name="_ppos")
-    blk = F.floor((F.col("_ppos") - 1) / block).cast("long")
-    return (ranked.withColumn("_home_blk", blk)
-            .withColumn("_blk", F.explode(F.array(blk - 1, blk, blk + 1)))
-            .withColumn("_home", F.col("_blk") == F.col("_home_blk"))
-            .filter(F.col("_blk") >= 0)
-            .drop("_proj", "_ppos", "_home_blk"))
+    w = np.random.default_rng(seed).normal(size=(tables, dims))
+    return F.array(*[F.struct(F.lit(t).alias("t"), dot(row).alias("p")) for t, row in enumerate(w)])
 
 
 def _u(cols: list[str], seed: int, salt: str):
@@ -56,91 +51,116 @@ def _u(cols: list[str], seed: int, salt: str):
     return F.conv(F.substring(F.md5(s), 1, 15), 16, 10).cast("double") / F.lit(float(1 << 60))
 
 
+def _nearest(q: np.ndarray, x: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distances, positions) of the k nearest rows of x for each row of q, without position own[i]."""
+    d = (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2.0 * (q @ x.T)
+    d[np.arange(len(q)), own] = np.inf
+    m = min(len(x) - 1, k + 8)   # a few more, as the expansion above rounds
+    if m <= 0:
+        return np.empty((len(q), 0)), np.empty((len(q), 0), int)
+    at = np.argpartition(d, m - 1, axis=1)[:, :m]
+    exact = ((q[:, None, :] - x[at]) ** 2).sum(2)
+    exact[at == own[:, None]] = np.inf
+    order = np.lexsort((at, exact), axis=1)[:, :k]
+    return np.take_along_axis(exact, order, 1), np.take_along_axis(at, order, 1)
+
+
+def nearest_neighbours(pool: DataFrame, by: str, keys: list[str], k: int, seed: int = RANDOM_STATE,
+                       block: int = BLOCK, tables: int = TABLES, dims: int = 1) -> DataFrame:
+    """(by, keys, _near): per minority row of ``pool`` (by, keys, ``_v`` vector, ``_min`` flag) its k
+    nearest rows and its k nearest minority rows, as array<(d, n, min, v)> by distance; ``n`` is a
+    hash of the neighbour's key."""
+    tagged = pool.withColumn("_n", F.xxhash64(*keys)).withColumn("_x", F.explode(_projections(dims, seed, tables)))
+    spread = cut_lineage(tagged.select(by, *keys, "_v", "_min", "_n", F.col("_x.t").alias("_t"), F.col("_x.p").alias("_p")), "projections")
+    ranked = global_rank(spread, "_p", descending=False, tiebreak=keys, by=[by, "_t"], name="_pos")
+    home = F.floor((F.col("_pos") - 1) / block).cast("long")
+    blocks = (ranked.withColumn("_home", home).withColumn("_blk", F.explode(F.array(home - 1, home, home + 1)))
+              .drop("_p", "_pos"))
+    near = T.ArrayType(T.StructType([T.StructField("d", T.DoubleType()), T.StructField("n", T.LongType()),
+                                     T.StructField("min", T.BooleanType()), T.StructField("v", T.ArrayType(T.DoubleType()))]))
+    schema = T.StructType([pool.schema[by], *[pool.schema[c] for c in keys], T.StructField("_near", near)])
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = np.nonzero(((pdf["_home"] == pdf["_blk"]) & pdf["_min"]).to_numpy())[0]
+        out = pdf.iloc[at][[by, *keys]].copy()
+        if not len(at):
+            return out.assign(_near=pd.Series(dtype=object))
+        x, is_min, n = np.stack(pdf["_v"].to_numpy()), pdf["_min"].to_numpy(), pdf["_n"].to_numpy()
+        found = [[] for _ in at]
+        minority = np.nonzero(is_min)[0]
+        own = np.searchsorted(minority, at)
+        for cand, self_at in ((np.arange(len(x)), at), (minority, own)):
+            d, pos = _nearest(x[at], x[cand], self_at, k)
+            for i in range(len(at)):
+                found[i] += [{"d": float(a), "n": int(n[j]), "min": bool(is_min[j]), "v": x[j].tolist()}
+                             for a, j in zip(d[i], cand[pos[i]]) if np.isfinite(a)]
+        out["_near"] = found
+        return out
+
+    parts = blocks.groupBy(by, "_t", "_blk").applyInPandas(search, schema)
+    # at most 2 * k entries a table and row
+    merged = parts.groupBy(by, *keys).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_near")))).alias("_near"))
+    return merged
+
+
 def oversample_synthetic(df: DataFrame, cols: list[str], label: str = "label", by: str = "task",
                          keys: list[str] = ("id", "wave"), ratio: float = SMOTE_RATIO, k: int = SMOTE_K,
-                         seed: int = RANDOM_STATE, block: int = 1024, mode: str = "smote") -> DataFrame:
+                         seed: int = RANDOM_STATE, block: int = BLOCK, mode: str = "smote") -> DataFrame:
     """Training rows plus synthetic minority rows (``synthetic`` = true).
 
     ``mode="smote"`` spreads new rows evenly over minority rows;
     ``mode="adasyn"`` in proportion to the share of majority rows among each
     minority row's k nearest neighbours (all classes).
     """
-    keys = list(keys)
+    keys, k = list(keys), int(k)
+    df = cut_lineage(df, "oversample")   # counted, searched and returned
     counts = df.groupBy(by).agg(F.count_if(F.col(label) == 1).alias("_n1"),
                                 F.count_if(F.col(label) == 0).alias("_n0"))
     # the minority class is the smaller one of each task
     counts = counts.select(
-        by, F.when(F.col("_n1") <= F.col("_n0"), 1).otherwise(0).alias("_min"),
+        by, F.when(F.col("_n1") <= F.col("_n0"), 1).otherwise(0).alias("_class"),
         F.least("_n1", "_n0").alias("_nmin"), F.greatest("_n1", "_n0").alias("_nmaj"))
     counts = counts.withColumn("_new", F.greatest(F.floor(F.col("_nmaj") * F.lit(ratio)).cast("long")
                                                   - F.col("_nmin"), F.lit(0)))
-    base = df.withColumn("synthetic", F.lit(False))
-    # one row per task: bounded by the number of tasks
-    active = F.broadcast(counts.filter((F.col("_new") > 0) & (F.col("_nmin") > 0)))
-    minority = df.join(active, by).filter(F.col(label) == F.col("_min"))
-    pool = minority if mode == "smote" else df.join(active, by)
-    blocks = _blocked(pool.select(by, *keys, *cols, label, "_min"), by, cols, keys, block, seed)
-
-    out_fields = ([T.StructField(by, df.schema[by].dataType)]
-                  + [T.StructField(c, df.schema[c].dataType) for c in keys]
-                  + [T.StructField("_nbrs", T.ArrayType(T.ArrayType(T.DoubleType()))),
-                     T.StructField("_risk", T.DoubleType())])
-    schema = T.StructType(out_fields)
-    kk = int(k)
-
-    def neighbours(pdf: pd.DataFrame) -> pd.DataFrame:
-        home = pdf[pdf["_home"] & (pdf[label] == pdf["_min"])]
-        if home.empty:
-            return pd.DataFrame(columns=[f.name for f in out_fields])
-        cand = pdf.drop_duplicates(subset=keys)
-        X = cand[cols].astype("float64").fillna(0.0).to_numpy()
-        Q = home[cols].astype("float64").fillna(0.0).to_numpy()
-        is_min = (cand[label] == cand["_min"]).to_numpy()
-        d = (Q * Q).sum(1)[:, None] + (X * X).sum(1)[None, :] - 2.0 * (Q @ X.T)
-        qk = home[keys].astype(str).agg("|".join, axis=1).to_numpy()
-        ck = cand[keys].astype(str).agg("|".join, axis=1).to_numpy()
-        d[qk[:, None] == ck[None, :]] = np.inf          # not yourself
-        nb, risk = [], []
-        for i in range(len(Q)):
-            order = np.argsort(d[i], kind="stable")
-            finite = order[np.isfinite(d[i][order])]
-            if mode == "adasyn":
-                near = finite[:kk]
-                risk.append(float((~is_min[near]).mean()) if len(near) else 0.0)
-            mins = finite[is_min[finite]][:kk]
-            pts = X[mins] if len(mins) else Q[i:i + 1]
-            nb.append([list(map(float, r)) for r in pts])
-            if mode != "adasyn":
-                risk.append(1.0)
-        res = home[[by] + keys].copy()
-        res["_nbrs"] = nb
-        res["_risk"] = risk
-        return res
-
-    nbrs = blocks.groupBy(by, "_blk").applyInPandas(neighbours, schema)
-    src = minority.join(nbrs, [by, *keys])
+    active = counts.filter((F.col("_new") > 0) & (F.col("_nmin") > 0))
+    v = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols]).alias("_v")
+    pool = join_groups(df.filter(F.col(label).isin(0, 1)), active, [by]).select(
+        by, *keys, v, (F.col(label) == F.col("_class")).alias("_min"))
+    if mode == "smote":
+        pool = pool.filter("_min")
+    near = nearest_neighbours(pool, by, keys, k, seed, block, dims=len(cols))
+    minority = join_groups(df, active, [by]).filter(F.col(label) == F.col("_class"))
+    src = join_groups(minority, near, [by, *keys])
+    src = cut_lineage(src.withColumn("_h", md5_hash(keys, seed)), "neighbours")
     if mode == "adasyn":
-        tot = src.groupBy(by).agg(F.sum("_risk").alias("_rsum"))
-        src = src.join(F.broadcast(tot), by)
-        share = F.when(F.col("_rsum") > 0, F.col("_risk") / F.col("_rsum")).otherwise(1 / F.col("_nmin"))
-        src = src.withColumn("_reps", F.round(share * F.col("_new")).cast("long"))
+        all_k = F.slice("_near", 1, k)
+        risk = F.when(F.size(all_k) > 0, F.size(F.filter(all_k, lambda x: ~x["min"])) / F.size(all_k)).otherwise(F.lit(0.0))
+        src = src.withColumn("_risk", risk)
+        total = src.groupBy(by).agg(F.sum("_risk").alias("_rsum"))
+        src = join_groups(src, total, [by])
+        want = F.when(F.col("_rsum") > 0, F.col("_risk") / F.col("_rsum")).otherwise(1 / F.col("_nmin")) * F.col("_new")
+        src = src.withColumn("_whole", F.floor(want).cast("long")).withColumn("_frac", want - F.floor(want))
+        left = src.groupBy(by).agg((F.max("_new") - F.sum("_whole")).alias("_left"))
+        src = join_groups(global_rank(src, "_frac", tiebreak=["_h", *keys], by=[by], name="_hp"), left, [by])
+        src = src.withColumn("_reps", F.col("_whole") + F.when(F.col("_hp") <= F.col("_left"), 1).otherwise(0))
     else:
-        src = src.withColumn("_h", md5_hash(keys, seed))
-        src = global_rank(src, "_h", descending=False, tiebreak=keys, by=[by], name="_hp",
-                          buckets=1024, key_range=HASH_RANGE)
+        src = global_rank(src, "_h", descending=False, tiebreak=keys, by=[by], name="_hp", key_range=HASH_RANGE)
         per = F.floor(F.col("_new") / F.col("_nmin"))
         rem = F.col("_new") - per * F.col("_nmin")
         src = src.withColumn("_reps", (per + F.when(F.col("_hp") <= rem, 1).otherwise(0)).cast("long"))
     gen = (src.filter(F.col("_reps") > 0)
+           .withColumn("_to", F.slice(F.filter("_near", lambda x: x["min"]), 1, k))
            .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_reps").cast("int")))))
-    pick = (F.floor(_u(keys + ["copy"], seed, "n") * F.size("_nbrs")) + 1).cast("int")
-    gen = gen.withColumn("_nb", F.element_at("_nbrs", pick)).withColumn("_gap", _u(keys + ["copy"], seed, "g"))
-    synth_cols = {c: (F.col(c).cast("double") + F.col("_gap")
-                      * (F.element_at("_nb", i + 1) - F.col(c).cast("double"))).cast(df.schema[c].dataType)
-                  for i, c in enumerate(cols)}
-    synth = (gen.withColumns(synth_cols).withColumn("synthetic", F.lit(True))
-             .select(*base.columns))
-    return base.unionByName(synth)
+    pick = (F.floor(_u(keys + ["copy"], seed, "n") * F.size("_to")) + 1).cast("int")
+    # without any other minority row the copy is the row itself
+    nb = F.when(F.size("_to") > 0, F.try_element_at("_to", F.greatest(pick, F.lit(1)))["v"])
+    gen = gen.withColumn("_nb", nb).withColumn("_gap", _u(keys + ["copy"], seed, "g"))
+
+    own = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols])
+    gen = gen.withColumn("_own", own).withColumn("_mid", F.zip_with(
+        "_own", F.coalesce("_nb", "_own"), lambda x, y: x + F.col("_gap") * (y - x)))
+    synth = gen.withColumns({c: F.get("_mid", F.lit(i)).cast(df.schema[c].dataType) for i, c in enumerate(cols)}).withColumn("synthetic", F.lit(True))
+    return df.withColumn("synthetic", F.lit(False)).unionByName(synth.select(*df.columns, "synthetic"))
 
 
 def smote(df: DataFrame, cols: list[str], label: str = "label", by: str = "task", **kw) -> DataFrame:

@@ -26,11 +26,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..conf import RANDOM_STATE, SplitSpec
+from ..conf import RANDOM_STATE, RunConfig, SplitSpec
 from ..functions import metrics as M
-from ..operators.balance import class_weights, row_weights, sample_fraction
+from ..operators.balance import class_weights, row_weights, sample_fraction, sample_rows
 from ..operators.columns import complete_cases
 from ..operators.split import standardize, temporal_split
+from ..session import cut_lineage
+from ..sources import files as IO
 
 COMPLETE_CASE_MODELS = ("lr", "rf")
 
@@ -103,8 +105,7 @@ def train_eval(df: DataFrame, feats: list[str], label: str, model_type: str = "g
     if weighted:
         d = _weights(d)
     d = VectorAssembler(inputCols=used, outputCol="features", handleInvalid="keep").transform(d)
-    # the prepared table feeds the iterative fit and the scoring: cache it
-    # for this call; the (small) scored validation rows stay cached instead
+    # the prepared table feeds the iterative fit and the scoring: cache it for this call
     d = d.persist()
     train = d.filter(F.col("split") == "train")
     if model_type == "gbt":
@@ -117,21 +118,17 @@ def train_eval(df: DataFrame, feats: list[str], label: str, model_type: str = "g
         val = d.filter(F.col("split") == "val")
         scored = (model.transform(val)
                   .select(F.lit(task or label).alias("task"), "id", "wave", "label",
-                          vector_to_array("probability")[1].alias("prob"))).persist()
-        scored.count()
+                          vector_to_array("probability")[1].alias("prob")))
+        scored = cut_lineage(scored, "scored")   # read for several metrics
     finally:
         d.unpersist()
     return model, used, scored
 
 
 def metrics_row(scored: DataFrame) -> DataFrame:
-    """F2 at 0.5, average precision, ROC-AUC and best observed F2 threshold.
-
-    The scored validation rows are cached once (they come from a model
-    transform over a long lineage) and the curve points are built once.
-    """
-    s = scored.persist()
-    pts = M.curve_points(s).persist()
+    """F2 at 0.5, average precision, ROC-AUC and best observed F2 threshold; the curve points are
+    built once."""
+    pts = cut_lineage(M.curve_points(scored), "curve")
     roc, ap, _ = M._curve_aggs()
     curve = pts.groupBy("task").agg(
         F.when((F.first("P") > 0) & (F.first("N") > 0), roc).alias("ROC_AUC"),
@@ -139,7 +136,7 @@ def metrics_row(scored: DataFrame) -> DataFrame:
     f = M._fbeta(F.col("tp"), F.col("fp"), F.col("P") - F.col("tp"), 2.0)
     best = (pts.filter(F.col("P") > 0).withColumn("f", f).groupBy("task")
             .agg(F.max_by(F.col("prob"), F.struct(F.col("f"), -F.col("prob"))).alias("best_threshold")))
-    f2 = M.fbeta_at(s, 0.5, 2.0).withColumnRenamed("fbeta", "F2_score")
+    f2 = M.fbeta_at(scored, 0.5, 2.0).withColumnRenamed("fbeta", "F2_score")
     out = f2.join(curve, "task").join(best, "task", "left")
     return out.select("task", F.round("F2_score", 4).alias("F2_score"), F.round("PR_AUC", 4).alias("PR_AUC"),
                       F.round("ROC_AUC", 4).alias("ROC_AUC"),
@@ -184,39 +181,67 @@ def train_conditions(df: DataFrame, feats: list[str], targets: list[str], model_
     return out.unionByName(means)
 
 
-def run_condition(df: DataFrame, condition: str, feats: list[str], model_type: str = "gbt",
-                  sample: float | None = None, params: dict | None = None,
-                  min_rows: int = 1, use_smote: bool = False) -> DataFrame:
-    """Config-driven single-condition run: optional exact-size sample,
-    feature override (missing ones skipped), fail-fast row checks."""
-    target = f"target_{condition}"
+def run_condition(df: DataFrame, cfg: RunConfig, feats: list[str], min_rows: int = 1, use_smote: bool = False,
+                  out_dir: str | None = None) -> DataFrame:
+    """One run from a config: features of the config (else ``feats``) that are in the data, ``wave``
+    always first; an exact-size sample (``sample_fraction``) or the first ``sample_rows`` rows by key
+    if asked for; too few labelled rows are an error.  With ``out_dir`` the record (JSON), the
+    importances (CSV) and the run log are written below it.  Returns the metrics row."""
+    target = f"target_{cfg.condition}"
     if target not in df.columns:
         raise ValueError(f"no target column {target}")
-    present = [c for c in feats if c in df.columns]
+    present = [c for c in (cfg.features or feats) if c in df.columns and c != "wave"]
     if not present:
         raise ValueError("none of the requested features is in the data")
-    d = df if sample is None else sample_fraction(df, sample, ["id", "wave"])
-    labelled = d.filter(F.col(target).isNotNull())
-    if len(labelled.select("id").take(min_rows)) < min_rows:
+    used = ["wave", *present]
+    d = df.select("id", *used, target)
+    if cfg.sample_fraction is not None:
+        d = sample_fraction(d, cfg.sample_fraction, ["id", "wave"])
+    elif cfg.sample_rows:
+        d = sample_rows(d, cfg.sample_rows, ["id", "wave"])
+    if len(d.filter(F.col(target).isNotNull()).select("id").take(min_rows)) < min_rows:
         raise ValueError(f"fewer than {min_rows} labelled rows for {target}")
-    _, _, scored = train_eval(d, present, target, model_type, params, task=condition, use_smote=use_smote)
-    return metrics_row(scored).withColumn("model_type", F.lit(model_type))
-
-
-def run_sweep(df: DataFrame, grid: DataFrame, feature_sets: dict[str, list[str]], condition: str) -> DataFrame:
-    """Run every grid row (model, feature_set, use_smote); failures become
-    rows with an ``error`` instead of stopping the sweep.  The grid is a
+    model, names, scored = train_eval(d, used, target, cfg.model_type, cfg.params, cfg.split, cfg.condition, use_smote)
+    row = metrics_row(scored).withColumn("model_type", F.lit(cfg.model_type))
+    if out_dir is not None:
+        row = cut_lineage(row, "metrics")
+        IO.write_json(row.withColumn("features", F.array(*map(F.lit, names))), f"{out_dir}/record")
+        if hasattr(model, "featureImportances") or hasattr(model, "coefficients"):
+            IO.write_csv(feature_importance(df.sparkSession, model, names), f"{out_dir}/importances")
+        keys = ["F2_score", "PR_AUC", "ROC_AUC"]
+        stack = ", ".join(f"'{k}', {k}" for k in keys)
+        IO.log_run(row.selectExpr(f"'{cfg.condition}' AS experiment", f"'{cfg.model_type}' AS run_id", "'metrics' AS kind",
+                                  f"stack({len(keys)}, {stack}) AS (key, value)")
+                   .withColumn("text", F.lit(None).cast("string")).withColumn("logged_at", F.current_timestamp()), f"{out_dir}/log")
+    return row
+
+
+QUICK_GRID = {"models": ["gbt"], "feature_sets": ["top8", "all"], "smote": (False,)}
+FULL_GRID = {"models": ["lr", "rf", "gbt", "mlp"], "feature_sets": ["top8", "top50", "min_imp_5", "all"], "smote": (False, True)}
+
+
+def run_sweep(df: DataFrame, grid: DataFrame, feature_sets: dict[str, list[str]], condition: str,
+              params: dict[str, dict] | None = None, threads: int = 4) -> DataFrame:
+    """Run every grid row (model, feature_set, use_smote) over one cached table,
+    a few at a time; a run that its data or configuration doesn't allow becomes
+    a row with an ``error``, any other failure stops the sweep.  The grid is a
     small configuration table, so its rows are read on the driver."""
     spark = df.sparkSession
-    rows = []
-    for g in grid.orderBy("model", "feature_set", "use_smote").collect():
+    base = df.persist()
+
+    def one(g):
+        cfg = RunConfig(condition, g["model"], feature_sets[g["feature_set"]], params=(params or {}).get(g["model"], {}))
         try:
-            m = run_condition(df, condition, feature_sets[g["feature_set"]], g["model"],
-                              use_smote=bool(g["use_smote"])).first()
-            rows.append((g["model"], g["feature_set"], bool(g["use_smote"]), m["ROC_AUC"], m["PR_AUC"],
-                         m["F2_score"], None))
-        except Exception as e:  # noqa: BLE001 - a failed run is a result row
-            rows.append((g["model"], g["feature_set"], bool(g["use_smote"]), None, None, None,
-                         f"{type(e).__name__}: {str(e)[:200]}"))
+            m = run_condition(base, cfg, [], use_smote=bool(g["use_smote"])).first()
+            result = (m["ROC_AUC"], m["PR_AUC"], m["F2_score"], None)
+        except ValueError as e:
+            result = (None, None, None, f"{type(e).__name__}: {str(e)[:200]}")
+        return (g["model"], g["feature_set"], bool(g["use_smote"]), *result)
+
+    try:
+        with ThreadPoolExecutor(max_workers=threads) as ex:
+            rows = list(ex.map(one, grid.orderBy("model", "feature_set", "use_smote").collect()))
+    finally:
+        base.unpersist()
     return spark.createDataFrame(rows, "model string, feature_set string, use_smote boolean, "
                                        "roc double, pr double, f2 double, error string")

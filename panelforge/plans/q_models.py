@@ -1,7 +1,8 @@
 """Queries: model jobs (E1-E8) and synthetic oversampling.
 
-These are not SQL-expressible (iterative fits, neighbour search), so they
-carry no oracle; the tests check their invariants on small fixtures.
+Iterative fits are not SQL-expressible, so they carry no oracle; tests check
+them on a separable and a constant set.  Of the synthetic rows, SQL fixes the
+number per task and the range they lie in.
 """
 from __future__ import annotations
 
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import experiment_grid
 from ..operators.smote import adasyn, smote
-from ..sources.files import read_table
+from ..conf import RunConfig
+from ..session import cut_lineage, scratch_path
+from ..sources.files import read_run_log, read_table
 from . import fixtures as fx
 from . import models as MD
 from .fixtures import FEATURES, TARGETS
@@ -46,39 +49,84 @@ def q_train_conditions(spark, sf):
 
 @query("run_condition")
 def q_run_condition(spark, sf):
-    return MD.run_condition(fx.model(spark, sf), "STF", FEATURES + ["BMI"], "gbt", sample=0.5,
-                            params=_SMALL["gbt"])
+    """A full run: all rows, outputs written; the result joins the metrics with what the run log says."""
+    out = scratch_path(spark, "run")
+    row = MD.run_condition(fx.model(spark, sf), RunConfig("STF", "gbt", FEATURES + ["BMI"], params=_SMALL["gbt"]), [], out_dir=out)
+    logged = read_run_log(spark, f"{out}/log").agg(F.count("key").alias("n_logged"))
+    return row.crossJoin(logged)   # one row each
+
+
+@query("run_condition_sampled")
+def q_run_condition_sampled(spark, sf):
+    return MD.run_condition(fx.model(spark, sf), RunConfig("URGE", "lr", FEATURES, sample_fraction=0.5, params=_SMALL["lr"]), [])
+
+
+@query("experiment_grids", "SELECT * FROM (VALUES " + ", ".join(
+    f"('{name}', '{m}', '{f}', {str(s).lower()})" for name, g in (("quick", MD.QUICK_GRID), ("full", MD.FULL_GRID))
+    for m in g["models"] for f in g["feature_sets"] for s in g["smote"])
+    + ") v(mode, model, feature_set, use_smote), (SELECT count(*) AS n_rows FROM customer) c")
+def q_experiment_grids(spark, sf):
+    """Quick and full grids, with the number of subjects each run would read."""
+    out = None
+    for name, g in (("quick", MD.QUICK_GRID), ("full", MD.FULL_GRID)):
+        models = spark.createDataFrame([(m,) for m in g["models"]], "model string")
+        one = experiment_grid(models, g["feature_sets"], smote=g["smote"]).select(F.lit(name).alias("mode"), "model", "feature_set", "use_smote")
+        out = one if out is None else out.unionByName(one)
+    n = read_table(spark, f"{sf}/customer.parquet").agg(F.count("*").alias("n_rows"))
+    return out.crossJoin(n)   # one row
 
 
 @query("run_sweep")
 def q_run_sweep(spark, sf):
-    m = fx.model(spark, sf)
-    models = spark.createDataFrame([("lr",), ("bogus",)], "model string")
+    models = spark.createDataFrame([(m,) for m in (*MD.FULL_GRID["models"], "bogus")], "model string")
     sets = {"all": FEATURES}
-    grid = experiment_grid(models, list(sets), smote=(False, True))
+    grid = experiment_grid(models, list(sets), smote=(False,))
     # STF is the rarest condition: SMOTE has work to do there
-    return MD.run_sweep(m, grid, sets, "STF")
+    grid = grid.unionByName(experiment_grid(models.filter("model = 'lr'"), list(sets), smote=(True,)))
+    return MD.run_sweep(fx.model(spark, sf), grid, sets, "STF", _SMALL)
 
 
-def _vectors(spark, sf, dims=16):
-    """One-vs-rest tasks over the embedding classes: rare positives."""
+DIMS = 64   # of the embeddings table
+# One-vs-rest tasks over the embedding classes: rare positives.
+_VEC_SQL = """
+    v AS (SELECT 'C' || CAST(k AS VARCHAR) AS task, CAST(label = k AS INTEGER) AS label, embedding AS e FROM embeddings, range(0, 10) AS g(k)),
+    c AS (SELECT task, count(*) FILTER (WHERE label = 1) AS n1, count(*) FILTER (WHERE label = 0) AS n0 FROM v GROUP BY task),
+    n AS (SELECT *, CASE WHEN least(n1, n0) > 0 THEN greatest(CAST(floor(greatest(n1, n0) * CAST(0.33 AS DOUBLE)) AS BIGINT) - least(n1, n0), 0) ELSE 0 END AS new FROM c)"""
+# New rows lie between two minority rows, so inside the minority's range in every dimension.
+_SYNTH_SQL = f"WITH {_VEC_SQL} SELECT task, n1 + n0 AS n_rows, new AS n_synthetic, 0 AS n_outside FROM n"
+
+
+def _vectors(spark, sf):
     e = read_table(spark, f"{sf}/embeddings.parquet")
-    cols = [F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(dims)]
+    cols = [F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(DIMS)]
     tasks = F.explode(F.sequence(F.lit(0), F.lit(9)))
-    return (e.select(F.col("vec_id").alias("id"), F.lit(0).alias("wave"), "label", *cols)
+    return (e.select(F.col("vec_id").alias("id"), F.lit(0).alias("wave"), F.col("label").alias("_l"), *cols)
             .withColumn("k", tasks)
             .select(F.concat(F.lit("C"), F.col("k").cast("string")).alias("task"), "id", "wave",
-                    (F.col("label") == F.col("k")).cast("int").alias("label"),
-                    *[f"e{i}" for i in range(dims)]))
-
-
-@query("smote")
+                    (F.col("_l") == F.col("k")).cast("int").alias("label"),
+                    *[f"e{i}" for i in range(DIMS)]))
+
+
+def _synthetic(over, v):
+    """Per task: rows, new rows, and new rows outside the minority's range in some dimension."""
+    cols = [f"e{i}" for i in range(DIMS)]
+    out = cut_lineage(over(v, cols), "synthetic")
+    lo = [F.min(F.when((F.col("label") == 1) & ~F.col("synthetic"), F.col(c))).alias(f"lo_{c}") for c in cols]
+    hi = [F.max(F.when((F.col("label") == 1) & ~F.col("synthetic"), F.col(c))).alias(f"hi_{c}") for c in cols]
+    ranged = out.join(out.groupBy("task").agg(*lo, *hi), "task")
+    outside = F.lit(False)
+    for c in cols:
+        outside = outside | (F.col(c) < F.col(f"lo_{c}") - 1e-9) | (F.col(c) > F.col(f"hi_{c}") + 1e-9)
+    return ranged.groupBy("task").agg(
+        F.count_if(~F.col("synthetic")).alias("n_rows"), F.count_if("synthetic").alias("n_synthetic"),
+        F.count_if(F.col("synthetic") & outside).alias("n_outside"))
+
+
+@query("smote", _SYNTH_SQL)
 def q_smote(spark, sf):
-    v = _vectors(spark, sf)
-    return smote(v, [c for c in v.columns if c.startswith("e")])
+    return _synthetic(smote, _vectors(spark, sf))
 
 
-@query("adasyn")
+@query("adasyn", _SYNTH_SQL)
 def q_adasyn(spark, sf):
-    v = _vectors(spark, sf)
-    return adasyn(v, [c for c in v.columns if c.startswith("e")])
+    return _synthetic(adasyn, _vectors(spark, sf))
