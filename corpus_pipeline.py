@@ -49,8 +49,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
     pattern = public_tokenizers.PATTERN
     ranks = bpe.read_ranks(spark, public_tokenizers.path(VOCABULARY))
-    both = bpe.decode(bpe.encode(docs.select("doc_id", "text"), ranks, pattern).drop("text"), ranks, pattern)
-    return bpe.digest(both, keep=("ids",))
+    return bpe.digest(bpe.encode(docs.select("doc_id", "text"), ranks, pattern, decoded="decoded"), keep=("ids",))
 
 
 STAGES = [

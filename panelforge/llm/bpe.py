@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CACHE = 1 << 17  # distinct pieces remembered by one Python worker
-MEMO = 1 << 20   # adjacent token pairs remembered by one Python worker
-SLICE = 1 << 22  # characters of text handled (and returned) at once
+MEMO = 1 << 18   # adjacent token pairs remembered by one Python worker
+SLICE = 1 << 20  # characters of text handled (and returned) at once
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -88,16 +88,17 @@ class Codec:
                 if t[:k] in usable:
                     self.shorter[ranks[t]] = ranks[t[:k]]
                     break
-        self.memo: dict[tuple[int, int], bool] = {}
+        self.memo: dict[int, bool] = {}
         self.cache: dict[str, tuple[int, ...]] = {}
 
     def compatible(self, a: int, b: int) -> bool:
         """Would merging the bytes of a and b give a, b again?"""
-        known = self.memo.get((a, b))
+        key = a << 32 | b
+        known = self.memo.get(key)
         if known is None:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
-            known = self.memo[a, b] = self._compatible(a, b)
+            known = self.memo[key] = self._compatible(a, b)
         return known
 
     def _compatible(self, a: int, b: int) -> bool:
@@ -188,11 +189,12 @@ def _spans(lengths: np.ndarray, most: int):
         start = min(stop, len(lengths))
 
 
-def _map_column(df: DataFrame, col: str, out: str, kind: T.DataType, make):
-    """Append ``out`` = f(column ``col``) over Arrow batches; other columns pass through untouched
-    by position, so clashing names do no harm."""
-    schema = T.StructType([f for f in df.schema.fields if f.name != out] + [T.StructField(out, kind)])
-    keep = [i for i, f in enumerate(df.schema.fields) if f.name != out]
+def _map_column(df: DataFrame, col: str, out: dict[str, T.DataType], make):
+    """Append the columns ``out`` = f(column ``col``) over Arrow batches; other columns pass through
+    untouched by position, so clashing names do no harm."""
+    kept = [f for f in df.schema.fields if f.name not in out]
+    schema = T.StructType([*kept, *(T.StructField(n, t) for n, t in out.items())])
+    keep = [df.columns.index(f.name) for f in kept]
     at = df.columns.index(col)
 
     def run(batches):
@@ -203,14 +205,19 @@ def _map_column(df: DataFrame, col: str, out: str, kind: T.DataType, make):
                 if len(c) and pa.types.is_string(c.type) else np.full(len(c), 1024)
             for a, b in _spans(sizes, SLICE):
                 part = batch.slice(a, b - a)
-                arrays = [part.column(i) for i in keep] + [f(part.column(at))]
-                yield pa.RecordBatch.from_arrays(arrays, names=[schema.fields[i].name for i in range(len(arrays))])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in keep), *f(part.column(at))], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
 
-def encode(df: DataFrame, ranks, pattern: str, text_col: str = "text", out: str = "ids") -> DataFrame:
-    """Append ``out``, the token ids of every text (array of int; empty for NULL)."""
+def _decoded(codec: Codec, flat: list[int], ends: list[int]) -> pa.Array:
+    return pa.array([codec.decode(flat[a:b]) for a, b in zip(ends[:-1], ends[1:])], pa.binary())
+
+
+def encode(df: DataFrame, ranks, pattern: str, text_col: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
+    """Append ``out``, the token ids of every text (array of int; empty for NULL), and, if named,
+    ``decoded``, the bytes that these ids decode to (the same as ``decode`` afterwards, without a
+    second trip of the ids through Python)."""
     def make():
         codec = _codec(ranks.value, pattern)
 
@@ -219,10 +226,12 @@ def encode(df: DataFrame, ranks, pattern: str, text_col: str = "text", out: str
             for t in texts.to_pylist():
                 flat.extend(codec.encode(t or ""))
                 ends.append(len(flat))
-            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, dtype=np.int32)))
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, dtype=np.int32)))
+            return [ids, _decoded(codec, flat, ends)] if decoded else [ids]
         return f
 
-    return _map_column(df, text_col, out, T.ArrayType(T.IntegerType()), make)
+    kinds = {out: T.ArrayType(T.IntegerType())} | ({decoded: T.BinaryType()} if decoded else {})
+    return _map_column(df, text_col, kinds, make)
 
 
 def decode(df: DataFrame, ranks, pattern: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -233,11 +242,11 @@ def decode(df: DataFrame, ranks, pattern: str, ids_col: str = "ids", out: str =
         def f(ids):
             flat = ids.values.to_numpy()
             ends = np.frombuffer(ids.buffers()[1], dtype=np.int32)[ids.offset:ids.offset + len(ids) + 1]
-            return pa.array([codec.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:])], pa.binary())
+            return [pa.array([codec.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:])], pa.binary())]
         return f
 
     df = df.withColumn(ids_col, F.coalesce(ids_col, F.array().cast("array<int>")))
-    return _map_column(df, ids_col, out, T.BinaryType(), make)
+    return _map_column(df, ids_col, {out: T.BinaryType()}, make)
 
 
 def digest(encoded: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -252,4 +261,4 @@ def digest(encoded: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 def encode_documents(spark, docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encode and decode every text of ``docs`` and return one digest row a document."""
     ranks = read_ranks(spark, path)
-    return digest(decode(encode(docs.select("doc_id", "text"), ranks, pattern).drop("text"), ranks, pattern))
+    return digest(encode(docs.select("doc_id", "text"), ranks, pattern, decoded="decoded"))

@@ -115,10 +115,10 @@ def find_secrets(df: DataFrame, text_col: str = "text", out: str = "spans") -> D
         arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
         def f(texts):
-            return pa.array([[{"kind": k, "start": a, "end": b} for a, b, k in scan(t or "", novelty)] for t in texts.to_pylist()], arrow)
+            return [pa.array([[{"kind": k, "start": a, "end": b} for a, b, k in scan(t or "", novelty)] for t in texts.to_pylist()], arrow)]
         return f
 
-    return _map_column(df, text_col, out, kind, make)
+    return _map_column(df, text_col, {out: kind}, make)
 
 
 def redact(text: str, spans) -> str:
@@ -147,9 +147,9 @@ def redact_secrets(df: DataFrame, text_col: str = "text") -> DataFrame:
             spans = scan(t, novelty) if t else ()
             return redact(t, [{"kind": k, "start": a, "end": b} for a, b, k in spans]) if spans else t
 
-        return lambda texts: pa.array([one(t) for t in texts.to_pylist()], pa.string())
+        return lambda texts: [pa.array([one(t) for t in texts.to_pylist()], pa.string())]
 
-    return _map_column(df, text_col, text_col, T.StringType(), make).select(*[f"`{c}`" for c in order])
+    return _map_column(df, text_col, {text_col: T.StringType()}, make).select(*[f"`{c}`" for c in order])
 
 
 def _joined(spans):
