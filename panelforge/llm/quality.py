@@ -217,7 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
 
     got = training_sample(docs, labels, label, rows).mapInPandas(run, "doc_id bigint, y int, x array<float>").collect()
     got.sort(key=lambda r: (r["doc_id"], r["x"]))
-    x = np.array([r["x"] for r in got], np.float64).reshape(len(got), -1)
+    x = np.array([r["x"] for r in got], np.float64).reshape(len(got), 2 * DIMS + 1)
     y = np.array([r["y"] == 1 for r in got], np.float64)
     check = np.array([zlib.crc32(str(r["doc_id"]).encode()) // 5 % 5 == 0 for r in got], bool)
     return table, Network(x, y, check)
@@ -235,7 +235,7 @@ def classify(docs: DataFrame, model) -> DataFrame:
         table, network = shared.value
         pool = Pool(table)
         for b in batches:
-            x = np.array([pool(t.as_py()) for t in b.column(at)], np.float64).reshape(b.num_rows, -1)
+            x = np.array([pool(t.as_py()) for t in b.column(at)], np.float64).reshape(b.num_rows, 2 * DIMS + 1)
             score = network(x) if b.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=names)
 

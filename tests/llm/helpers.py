@@ -5,6 +5,7 @@ import random
 
 SF = "/root/testdata/sf0.001"
 SF01 = "/root/testdata/sf0.01"
+SF1 = "/root/testdata/sf0.1"
 TABLES = ["documents", "benchmark", "labels", "conversations"]
 
 #: extra columns whose names clash with working columns of the operators

@@ -2,7 +2,7 @@ import math
 import random
 
 import numpy as np
-from helpers import SF01, docs_frame, edge_texts
+from helpers import SF01, SF1, docs_frame, edge_texts
 
 from panelforge.llm import quality, toxicity
 
@@ -13,22 +13,25 @@ def auc(y, s):
     return sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
 
 
-def held(spark, name, label):
+def held(spark, name, label, sf):
     from panelforge.llm import queries as q
-    truth = {r["doc_id"]: r[label] for r in spark.read.parquet(f"{SF01}/labels.parquet").collect()}
-    got = q.QUERIES[name](spark, SF01).collect()
-    assert all(0 <= r["score"] <= 1 for r in got) and len(got) == 1000
+    truth = {r["doc_id"]: r[label] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").count()
+    got = q.QUERIES[name](spark, sf).drop("evidence").collect()
+    assert all(0 <= r["score"] <= 1 for r in got) and len(got) == docs
     rows = [(truth[r["doc_id"]], r["score"], r["predicted"]) for r in got if r["held_out"] and r["doc_id"] in truth]
     return [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]
 
 
 def test_toxicity_held_out(spark):
-    y, s, p = held(spark, "op8_toxicity", "toxic")
-    assert auc(y, s) > 0.85 and sum(a == b for a, b in zip(y, p)) >= 0.93 * len(y)
+    # sf0.01 has six toxic documents held out, two of them labelled so by chance: sf0.1 has 97
+    y, s, p = held(spark, "op8_toxicity", "toxic", SF1)
+    assert auc(y, s) > 0.93 and sum(a == b for a, b in zip(y, p)) >= 0.97 * len(y)
+    assert sum(b for a, b in zip(y, p) if not a) <= 0.015 * y.count(0)
 
 
 def test_quality_held_out(spark):
-    y, s, p = held(spark, "op10_quality", "quality")
+    y, s, p = held(spark, "op10_quality", "quality", SF01)
     assert auc(y, s) > 0.95 and sum(a == b for a, b in zip(y, p)) >= 0.95 * len(y)
 
 
