@@ -1,7 +1,8 @@
 import importlib
 
 import pytest
-from helpers import SF, docs_frame, edge_texts, sha
+from helpers import SF01 as SF
+from helpers import docs_frame, edge_texts, sha
 
 import corpus_pipeline as cp
 from panelforge.llm import common, secrets
