@@ -147,3 +147,11 @@ def op3_maxent_lm(spark, sf_dir):
     from .lm import score, train
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return score(docs, *train(docs))
+
+
+@query
+def op5_surrogates(spark, sf_dir):
+    from .pii import replace_entities
+    found = replace_entities(table(spark, sf_dir, "documents"), key="corpus")
+    spans = F.concat_ws(",", F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+    return found.select("doc_id", "text", "n_entities", spans.alias("spans"))
