@@ -29,9 +29,12 @@ def truncate(x: Column, n: int = 447, ellipsis: str = "...") -> Column:
 
 def joined_truncated(df: DataFrame, by: str, value: str, n: int = 447, sep: str = ", ") -> DataFrame:
     """Per group: the values joined with ``sep`` in sorted order, cut to ``n``
-    characters plus ``...``.  Only the first ``n + 1`` values of a group can
-    reach the cut, so no more than that are collected per group."""
+    characters plus ``...``; NULL values are left out.  Each value takes at least
+    the separator's length (empty ones are left out if that is 0), so only the
+    first values that can reach the cut are collected per group."""
+    least = max(1, len(sep))
+    kept = df.filter(F.col(value).isNotNull() if sep else F.length(value) > 0)
     w = Window.partitionBy(by).orderBy(value)
-    head = df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n + 1)
+    head = kept.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n // least + 2)
     joined = F.array_join(F.array_sort(F.collect_list(value)), sep)
     return head.groupBy(by).agg(truncate(joined, n).alias("joined"))

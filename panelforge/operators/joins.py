@@ -26,14 +26,19 @@ def normalise_key(side: DataFrame, key: str = "id", alt_key: str = "HHIDPN",
 
 
 def merge_person(panel: DataFrame, person: DataFrame, key: str = "id",
-                 alt_key: str = "HHIDPN", suffix: str = "_fam") -> DataFrame:
+                 alt_key: str = "HHIDPN", suffix: str = "_fam", check_unique: bool = True) -> DataFrame:
     """Left-join a one-row-per-person table onto the panel.
 
     Unmatched panel rows keep NULLs, persons absent from the panel are
     dropped, and side columns whose name is already in the panel get
-    ``suffix``.
+    ``suffix``.  A key that occurs twice would multiply panel rows: it is an
+    error (``check_unique``; one aggregate of the side table's keys).
     """
     person = normalise_key(person, key, alt_key, panel.schema[key].dataType)
+    if check_unique:
+        twice = person.filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1").take(3)
+        if twice:
+            raise ValueError(f"the person table has more than one row for {[r[0] for r in twice]}")
     overlap = (set(panel.columns) - {key}) & (set(person.columns) - {key})
     if overlap:
         person = person.withColumnsRenamed({c: f"{c}{suffix}" for c in overlap})

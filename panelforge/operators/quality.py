@@ -123,8 +123,10 @@ def feature_stats(df: DataFrame, cols: list[str]) -> DataFrame:
 
 # -- A6 ---------------------------------------------------------------------
 def quality_report(long: DataFrame, model: DataFrame, cols: list[str],
-                   key: str = "id", time: str = "wave") -> DataFrame:
-    """Everything above as (section, item, metric, value).
+                   key: str = "id", time: str = "wave", target: str | None = None) -> DataFrame:
+    """Everything above as (section, item, metric, value), with the waves of the
+    long table and, for a ``target``, the rows of the final training set (labelled
+    complete cases) as sections ``X_final`` and ``y_conditions``.
 
     The model-table part is a single aggregation pass; the long-table part is
     one more pass plus the rows-per-wave group-by.
@@ -134,6 +136,8 @@ def quality_report(long: DataFrame, model: DataFrame, cols: list[str],
     targets = target_columns(model)
     aggs = [F.count(F.lit(1)).alias("_n"), F.count_if(all_present(present)).alias("_cc")]
     aggs += [F.count_if(F.col(c).isNull()).alias(f"_m{i}") for i, c in enumerate(present)]
+    if target:
+        aggs.append(F.count_if(F.col(target).isNotNull() & all_present(present)).alias("_final"))
     for i, t in enumerate(targets):
         aggs += [F.count(t).alias(f"_v{i}"), F.count_if(F.col(t) == 1).alias(f"_e{i}")]
     for i, c in enumerate(num):
@@ -141,7 +145,8 @@ def quality_report(long: DataFrame, model: DataFrame, cols: list[str],
                  F.max(F.col(c).cast("double")).alias(f"_hi{i}"),
                  F.round(F.avg(c), 4).alias(f"_mu{i}")]
     one = model.agg(*aggs)
-    rows = [["'model'", "''", "'rows'", "_n"],
+    rows = [["'X_final'", "''", "'rows'", "_final"], ["'y_conditions'", "''", "'rows'", "_final"]] if target else []
+    rows += [["'model'", "''", "'rows'", "_n"],
             ["'step5'", "''", "'rows_total'", "_n"],
             ["'step5'", "''", "'complete_cases'", "_cc"],
             ["'step5'", "''", "'rows_with_any_missing_feature'", "_n - _cc"]]
@@ -170,7 +175,9 @@ def quality_report(long: DataFrame, model: DataFrame, cols: list[str],
                 .select(F.lit("long_rows_per_wave").alias("section"),
                         F.col(time).cast("string").alias("item"), F.lit("rows").alias("metric"),
                         F.col("rows").cast("double").alias("value")))
-    return long_part.unionByName(per_wave).unionByName(model_part)
+    waves = per_wave.select(F.lit("long").alias("section"), "item", F.lit("waves").alias("metric"),
+                            F.col("item").cast("double").alias("value"))
+    return long_part.unionByName(per_wave).unionByName(waves).unionByName(model_part)
 
 
 # -- A14, A15 ---------------------------------------------------------------

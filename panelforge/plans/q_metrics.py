@@ -173,3 +173,13 @@ _PT = f"({_CLIP} * label + (1 - {_CLIP}) * (1 - label))"
     FROM scored WHERE label IS NOT NULL GROUP BY task""", ["loss"]))
 def q_focal_loss(spark, sf):
     return rnd(M.focal_loss(_scored(spark, sf), 2.0, 0.25), ["loss"])
+
+
+@query("focal_loss_weighted", msql(f"""
+    SELECT s.task, avg((least(w.pos_weight / 20.0::DOUBLE, 0.75::DOUBLE) * label + (1 - least(w.pos_weight / 20.0::DOUBLE, 0.75::DOUBLE)) * (1 - label))
+                       * pow(1 - {_PT}, 2.0) * -ln({_PT})) AS loss
+    FROM scored s JOIN cw w ON w.task = s.task WHERE s.label IS NOT NULL GROUP BY s.task""", ["loss"], extra=_W))
+def q_focal_loss_weighted(spark, sf):
+    s = _scored(spark, sf)
+    w = class_weights(s).select("task", F.col("scale_pos_weight").alias("pos_weight"))
+    return rnd(M.focal_loss(s, 2.0, weights=w), ["loss"])

@@ -78,6 +78,9 @@ def _report_sql():
     parts = ["SELECT 'long' AS section, '' AS item, 'rows' AS metric, count(*)::DOUBLE AS value FROM plong",
              "SELECT 'long', '', 'unique_ids', count(DISTINCT id)::DOUBLE FROM plong",
              "SELECT 'long_rows_per_wave', CAST(wave AS VARCHAR), 'rows', count(*)::DOUBLE FROM plong GROUP BY wave",
+             "SELECT DISTINCT 'long', CAST(wave AS VARCHAR), 'waves', wave::DOUBLE FROM plong",
+             f"SELECT 'X_final', '', 'rows', (count(*) FILTER (WHERE target_URGE IS NOT NULL AND {_ALL}))::DOUBLE FROM model",
+             f"SELECT 'y_conditions', '', 'rows', (count(*) FILTER (WHERE target_URGE IS NOT NULL AND {_ALL}))::DOUBLE FROM model",
              "SELECT 'model', '', 'rows', count(*)::DOUBLE FROM model",
              "SELECT 'step5', '', 'rows_total', count(*)::DOUBLE FROM model",
              f"SELECT 'step5', '', 'complete_cases', (count(*) FILTER (WHERE {_ALL}))::DOUBLE FROM model",
@@ -101,7 +104,7 @@ def _report_sql():
 @query("quality_report", oracle(["model", "plong"], _report_sql()))
 def q_quality_report(spark, sf):
     long = cut_lineage(R.filter_waves(fx.panel(spark, sf), 3, 14), "long")   # profiled and modelled
-    return Q.quality_report(long, incident_targets(long, COND_NAMES), _MISS_COLS)
+    return Q.quality_report(long, incident_targets(long, COND_NAMES), _MISS_COLS, target="target_URGE")
 
 
 # -- class weights, weights, sampling ---------------------------------------
@@ -132,6 +135,14 @@ def q_row_weights(spark, sf):
 _H = "('0x' || substr(md5(concat_ws('|', {cols}, '42')), 1, 15))::BIGINT"
 
 
+@query("row_weights_scale_pos", task_split_sql(f"""
+    SELECT t.*, CASE WHEN t.label = 1 THEN w.scale_pos_weight ELSE 1.0::DOUBLE END AS weight
+    FROM ts t JOIN ({_CW_SQL}) w ON w.task = t.task WHERE t.split = 'train'""", ["weight"]))
+def q_row_weights_scale_pos(spark, sf):
+    tr = _train(spark, sf)
+    return rnd(B.row_weights(tr, B.class_weights(tr), "scale_pos_weight"), ["weight"])
+
+
 @query("sample_fraction", oracle(["model"], f"""
     SELECT * EXCLUDE (_h, _r) FROM (
       SELECT *, {_H.format(cols='id, wave')} AS _h,

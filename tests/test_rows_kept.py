@@ -108,3 +108,24 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
 
     with pytest.raises(ValueError):
         ensure_checkpoint_dir(Session())
+
+
+def test_person_side_must_be_unique(spark):
+    from panelforge.operators.joins import merge_person
+    panel = spark.createDataFrame([(1, 3), (1, 4)], "id long, wave int")
+    side = spark.createDataFrame([(1, "a"), (1, "b")], "id long, x string")
+    with pytest.raises(ValueError):
+        merge_person(panel, side)
+    assert merge_person(panel, side, check_unique=False).count() == 4
+
+
+def test_joined_values_skip_nulls(spark):
+    from panelforge.functions.scalars import joined_truncated
+    rows = [("g", None)] * 50 + [("g", f"{i:03d}") for i in range(40)]
+    df = spark.createDataFrame(rows, "g string, v string")
+    full = "".join(f"{i:03d}" for i in range(40))
+    for sep in ("", ";", ", "):
+        want = sep.join(f"{i:03d}" for i in range(40))
+        got = joined_truncated(df, "g", "v", 20, sep).first().joined
+        assert got == want[:20] + "..."
+    assert joined_truncated(df, "g", "v", 200, "").first().joined == full
