@@ -68,7 +68,25 @@ PATTERNS = [
     ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)")),
 ]
 PERSON = re.compile(rf"\b(?:(?P<title>{'|'.join(sorted(TITLES, key=len, reverse=True))})\.? (?:(?P<given>{_CAP}) )?(?P<last>{_CAP})|(?P<known>{_GIVEN}) (?P<last2>{_CAP}))\b")
-_HINT = re.compile(rf"\b(?:{'|'.join(sorted({*TITLES, *_NAMES}, key=len, reverse=True))})\b")
+
+
+@functools.cache
+def _names():
+    import ahocorasick
+    found = ahocorasick.Automaton()
+    for w in {*TITLES, *_NAMES}:
+        found.add_word(w, len(w))
+    found.make_automaton()
+    return found
+
+
+def _may_name(text: str) -> bool:
+    """Is a title or given name in the text as a word? One linear pass, far cheaper than ``PERSON``."""
+    for end, n in _names().iter(text):
+        if not text[end - n:end - n + 1].isalnum() and not text[end + 1:end + 2].isalnum():
+            return True
+    return False
+
 
 
 def _number(key: bytes, label: str, value: int) -> int:
@@ -167,7 +185,7 @@ def detect(text: str | None) -> list[tuple[int, int, str]]:
         if "@" in text if kind == "email" else digits:
             for m in pattern.finditer(text):
                 add(*m.span(), kind)
-    if _HINT.search(text):
+    if _may_name(text):
         last = set()
         for m in PERSON.finditer(text):
             for group, kind in (("given", "given"), ("known", "given"), ("last", "surname"), ("last2", "surname")):
