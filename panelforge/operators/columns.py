@@ -2,12 +2,12 @@
 
 Column-role rules work on names.  Two forms are offered: plain Python on a
 list of column names (what a job uses to build its ``select``), and the same
-rules over a DataFrame of names (``columns_frame``) so long feature
-catalogues and importance tables are processed as Spark jobs.
+rules over a DataFrame (feature, pos) of names, so long feature catalogues and
+importance tables are processed as Spark jobs.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..conf import AGG_KEYWORDS, PanelSpec
@@ -92,12 +92,6 @@ def project_xy(df: DataFrame, features: list[str], targets: list[str],
     return df.select(*keep, *feats, F.col(tgt).alias("target"))
 
 
-# -- name frames ------------------------------------------------------------
-def columns_frame(spark: SparkSession, columns: list[str]) -> DataFrame:
-    """(feature, pos) for a list of column names."""
-    return spark.createDataFrame([(c, i) for i, c in enumerate(columns)], "feature string, pos int")
-
-
 # -- P11 --------------------------------------------------------------------
 def top_importances(imp: DataFrame, n: int | None = None, min_importance: float | None = None,
                     strict: bool = True) -> DataFrame:
