@@ -1,8 +1,12 @@
 """Secret scans (operator 7).
 
 Three base patterns are matched as they stand (leftmost, without overlap within
-a kind).  Beside them, candidate strings near a sensitive word are tested for
-novelty: a zstandard compressor is primed with a dictionary made of fixed
+a kind).  Beside them, every maximal run of key characters whose context holds a
+sensitive word on either side (``AROUND`` code points) is tested for novelty, long
+runs in windows that together cover them; a word or base span inside a run cuts
+it.  Runs joined by dots or standing on adjacent lines are one group: when one of
+it is reported, all are tested, however far on the word is, and a shorter last
+line of a wrapped block goes with it.  The test: a zstandard compressor is primed with a dictionary made of fixed
 identifiers, the code around the candidate and, last, the part of that code
 that follows the candidate; the *marginal* cost of the candidate is the
 compressed size of context plus candidate less that of the context alone.
@@ -19,6 +23,7 @@ gives no rows; further columns of the input are kept by ``find_secrets``.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,9 +37,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # runs are maximal: the same as + and
 HEX = re.compile(r"[0-9a-f]{24,}")
 
 SENSITIVE = re.compile(r"passw|secret|token|api_?key|credential|private|bearer|auth|signature|access_?key", re.I | re.A)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,512}", re.A)
-REACH = 64      # code points between the sensitive word and the candidate
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}", re.A)
+LEAST = 16      # characters of a candidate
+WINDOW = 512    # characters tested at once; longer runs are covered by several windows
 AROUND = 1024   # code points of surrounding code on either side
+# Between parts of one secret: a dot, a line break (of the text or written as an escape), quotes.
+JOINT = re.compile(r"""\.|\\(?:r\\)?|[\x20\t"'\\+,]*\r?\n[\x20\t"'\\+,#*>|]*""", re.A)
+# A short last line of a wrapped block: nothing else is on it.
+TAIL = re.compile(r"""[\x20\t"'\\+,]*\r?\n[\x20\t"'\\+,#*>|]*([A-Za-z0-9+/_=-]{1,15})(?=["',;)\x20\t]*(?:\r?\n|\Z))""", re.A)
 RATIO = 0.62    # marginal bytes by length
 
 # Identifiers and phrases that code near credentials is made of; the dictionary's fixed part.
@@ -51,6 +61,12 @@ abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 changeme your_t
 SPAN = "struct<kind:string,start:bigint,end:bigint>"
 
 
+def _plain(found: str) -> bool:
+    """Is it one word, whatever signs are at its ends?"""
+    word = found.strip("+/_=-")
+    return not word or word.isalpha() and (word.islower() or word.isupper() or word.istitle())
+
+
 class Novelty:
     """Marginal compressed size of a candidate in its surroundings."""
 
@@ -68,7 +84,7 @@ class Novelty:
 
     def is_novel(self, text: str, start: int, end: int) -> bool:
         found = text[start:end]
-        if len(set(found)) < 8 or found.isalpha() and (found.islower() or found.isupper() or found.istitle()):
+        if len(set(found)) < 8 or _plain(found):
             return False
         cost = self.marginal(text[max(0, start - AROUND):start], found, text[end:end + AROUND])
         return cost >= RATIO * (end - start)
@@ -85,19 +101,86 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty) -> list[tuple[int, int, str]]:
-    out, done = [], 0
-    for s in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, max(done, s.end()), min(len(text), s.end() + REACH + 512)):
-            a, b = m.span()
-            if a > s.end() + REACH:
-                break
-            done = b
-            if not any(x < b and a < y for x, y, _ in base) and novelty.is_novel(text, a, b):
-                out.append((a, b, "novel"))
+def _windows(a: int, b: int, cuts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What the cuts (sorted) leave of [a, b), in even windows of ``LEAST`` to ``WINDOW`` characters."""
+    out = []
+    for x, y in [*cuts, (b, b)]:
+        if x - a >= LEAST:
+            n = -(-(x - a) // WINDOW)
+            out += [(a + (x - a) * i // n, a + (x - a) * (i + 1) // n) for i in range(n)]
+        a = max(a, y)
+    return out
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
     return out
 
 
+def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty) -> list[tuple[int, int, str]]:
+    words = [m.span() for m in SENSITIVE.finditer(text)]
+    if not words:
+        return []
+    taken = _merged([(a, b) for a, b, _ in base])
+    starts, ends = [a for a, _ in words], [b for _, b in taken]
+
+    def inside(spans, at, b):
+        while at < len(spans) and spans[at][0] < b:
+            yield spans[at]
+            at += 1
+
+    def near(a, b):
+        i = bisect_left(starts, a - AROUND)
+        return i < len(words) and words[i][1] <= b + AROUND
+
+    def test(a, b):
+        """(spans, known): the novel parts of a run; does it hold any, or a base span?"""
+        fixed = list(inside(taken, bisect_left(ends, a + 1), b))
+        known = [(x, y) for x, y in inside(words, bisect_left(starts, a), b) if y <= b]
+        parts = _windows(a, b, _merged(fixed + known))
+        if known and not fixed and not parts:
+            parts = _windows(a, b, [])
+        found = _merged([w for w in parts if novelty.is_novel(text, *w)])
+        whole: list[tuple[int, int]] = []   # a word amid key characters belongs to the key
+        for x, y in found:
+            if whole and (whole[-1][1], x) in known:
+                x = whole.pop()[0]
+            whole.append((x, y))
+        return whole, bool(whole or fixed)
+
+    def group(runs):
+        """The spans of runs that joints connect."""
+        tested, hit = {}, False
+        for i, (a, b) in enumerate(runs):
+            if near(a, b):
+                tested[i] = test(a, b)
+                hit = hit or tested[i][1]
+        if not hit:
+            return []
+        spans = [s for i, r in enumerate(runs) for s in (tested[i] if i in tested else test(*r))[0]]
+        last = runs[-1]
+        tail = TAIL.match(text, last[1])
+        if tail and not _plain(tail[1]) and spans and spans[-1][1] == last[1] and not list(inside(taken, bisect_left(ends, tail.start(1) + 1), tail.end(1))):
+            wrapped = len(runs) > 1 and runs[-2][1] - runs[-2][0] == last[1] - last[0] and "\n" in text[runs[-2][1]:last[0]]
+            if wrapped or tail[1].endswith("="):
+                spans.append(tail.span(1))
+        return spans
+
+    out, runs = [], []
+    for m in CANDIDATE.finditer(text):
+        if runs and not JOINT.fullmatch(text, runs[-1][1], m.start()):
+            out += group(runs)
+            runs = []
+        runs.append(m.span())
+    out += group(runs) if runs else []
+    return [(a, b, "novel") for a, b in out]
+
+
 def scan(text: str, novelty: Novelty) -> list[tuple[int, int, str]]:
     base = base_spans(text)
     return sorted(base + novel_spans(text, base, novelty), key=lambda s: (s[0], KINDS.index(s[2])))

@@ -71,3 +71,27 @@ def test_query(spark):
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(len(re.findall(rf"\b{k}:", want)) for k in LISTED)
         n += r["n_assign"]
     assert n
+
+
+def test_whole_secrets():
+    import random
+    import string
+    n, rng = secrets.Novelty(), random.Random(7)
+    key = lambda k: "".join(rng.choices(string.ascii_letters + string.digits, k=k))
+
+    def left(text):
+        spans = [{"kind": k, "start": a, "end": b} for a, b, k in secrets.scan(text, n)]
+        return secrets.redact(text, spans)
+
+    lines = [key(64) for _ in range(40)] + [key(11) + "="]
+    pem = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(lines) + "\n-----END RSA PRIVATE KEY-----\n"
+    for text, parts in ((pem, lines), (pem.replace("\n", "\r\n"), lines), ("\n".join(lines[:-1]) + "\n is the private one", lines[:-1])):
+        rest = left(text)
+        assert not any(x[i:i + 8] in rest for x in parts for i in range(0, max(1, len(x) - 8), 4)), rest
+    parts = [key(36), key(900), key(43)]
+    assert left("Authorization: Bearer " + ".".join(parts) + " sent") == "Authorization: Bearer [NOVEL].[NOVEL].[NOVEL] sent"
+    assert left(f"Bearer {key(5000)} sent") == "Bearer [NOVEL] sent"
+    assert left(f"use {key(40)} as the credential") == "use [NOVEL] as the credential"
+    assert left(f"credential: {'x ' * 60}{key(40)}") == f"credential: {'x ' * 60}[NOVEL]"
+    for text in ("bearer token\nimport default_configuration_value\nimport os", "-----BEGIN CERTIFICATE-----\nnot private\n-----END CERTIFICATE-----"):
+        assert left(text) == text
