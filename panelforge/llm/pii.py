@@ -3,10 +3,12 @@
 Emails, phone, card, IBAN, social-security numbers, IPv4 addresses and person
 names are detected and replaced by keyed surrogates of the same type and
 format.  A surrogate is a keyed permutation (a Feistel network over mixed
-radices) of the entity's characters, each within its own class (digit, vowel or
+radices, a keyed step and the network's inverse: one cycle through all texts of
+a format, so none keeps its own text) of the entity's characters, each within its own class (digit, vowel or
 consonant of its script), so letter case, length, script and separators stay,
-and different entities of a format get different surrogates.  Listed given
-names are permuted within their list, hence keep gender and script; card and
+and different entities of a format get different surrogates, even if all texts of
+the format occur.  Listed given names form one keyed cycle within their list,
+hence keep gender and script; names outside the lists don't become listed ones; card and
 IBAN check digits are made anew; country codes, issuer digits and top-level
 domains stay.  Equal entities (emails: whatever their case) get equal
 surrogates everywhere, an email's domain and a person's surname on their own,
@@ -15,8 +17,10 @@ stands alone in the same text.
 
 Distinctness is checked over all entities of the corpus: of entities that share
 a surrogate all but the first, and entities that would keep their own text, are
-permuted again under another subkey until none is left.  These exceptions
-travel to the texts that hold them by a join.
+permuted again under another subkey until none is left; if ``ATTEMPTS`` subkeys
+don't do, the job fails and says how many of each type are left.  These
+exceptions travel to the texts that hold them by a join.  Only an entity
+without any character that has a class (another script, say) stays as it is.
 
 Defined results: NULL texts stay NULL, texts without entities (empty ones
 included) stay as they are; spans are code points of the original text with
@@ -27,6 +31,7 @@ ignored.
 from __future__ import annotations
 
 import functools
+import math
 import re
 from hashlib import blake2b
 
@@ -93,8 +98,17 @@ def _number(key: bytes, label: str, value: int) -> int:
     return int.from_bytes(blake2b(f"{label}|{value}".encode(), key=key, digest_size=24).digest(), "big")
 
 
+def _shift(key: bytes, label: str, size: int) -> int:
+    """A keyed step that leads through all of ``size`` values before it comes back to the first."""
+    step = 1 + _number(key, f"{label}|step", size) % max(1, size - 1)
+    while math.gcd(step, size) > 1:
+        step += 1
+    return step
+
+
 def permute(text: str, key: bytes, label: str) -> str:
-    """A keyed permutation of the characters that have a class, each within its class; case stays."""
+    """A keyed permutation of the characters that have a class, each within its class; case stays.
+    All texts of a format are on one cycle: a step between a Feistel network and its inverse."""
     at = [i for i, c in enumerate(text) if c.lower() in CLASS_OF]
     low = [text[i].lower() for i in at]
     shape = ",".join(str(CLASS_OF[c]) for c in low) + "|" + "".join("?" if i in set(at) else c for i, c in enumerate(text))
@@ -104,9 +118,16 @@ def permute(text: str, key: bytes, label: str) -> str:
         side, letters = int(k >= half), CLASSES[CLASS_OF[c]]
         value[side] = value[side] * len(letters) + letters.index(c)
         size[side] *= len(letters)
-    for r in range(ROUNDS):
-        side = r % 2
-        value[side] = (value[side] + _number(key, f"{label}|{shape}|{r}", value[1 - side])) % size[side]
+
+    def rounds(order, sign):
+        for r in order:
+            side = r % 2
+            value[side] = (value[side] + sign * _number(key, f"{label}|{shape}|{r}", value[1 - side])) % size[side]
+
+    rounds(range(ROUNDS), 1)
+    every = size[0] * size[1]
+    value = [*divmod((value[0] * size[1] + value[1] + _shift(key, f"{label}|{shape}", every)) % every, size[1])]
+    rounds(reversed(range(ROUNDS)), -1)
     out = list(text)
     for k in range(len(at) - 1, -1, -1):
         side, letters = int(k >= half), CLASSES[CLASS_OF[low[k]]]
@@ -115,6 +136,15 @@ def permute(text: str, key: bytes, label: str) -> str:
     return "".join(out)
 
 
+def _walk(text: str, key: bytes, label: str, keep) -> str:
+    """The next text on the cycle of ``permute`` that ``keep`` holds for, as it does for ``text``: a
+    permutation of just these texts, on one cycle, too."""
+    text = permute(text, key, label)
+    while not keep(text):
+        text = permute(text, key, label)
+    return text
+
+
 def luhn(digits: str) -> int:
     """The check digit of a payload."""
     total = sum(sum(divmod(2 * int(d), 10)) if i % 2 == 0 else int(d) for i, d in enumerate(reversed(digits)))
@@ -127,9 +157,13 @@ def _refill(text: str, symbols: str) -> str:
 
 
 def _given(name: str, key: bytes) -> str:
-    names = GIVEN[_NAMES[name]]
-    order = sorted(names, key=lambda n: blake2b(n.encode(), key=key, digest_size=8).digest())
-    return order[names.index(name)]
+    """The next name of its list in keyed order: one cycle, so no name keeps its place."""
+    order = sorted(GIVEN[_NAMES[name]], key=lambda n: blake2b(n.encode(), key=key, digest_size=8).digest())
+    return order[(order.index(name) + 1) % len(order)]
+
+
+def _iban_check(body: str, country: str) -> str:
+    return f"{98 - int(''.join(str(int(c, 36)) for c in body + country + '00')) % 97:02d}"
 
 
 def surrogate(kind: str, entity: str, key: bytes) -> str:
@@ -150,18 +184,22 @@ def surrogate(kind: str, entity: str, key: bytes) -> str:
         return _refill(entity, new + str((luhn(new) + off) % 10))
     if kind == "iban":
         flat = entity.replace(" ", "")
-        body = permute(flat[4:], key, kind + flat[:2])
-        code = "".join(str(int(c, 36)) for c in body + flat[:2] + "00")
-        was = "".join(str(int(c, 36)) for c in flat[4:] + flat[:2] + "00")
-        valid = 98 - int(was) % 97 == int(flat[2:4])
-        return _refill(entity, flat[:2] + (f"{98 - int(code) % 97:02d}" if valid else flat[2:4]) + body)
+        country, was, label = flat[:2], flat[2:4], kind + flat[:2]
+        if _iban_check(flat[4:], country) == was:
+            body = permute(flat[4:], key, label)
+            return _refill(entity, country + _iban_check(body, country) + body)
+        # a wrong check stays and stays wrong, else it could meet the surrogate of a valid one
+        return _refill(entity, country + was + _walk(flat[4:], key, f"{label}|{was}", lambda x: _iban_check(x, country) != was))
     if kind == "ip":
         left, right = divmod(int.from_bytes(bytes(map(int, entity.split("."))), "big"), 1 << 16)
         for r in range(ROUNDS):
             left, right = right, (left + _number(key, f"ip|{r}", right)) % (1 << 16)
+        left, right = divmod(((left << 16 | right) + _shift(key, "ip", 1 << 32)) % (1 << 32), 1 << 16)
+        for r in reversed(range(ROUNDS)):
+            left, right = (right - _number(key, f"ip|{r}", left)) % (1 << 16), left
         return ".".join(map(str, (left << 16 | right).to_bytes(4, "big")))
     if kind == "given":
-        return _given(entity, key) if entity in _NAMES else permute(entity, key, kind)
+        return _given(entity, key) if entity in _NAMES else _walk(entity, key, kind, lambda x: x not in _NAMES)
     return permute(entity, key, kind)
 
 
@@ -250,10 +288,16 @@ def exceptions(docs: DataFrame, key: str) -> DataFrame:
     while True:
         first = now.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "entity")).alias("f"), F.count("*").alias("n"))
         shared = now.join(first.filter("n > 1"), ["kind", "surrogate"]).filter(F.col("entity") != F.col("f.entity")).select("kind", "entity", "attempt")
-        same = now.filter((F.col("entity") == F.col("surrogate")) & F.exists(F.split("entity", ""), lambda c: F.lower(c).isin(*CLASS_OF))).select("kind", "entity", "attempt")
-        bad = stage(shared.union(same).distinct().filter(F.col("attempt") < ATTEMPTS - 1), "entity-collisions")
-        if bad.isEmpty():
+        # top-level domains stay in any case
+        free = F.when(F.col("kind") == "email", F.regexp_replace("entity", r"\.[^.]*$", "")).otherwise(F.col("entity"))
+        same = now.filter((F.col("entity") == F.col("surrogate")) & F.exists(F.split(free, ""), lambda c: F.lower(c).isin(*CLASS_OF))).select("kind", "entity", "attempt")
+        every = stage(shared.union(same).distinct(), "entity-collisions")
+        if every.isEmpty():
             return now.filter("attempt > 0").select("kind", "entity", "attempt")
+        bad = every.filter(F.col("attempt") < ATTEMPTS - 1)
+        if bad.isEmpty():
+            left = {r["kind"]: r["count"] for r in every.groupBy("kind").count().collect()}  # a row a type
+            raise RuntimeError(f"surrogates still collide or keep their text after {ATTEMPTS} subkeys, entities by type: {left}")
         now = stage(now.join(bad.select("kind", "entity"), ["kind", "entity"], "left_anti").unionByName(
             _again(bad.withColumn("surrogate", F.lit("")), key, 1)), "entities")
 

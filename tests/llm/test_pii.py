@@ -94,3 +94,32 @@ def test_query(spark):
             at, n = b, n + 1
         assert spans or r["text"] == old
     assert n > 5 and len(set(seen.values())) == len(seen)
+
+
+def test_full_lists_and_formats(spark):
+    full = [[("given", n) for n in names] for names in pii.GIVEN.values()]
+    full += [[("phone", f"{i:02d}") for i in range(100)], [("email", f"{a}{i}@_.io") for a in "aeiou" for i in range(10)], [("surname", x) for x in "ÇÑ"],
+             [("card", f"4{i}0") for i in range(10)], [("iban", f"DE11{i:02d}") for i in range(100)] + [("iban", f"DE{pii._iban_check(f'{i:02d}', 'DE')}{i:02d}") for i in range(100)]]
+    for key in (b"a" * 32, b"b" * 32, b"c" * 32):
+        for values in full:
+            values = sorted(set(values))
+            made = [pii.surrogate(k, e, key) for k, e in values]
+            assert len(set(made)) == len(made) and not any(e == m for (_, e), m in zip(values, made)), (key, values[:3])
+    # end to end: every name of every list and no name kept or shared
+    names = [n for g in pii.GIVEN.values() for n in g]
+    rows = [(i, f"so {n} Zzyx") for i, n in enumerate(names)]
+    for key in ("k1", "k2"):
+        out = {d: t.split()[1] for d, t, _ in run(spark, rows, key)}
+        assert sorted(out.values()) == sorted(names) and all(out[i] != n for i, n in enumerate(names))
+
+
+def test_left_collisions_are_an_error(spark, monkeypatch):
+    import pytest
+    from pyspark.sql import functions as F
+
+    def stuck(entities, key, step):
+        return entities.withColumn("attempt", F.col("attempt") + 1000).withColumn("surrogate", F.lit("x"))
+
+    monkeypatch.setattr(pii, "_again", stuck)
+    with pytest.raises(RuntimeError, match="email"):
+        pii.exceptions(docs_frame(spark, [(1, "to a1@e.io and b2@e.io")]), "k")
