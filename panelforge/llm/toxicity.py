@@ -1,17 +1,20 @@
 """Toxicity by nearest labelled examples (operator 8).
 
 Labelled documents (a bounded, documented sample of the training rows) become
-TF-IDF vectors of unit length over the words that tell the labels apart; how
-many documents hold a word is counted over the whole corpus.  The vectors are
-kept in a block-max inverted index: posting lists cut into blocks of ``BLOCK``
-examples with the greatest weight of each word in each block.  A query adds the
-block bounds of its words, visits blocks from the highest bound down, and stops
-when no bound can beat the k-th best cosine, so the ``K`` nearest are exact.
+TF-IDF vectors of unit length over all words they hold; how many documents hold
+a word is counted over the whole corpus.  Words that tell the labels apart in
+the sample (chi2 and odds) weigh 1, all others ``PLAIN``: no word is left out.
+The vectors are kept in a block-max inverted index with sparse postings: by
+word, the examples and the greatest weight in each block of ``BLOCK`` examples.
+A query adds the block bounds of its words and visits blocks from the highest
+bound down until no bound can beat the k-th best cosine; where more than
+``PROBES`` blocks still can after the first, the postings of all its words are added up.  Either way the
+``K`` nearest are exact.
 Their labels vote with weights that fall with distance, together with a small
 prior vote that keeps scores calibrated; the neighbours are the evidence.
 
-Defined results: NULL and empty texts, like all texts with none of the words,
-are at cosine 1 to the examples without words and at 0 to the others, and get
+Defined results: NULL and empty texts, like all texts with no word of any
+example, are at cosine 1 to the examples without words and at 0 to the others, and get
 those examples' share of label 1; neighbours that tie are taken by example
 number; repeated label rows of a doc_id count once, as toxic if any says so;
 NULL labels and doc_ids are left out of training; without training rows every
@@ -22,6 +25,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -31,14 +35,14 @@ from pyspark.sql import functions as F
 from .common import stage
 
 SAMPLE = 4096    # labelled documents in the index at most (the bound of the classifier's sample)
-TERMS = 4096     # words of the vectors at most
-LEAST_DOCS = 3   # a word must be in so many examples
-CHI2 = 30.0      # of a word against the label (about 5e-8, as very many words are tested)
+LEAST_DOCS = 3   # a telling word must be in so many examples
+CHI2 = 30.0      # of a telling word against the label (about 5e-8, as very many words are tested)
 ODDS = 3.0       # how many times likelier it is under one of the labels
+PLAIN = 0.1      # weight of the other words
 BLOCK = 64
+PROBES = 4       # blocks looked at one by one at most
 K = 16
 PRIOR = 0.5      # votes that the share of label 1 has
-MEMO = 1 << 15
 
 WORD = re.compile(r"\w+")
 
@@ -71,89 +75,127 @@ def _word_labels(sample: DataFrame) -> DataFrame:
     return sample.select("y", "text").mapInPandas(run, "word string, y int, n bigint").groupBy("word", "y").agg(F.sum("n").alias("n"))
 
 
-def telling_words(sample: DataFrame, n0: int, n1: int) -> list[str]:
-    """The words that tell label 1 from 0 in the sample, at most ``TERMS``."""
+def word_weights(sample: DataFrame, n0: int, n1: int) -> dict[str, float]:
+    """Every word of the sample (bounded by its texts): 1 if it tells label 1 from 0, else ``PLAIN``."""
     c = _word_labels(sample).groupBy("word").agg(
         F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).cast("double").alias("a"),
         F.sum(F.when(F.col("y") != 1, F.col("n")).otherwise(0)).cast("double").alias("b"))
     a, b = F.col("a"), F.col("b")
     n = float(n0 + n1)
-    chi2 = n * F.pow(a * (n0 - b) - b * (n1 - a), 2) / (float(n0) * n1 * (a + b) * (n - a - b))
+    chi2 = n * F.pow(a * (n0 - b) - b * (n1 - a), 2) / F.nullif(F.lit(float(n0)) * n1 * (a + b) * (n - a - b), F.lit(0.0))
     odds = (a + 0.5) * (n0 - b + 0.5) / ((b + 0.5) * (n1 - a + 0.5))
-    return [r["word"] for r in c.filter((a + b >= LEAST_DOCS) & (a + b < n)).withColumn("chi2", chi2)
-            .filter((F.col("chi2") >= CHI2) & ((odds >= ODDS) | (odds <= 1 / ODDS)))
-            .orderBy(F.desc("chi2"), "word").limit(TERMS).collect()]
+    tells = (a + b >= LEAST_DOCS) & (chi2 >= CHI2) & ((odds >= ODDS) | (odds <= 1 / ODDS))
+    got = c.select("word", F.coalesce(tells, F.lit(False)).alias("tells")).orderBy("word").toArrow()
+    return {w: 1.0 if t else PLAIN for w, t in zip(got["word"].to_pylist(), got["tells"].to_pylist())}
 
 
-def document_counts(docs: DataFrame, words: list[str]) -> tuple[dict[str, int], int]:
-    """In how many of all documents each word is, and how many documents there are."""
+def document_counts(docs: DataFrame, words) -> tuple[dict[str, int], int]:
+    """In how many of all documents each word of ``words`` (a broadcast dict) is, and how many documents there are."""
     def run(frames):
-        known, n, rows = frozenset(words), Counter(), 0
+        known, n, rows = words.value.keys(), Counter(), 0
         for f in frames:
             rows += len(f)
             for t in f["text"]:
-                n.update(known.intersection(_words(t)))
+                n.update(w for w in set(_words(t)) if w in known)
         yield pd.DataFrame([*n.items(), (None, rows)], columns=["word", "n"])
 
-    got = {r["word"]: r["n"] for r in docs.select("text").mapInPandas(run, "word string, n bigint")
-           .groupBy("word").agg(F.sum("n").alias("n")).collect()}  # at most TERMS + 1 rows
+    table = docs.select("text").mapInPandas(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    got = dict(zip(table["word"].to_pylist(), table["n"].to_pylist()))  # a row a word of the sample
     return got, got.pop(None, 0)
 
 
+class Postings:
+    """Lists of (place, weight) by word, one after the other."""
+
+    def __init__(self, terms: int, rows: np.ndarray, places: np.ndarray, weights: np.ndarray):
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=terms))])
+        self.places, self.weights = places, weights   # sorted by row
+
+    def add(self, terms: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+        """By place the sum of value * weight over the terms."""
+        a, n = self.start[terms], self.start[terms + 1] - self.start[terms]
+        at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(self.places[at], self.weights[at] * np.repeat(values, n), size)
+
+
 class BlockMaxIndex:
-    """Unit vectors of labelled examples in posting lists by blocks."""
+    """Unit vectors of labelled examples in sparse posting lists, with the greatest weights by block."""
 
-    def __init__(self, vectors: list[dict[int, float]], labels: list[int], ids: list[int], terms: int):
+    def __init__(self, vectors: Iterable[dict[int, float]], labels: list[int], ids: list[int], terms: int):
         self.ids, self.labels = np.array(ids, np.int64), np.array(labels, np.float64)
-        self.none = np.array([not v for v in vectors], bool)
-        n = max(1, -(-len(vectors) // BLOCK))
-        self.most = np.zeros((terms, n), np.float64)            # the greatest weight by word and block
-        self.lists: dict[tuple[int, int], tuple[list, list]] = {}
-        for i, v in enumerate(vectors):
-            for t, x in v.items():
-                b = i // BLOCK
-                self.most[t, b] = max(self.most[t, b], x)
-                at, w = self.lists.setdefault((t, b), ([], []))
-                at.append(i % BLOCK)
-                w.append(x)
-        self.lists = {k: (np.array(a), np.array(w)) for k, (a, w) in self.lists.items()}
+        held = [(np.fromiter(v, np.int32, len(v)), np.fromiter(v.values(), np.float64, len(v))) for v in vectors]
+        self.n, self.blocks = len(held), max(1, -(-len(held) // BLOCK))
+        sizes = np.array([len(t) for t, _ in held], np.int64)
+        self.none = sizes == 0
+        row = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
+        term = np.concatenate([np.empty(0, np.int32), *[t for t, _ in held]])
+        weight = np.concatenate([np.empty(0), *[x for _, x in held]])
+        self.examples = Postings(self.n, row, term, weight)      # words by example
+        order = np.argsort(term, kind="stable")
+        self.words = Postings(terms, term[order], row[order], weight[order])
+        pairs, at = np.unique(term.astype(np.int64) * self.blocks + row // BLOCK, return_inverse=True)
+        most = np.zeros(len(pairs))
+        np.maximum.at(most, at, weight)
+        self.most = Postings(terms, pairs // self.blocks, pairs % self.blocks, most)
+        self.query = np.zeros(terms)
+
+    def _block(self, b: int) -> np.ndarray:
+        e, a, z = self.examples, b * BLOCK, min((b + 1) * BLOCK, self.n)
+        lo, hi = e.start[a], e.start[z]
+        return np.bincount(np.repeat(np.arange(z - a), np.diff(e.start[a:z + 1])), self.query[e.places[lo:hi]] * e.weights[lo:hi], z - a)
 
     def nearest(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
         """(cosine, example) of the k nearest with a cosine over 0, best first, ties by example."""
-        terms = list(query)
-        bounds = sum(query[t] * self.most[t] for t in terms)
+        terms, values = np.fromiter(query, np.int64, len(query)), np.fromiter(query.values(), np.float64, len(query))
+        bounds = self.most.add(terms, values, self.blocks)
         best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < best[-1][0] - 1e-12:
+
+        def take(scores, first):
+            nonlocal best
+            found = np.nonzero(scores)[0]
+            if len(found) > k:  # all that may tie with the k-th stay
+                found = found[scores[found] >= np.partition(scores[found], -k)[-k] - 1e-11]
+            best = sorted(best + [(round(float(scores[i]), 12), first + int(i)) for i in found], key=lambda x: (-x[0], x[1]))[:k]
+
+        self.query[terms] = values
+        for step, b in enumerate(np.argsort(-bounds, kind="stable")):
+            least = best[-1][0] - 1e-12 if len(best) == k else 0
+            if bounds[b] <= 0 or bounds[b] < least:
                 break
-            score = np.zeros(BLOCK)
-            for t in terms:
-                post = self.lists.get((t, int(b)))
-                if post is not None:
-                    score[post[0]] += query[t] * post[1]
-            found = np.nonzero(score)[0]
-            best += [(round(float(score[i]), 12), int(b) * BLOCK + int(i)) for i in found]
-            best.sort(key=lambda x: (-x[0], x[1]))
-            del best[k:]
+            if step and np.count_nonzero(bounds >= max(least, 1e-300)) > PROBES:
+                best = []
+                take(self.words.add(terms, values, self.n), 0)
+                break
+            take(self._block(int(b)), int(b) * BLOCK)
+        self.query[terms] = 0
         return best
 
 
+class _Held:
+    """The words of an example and how often it has them, unpacked when asked for."""
+
+    def __init__(self, words: list[str], packed: bytes):
+        self.words, self.packed = words, packed
+
+    def items(self):
+        return [(self.words[i], int(c)) for i, c in np.frombuffer(self.packed, np.int32).reshape(-1, 2)]
+
+
 class Model:
     """Words, their weights and the index; scores one text at a time."""
 
-    def __init__(self, words: list[str], counts: dict[str, int], n: int, examples: list[tuple[int, int, dict[str, int]]]):
-        self.at = {w: i for i, w in enumerate(words)}
-        self.idf = [math.log((1 + n) / (1 + counts.get(w, 0))) + 1 for w in words]
+    def __init__(self, weights: dict[str, float], counts: dict[str, int], n: int, examples: list[tuple[int, int, dict[str, int]]]):
+        self.at = {w: i for i, w in enumerate(weights)}
+        self.weight = [x * (math.log((1 + n) / (1 + counts.get(w, 0))) + 1) for w, x in weights.items()]
         examples = sorted(examples, key=lambda e: (e[0], e[1]))
         labels = [y for _, y, _ in examples]
         self.prior = sum(labels) / len(labels) if labels else 0.0
-        self.index = BlockMaxIndex([self.vector(c) for _, _, c in examples], labels, [d for d, _, _ in examples], len(words))
+        self.index = BlockMaxIndex((self.vector(c) for _, _, c in examples), labels, [d for d, _, _ in examples], len(weights))
         none = self.index.labels[self.index.none]
         self.plain = ((float(none.sum()) + PRIOR * self.prior) / (len(none) + PRIOR), [])
-        self.memo: dict = {}
 
     def vector(self, counts: dict[str, int]) -> dict[int, float]:
-        v = {self.at[w]: (1 + math.log(c)) * self.idf[self.at[w]] for w, c in sorted(counts.items()) if w in self.at}
+        v = {self.at[w]: (1 + math.log(c)) * self.weight[self.at[w]] for w, c in sorted(counts.items()) if w in self.at}
         norm = math.sqrt(sum(x * x for x in v.values()))
         return {t: x / norm for t, x in v.items()}
 
@@ -161,41 +203,36 @@ class Model:
         counts = Counter(w for w in _words(text) if w in self.at)
         if not counts:
             return self.plain
-        key = frozenset(counts.items())
-        got = self.memo.get(key)
-        if got is None:
-            near = self.index.nearest(self.vector(counts), K)
-            weights = [(1 / (1.05 - s), i) for s, i in near]  # by distance 1 - cosine
-            total = sum(w for w, _ in weights)
-            got = ((sum(w * self.index.labels[i] for w, i in weights) + PRIOR * self.prior) / (total + PRIOR),
-                   [int(self.index.ids[i]) for _, i in near])
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[key] = got
-        return got
+        near = self.index.nearest(self.vector(counts), K)
+        weights = [(1 / (1.05 - s), i) for s, i in near]  # by distance 1 - cosine
+        total = sum(w for w, _ in weights)
+        return ((sum(w * self.index.labels[i] for w, i in weights) + PRIOR * self.prior) / (total + PRIOR),
+                [int(self.index.ids[i]) for _, i in near])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE) -> Model:
     sample = stage(training_sample(docs, labels, label, rows), "toxic-sample")
     n = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     n1, n0 = n.get(1, 0), sum(v for y, v in n.items() if y != 1)
-    words = telling_words(sample, n0, n1) if n0 and n1 else []
-    counts, total = document_counts(docs, words)
+    weights = word_weights(sample, n0, n1)
+    words = list(weights)
+    places = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})  # words of the sample
+    counts, total = document_counts(docs, places)
 
     def run(frames):
-        known = frozenset(words)
+        at = places.value
         for f in frames:
-            held = [Counter(w for w in _words(t) if w in known) for t in f["text"]]
-            yield pd.DataFrame({"doc_id": f["doc_id"], "y": f["y"], "words": [list(c) for c in held], "n": [list(c.values()) for c in held]})
+            held = [Counter(at[w] for w in _words(t)) for t in f["text"]]
+            yield pd.DataFrame({"doc_id": f["doc_id"], "y": f["y"], "words": [np.array([*c.items()], np.int32).tobytes() for c in held]})
 
-    rows_ = sample.mapInPandas(run, "doc_id bigint, y int, words array<string>, n array<bigint>").collect()
-    return Model(words, counts, total, [(r["doc_id"], int(r["y"] == 1), dict(zip(r["words"], r["n"]))) for r in rows_])
+    rows_ = sample.mapInPandas(run, "doc_id bigint, y int, words binary").collect()
+    return Model(weights, counts, total, [(r["doc_id"], int(r["y"] == 1), _Held(words, r["words"])) for r in rows_])
 
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:
     """Append score (0 to 1), predicted (1 from 0.5 on) and evidence (doc_ids of the neighbours)."""
     from pyspark.sql import types as T
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most SAMPLE vectors over TERMS words
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most SAMPLE vectors over their words
     new = {"score": T.DoubleType(), "predicted": T.IntegerType(), "evidence": T.ArrayType(T.LongType())}
     docs = docs.drop(*new)
     schema = T.StructType([*docs.schema.fields, *(T.StructField(k, t) for k, t in new.items())])

@@ -104,3 +104,19 @@ def test_word_vectors_same_on_any_partitioning(spark):
     _, df, _ = frame(spark)
     assert np.array_equal(quality.word_vectors(df), quality.word_vectors(df.repartition(5, "text")))
     assert np.isfinite(quality.word_vectors(df.limit(0))).all()
+
+
+def test_toxicity_finds_rare_words(spark):
+    """Words of a single example, which no label count can call telling, lead to that example."""
+    rows, _, _ = frame(spark)
+    odd = [(400 + i, f"zorg{i} blik{i} vrunt{i}") for i in range(20)]
+    asked = [(500 + i, f"vrunt{i} zorg{i}") for i in range(20)]
+    marks = [(i, i % 2, 1 - i % 2) for i in range(100, 300)] + [(d, int(i < 10), 0) for i, (d, _) in enumerate(odd)]
+    df = docs_frame(spark, [r for r in rows if r[0] != 150] + odd + asked)
+    labels = labelled(spark, marks)
+    kept = {r["doc_id"] for r in labels.filter(~toxicity.held_out()).collect()}
+    out = {r["doc_id"]: r for r in toxicity.classify(df, toxicity.fit(df, labels)).collect()}
+    tested = [i for i in range(20) if 400 + i in kept]
+    assert tested
+    for i in tested:
+        assert out[500 + i]["evidence"] == [400 + i] and out[500 + i]["predicted"] == int(i < 10)
