@@ -4,8 +4,10 @@ A text is cut without loss into paragraphs (a line with the line ends after it)
 and every paragraph into leaves of at most ``LEAF`` code points, counted from
 the paragraph's start.  A leaf's node is the hash of its characters, a
 paragraph's that of its leaves, a section (``SECTION`` paragraphs in a row)
-that of its paragraphs, the root that of its sections.  So equal roots mean
-equal texts, and the branches that differ say which paragraphs were edited.
+that of its paragraphs, the root that of its sections.  So texts with equal roots
+are equal but for a chance of 2^-32 a pair that differs in one leaf (nodes are cut
+before they are hashed again, as in the SQL twin), and the branches that differ
+say which paragraphs were edited.
 
 The fingerprint string is ``root|section:paragraph.leaf.leaf;paragraph...|...``;
 leaves and paragraphs are cut to 8 hex digits, sections to 16, the root is
