@@ -155,3 +155,14 @@ def op5_surrogates(spark, sf_dir):
     found = replace_entities(table(spark, sf_dir, "documents"), key="corpus")
     spans = F.concat_ws(",", F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
     return found.select("doc_id", "text", "n_entities", spans.alias("spans"))
+
+
+@query
+def op13_alignment(spark, sf_dir):
+    import public_tokenizers
+
+    from .align import align, digest, link_counts, with_rare
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    counts = link_counts(docs, *paths)
+    return with_rare(digest(align(docs, counts, *paths)), counts)
