@@ -166,3 +166,39 @@ def op13_alignment(spark, sf_dir):
     paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     counts = link_counts(docs, *paths)
     return with_rare(digest(align(docs, counts, *paths)), counts)
+
+
+@query
+def op12_manifest(spark, sf_dir):
+    from .manifest import manifest, verify
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    return verify(manifest(docs, {"n_chars": F.col("n_chars") + F.when(tampered, 1).otherwise(0)}))
+
+
+_leaf_sql = lambda n_chars: "sha256(" + " || ".join(
+    f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END" for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+# CRC-32 by its bits: 8 steps a byte of the decimal doc_id
+_CRC = """xor(4294967295, list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))))"""
+_LEVEL_UP = "list_transform(range((len(nodes) + 1) // 2), lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], '')))"
+_STEPS = """SELECT doc_id, leaf, k, {level} AS level, nodes[xor(r >> level, 1) + 1] AS sibling,
+  CASE WHEN nodes[xor(r >> level, 1) + 1] IS NULL THEN 'N' WHEN (r >> level) & 1 = 0 THEN 'L' ELSE 'R' END AS side FROM {rows} WHERE len(nodes) > 1"""
+SQL["op12_manifest"] = f"""
+WITH RECURSIVE d AS (
+  SELECT *, CASE WHEN doc_id IS NOT NULL AND {_CRC} % 7 = 0 THEN {_leaf_sql('(n_chars + 1)')} ELSE leaf END AS other
+  FROM (SELECT *, {_leaf_sql('n_chars')} AS leaf, coalesce('=' || lang, '-') AS g FROM documents)),
+r AS (SELECT doc_id, g, leaf, other, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r, row_number() OVER () AS k FROM d),
+lv AS (SELECT g, 0 AS level, list(leaf ORDER BY r) AS nodes FROM r GROUP BY g
+       UNION ALL SELECT g, level + 1, {_LEVEL_UP} FROM lv WHERE len(nodes) > 1),
+sub AS (SELECT g, nodes[1] AS subroot, row_number() OVER (ORDER BY g) - 1 AS r FROM lv WHERE len(nodes) = 1),
+tv AS (SELECT 0 AS level, list(subroot ORDER BY r) AS nodes FROM sub
+       UNION ALL SELECT level + 1, {_LEVEL_UP} FROM tv WHERE len(nodes) > 1),
+s AS ({_STEPS.format(level='level', rows='r JOIN lv USING (g)')}
+      UNION ALL {_STEPS.format(level='1000 + level', rows='(SELECT r.doc_id, r.leaf, r.k, sub.r FROM r JOIN sub USING (g)), tv')}),
+p AS (SELECT k, string_agg(sibling, '' ORDER BY level) AS proof, list(side || coalesce(sibling, '') ORDER BY level) AS steps FROM s GROUP BY k),
+f AS (SELECT r.doc_id, r.leaf, subroot, (SELECT nodes[1] FROM tv WHERE len(nodes) = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+  list_reduce([other] || coalesce(steps, []), lambda a, x: sha256(CASE x[1] WHEN 'L' THEN a || x[2:] WHEN 'R' THEN x[2:] || a ELSE a END)) AS folded_root
+  FROM r JOIN sub USING (g) LEFT JOIN p USING (k))
+SELECT *, folded_root = root AS verified FROM f
+"""
