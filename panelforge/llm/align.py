@@ -11,9 +11,9 @@ when a tokenizer is read), so each space after a character that is no white spac
 parts that can be encoded alone.  A part is aligned once and kept in a bounded memo, as most parts are
 words that come again.
 
-Links are counted over the corpus: tasks add up their parts' links, one shuffle adds up the tasks'.
-The ``HEAD`` most frequent pairs are broadcast; the links of all others meet the table of counts in a
-join, so the table may grow without bound.
+Texts are encoded once; their links are written beside the counts and digests of a document.  A
+shuffle of partial sums counts the pairs over the corpus.  The ``HEAD`` most frequent pairs are
+broadcast; the links of all others meet the table of counts in a join, so it may grow without bound.
 
 Defined results: NULL and empty texts, and texts that either tokenizer doesn't give back byte for byte
 (such as those with U+2581), have no tokens, no links and the groups ''; the string of a special token
@@ -53,6 +53,14 @@ def parts_of(text: str) -> list[str]:
     return _cut.split(text) if _crowded.search(" " + text) else text.split(" ")
 
 
+def cuts(starts: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Ends of tokens: the coarse cut where the span has the token's length, and from the last such cut
+    on the decoded bytes of the tokens in between."""
+    total = np.cumsum(sizes)
+    last = np.maximum.accumulate(np.where(ends - starts == sizes, np.arange(len(sizes)), -1))
+    return total + np.where(last >= 0, ends[last] - total[last], 0)
+
+
 class Tokenizers:
     """Both tokenizers, with the bytes of their tokens."""
 
@@ -65,52 +73,43 @@ class Tokenizers:
         self.a.no_padding()
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         alphabet = _byte_alphabet()
-        self.a_bytes = {i: bytes(alphabet[c] for c in t) if all(c in alphabet for c in t) else t.encode()
-                        for t, i in self.a.get_vocab(with_added_tokens=True).items()}
+        known = {i: bytes(alphabet[c] for c in t) if all(c in alphabet for c in t) else t.encode()
+                 for t, i in self.a.get_vocab(with_added_tokens=True).items()}
+        self.a_bytes = [known.get(i, b"") for i in range(max(known) + 1)]
         self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
-        if any(_cut.search(x.decode(errors="replace")) for x in [*self.a_bytes.values(), *self.b_bytes]):
+        if any(_cut.search(x.decode(errors="replace")) for x in [*self.a_bytes, *self.b_bytes]):
             raise ValueError("a token goes on from another character to a space: texts can't be cut there")
         self.b_space = self.b.piece_to_id(SPACE)
+        self.a_size, self.b_size = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
+        # ids as text before ',' and '|' (A), and before ',', ';' and the end of a part (B)
+        self.said = np.array([f"{i}{c}" for c in ",|" for i in range(len(self.a_bytes))]
+                             + [f"{i}{c}" for c in ",;\n" for i in range(len(self.b_bytes))], object)
 
     def _piece(self, i: int) -> bytes:
         p = self.b.id_to_piece(i)
         return bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode()
 
-    def encode(self, parts: list[str]):
-        """By part the ids and coarse byte spans of both tokenizers over space + part."""
-        for part, a, b in zip(parts, self.a.encode_batch([" " + p for p in parts], add_special_tokens=False),
-                              self.b.encode(parts, return_type="proto", num_threads=1)):
-            if part.isascii():
-                a_spans = a.offsets
-            else:
-                at = np.cumsum([0, 1] + [len(c.encode()) for c in part]).tolist()
-                a_spans = [(at[x], at[y]) for x, y in a.offsets]
-            # spans of B are within the part; the space before it belongs to the first piece
-            pieces = [(p.id, p.begin + 1, p.end + 1) for p in b.pieces] if part else [(self.b_space, 0, 1)]
-            yield part, a.ids, a_spans, [i for i, _, _ in pieces], [(x, y) for _, x, y in pieces]
-
-
-def cuts(spans: list[tuple[int, int]], sizes: list[int]) -> list[int]:
-    """Ends of tokens: the coarse cut where the span has the token's length, else after its decoded bytes."""
-    out, at = [], 0
-    for (start, end), n in zip(spans, sizes):
-        at = end if start == at and end - start == n else at + n
-        out.append(at)
-    return out
-
-
-def group(a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int]]:
-    """(tokens of A, tokens of B) up to each offset where tokens of both end."""
-    out, i, j = [], 0, 0
-    while i < len(a_ends) and j < len(b_ends):
-        if a_ends[i] == b_ends[j]:
-            i, j = i + 1, j + 1
-            out.append((i, j))
-        elif a_ends[i] < b_ends[j]:
-            i += 1
-        else:
-            j += 1
-    return out
+    def encode(self, text: str):
+        """((ids, ends) of A, the same of B) over space + text, ends in bytes; None if the joined bytes of
+        the tokens differ."""
+        raw = (" " + text).encode()
+        a = self.a.encode(" " + text, add_special_tokens=False)
+        ids, spans = np.array(a.ids, np.int64), np.array(a.offsets, np.int64).reshape(-1, 2)
+        if b"".join([self.a_bytes[i] for i in a.ids]) != raw:
+            return None
+        if not text.isascii():  # offsets of characters to offsets of bytes
+            spans = np.append(np.nonzero(np.frombuffer(raw, np.uint8) & 0xC0 != 0x80)[0], len(raw))[spans]
+        pieces = self.b.encode(text, return_type="proto").pieces
+        b_ids = [p.id for p in pieces] if text else [self.b_space]
+        if b"".join([self.b_bytes[i] for i in b_ids]) != raw:
+            return None
+        # spans of B are within the text; the space before it belongs to the first piece
+        n = len(b_ids)
+        starts = np.fromiter((p.begin for p in pieces), np.int64, len(pieces)) + 1 if text else np.zeros(1, np.int64)
+        ends = np.fromiter((p.end for p in pieces), np.int64, len(pieces)) + 1 if text else np.ones(1, np.int64)
+        starts[:1] = 0
+        b_ids = np.array(b_ids, np.int64)
+        return (ids, cuts(spans[:, 0], spans[:, 1], self.a_size[ids])), (b_ids, cuts(starts, ends, self.b_size[b_ids]))
 
 
 class Aligner:
@@ -122,40 +121,77 @@ class Aligner:
 
     def clear(self):
         self.at: dict[str, int] = {}
-        self.held, self.groups, self.links, self.sizes = 0, [], [], []
-
-    def add(self, parts) -> None:
-        t, new = self.tokens, sorted(parts)
-        for part, a, a_spans, b, b_spans in t.encode(new):
-            x, y = [t.a_bytes[i] for i in a], [t.b_bytes[i] for i in b]
-            whole = (" " + part).encode()
-            self.at[part] = len(self.groups)
-            self.held += len(part) + 64
-            if b"".join(x) != whole or b"".join(y) != whole:
-                self.groups.append(None)
-                self.links.append(())
-                self.sizes.append((0, 0, 0))
-                continue
-            ends = group(cuts(a_spans, list(map(len, x))), cuts(b_spans, list(map(len, y))))
-            said, i, j = [], 0, 0
-            for m, n in ends:
-                said.append(",".join(map(str, a[i:m])) + "|" + ",".join(map(str, b[j:n])))
-                i, j = m, n
-            self.groups.append(";".join(said))
-            self.links.append([a[m - 1] << 32 | b[n - 1] for m, n in ends])
-            self.sizes.append((len(a), len(b), len(ends)))
-
-    def numbers(self, texts: list) -> list[list[int]]:
-        """By text the numbers of its parts; none for texts without tokens."""
+        self.held, self.groups = 0, []
+        self.sizes = np.zeros((0, 3), np.int64)          # by part: tokens of A and B, groups (-1: not given back)
+        self.links = np.zeros(0, np.int64)               # of all parts, one after the other
+        self.first = np.zeros(0, np.int64)               # by part, its first link
+
+    def _keep(self, parts, groups, sizes, links):
+        first = len(self.links) + np.cumsum(np.maximum(sizes[:, 2], 0)) - np.maximum(sizes[:, 2], 0)
+        self.at.update(zip(parts, range(len(self.groups), len(self.groups) + len(parts))))
+        self.held += sum(map(len, parts)) + 64 * len(parts)
+        self.groups += groups
+        self.sizes, self.links, self.first = (np.concatenate(x) for x in ((self.sizes, sizes), (self.links, links), (self.first, first)))
+
+    def add(self, parts: list[str]) -> None:
+        """Align new parts together; halved until the tokens of each give its bytes back."""
+        if not parts:
+            return
+        t = self.tokens
+        done = t.encode(" ".join(parts))
+        if done is None and len(parts) > 1:
+            self.add(parts[:len(parts) // 2])
+            self.add(parts[len(parts) // 2:])
+            return
+        if done is None:
+            self._keep(parts, [""], np.array([[0, 0, -1]]), np.zeros(0, np.int64))
+            return
+        (a, a_ends), (b, b_ends) = done
+        common = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        n_a, n_b = (np.searchsorted(e, common) + 1 for e in (a_ends, b_ends))     # tokens up to each common cut
+        stop = np.searchsorted(common, np.cumsum([1 + (len(p) if p.isascii() else len(p.encode())) for p in parts])) + 1   # groups up to each part's end
+        in_a, in_b = np.searchsorted(common, a_ends), np.searchsorted(common, b_ends)   # the group of each token
+        said = np.empty(len(a) + len(b), np.int64)
+        a_sep, b_sep = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        a_sep[n_a - 1], b_sep[n_b - 1] = 1, 1
+        b_sep[n_b[stop - 1] - 1] = 2
+        na, nb = len(t.a_bytes), len(t.b_bytes)
+        said[np.arange(len(a)) + np.concatenate([[0], n_b])[in_a]] = a + na * a_sep
+        said[np.arange(len(b)) + n_a[in_b]] = b + nb * b_sep + 2 * na
+        groups = "".join(t.said[said].tolist()).split("\n")[:-1]
+        up_to = np.stack([n_a[stop - 1], n_b[stop - 1], stop], axis=1)
+        self._keep(parts, groups, np.diff(up_to, axis=0, prepend=0), a[n_a - 1] << 32 | b[n_b - 1])
+
+    def numbers(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the parts of all texts, offsets by text); no parts for texts without tokens."""
         split = [parts_of(t) if t else [] for t in texts]
-        new = set().union(*split) - self.at.keys() if split else set()
+        flat = [p for q in split for p in q]
+        at = list(map(self.at.get, flat))
+        new = sorted({p for p, i in zip(flat, at) if i is None}) if None in at else []
         if new:
-            self.add(new)
-        out = []
-        for parts in split:
-            n = [self.at[p] for p in parts]
-            out.append([] if any(self.groups[i] is None for i in set(n)) else n)
-        return out
+            # a part that ends in white space, or is none, must be encoded alone
+            whole, size = [], 0
+            for p in new:
+                if not p or p[-1].isspace():
+                    self.add([p])
+                    continue
+                whole.append(p)
+                size += len(p)
+                if size > LONG // 4:
+                    self.add(whole)
+                    whole, size = [], 0
+            self.add(whole)
+            at = list(map(self.at.get, flat))
+        at = np.array(at, np.int64)
+        ends = np.cumsum([len(q) for q in split])
+        bad = np.nonzero(self.sizes[at, 2] < 0)[0]
+        if len(bad):
+            keep = np.ones(len(at), bool)
+            for i in np.unique(np.searchsorted(ends, bad, "right")):
+                keep[ends[i] - len(split[i]):ends[i]] = False
+                split[i] = []
+            at, ends = at[keep], np.cumsum([len(q) for q in split])
+        return at, np.concatenate([[0], ends])
 
 
 def _slices(texts: pa.Array):
@@ -171,96 +207,74 @@ def _slices(texts: pa.Array):
         yield first, held
 
 
-def link_counts(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """(pair, n, best): how often each pair of ids (A's in the high 32 bits) is linked in the corpus, and
-    whether no other pair with the same B id is linked more often."""
-    def run(batches):
-        align = Aligner(Tokenizers(a_path, b_path))
-        seen = np.zeros(0, np.int64)
-
-        def out():
-            at = np.nonzero(seen)[0]
-            sizes = [len(align.links[i]) for i in at]
-            pairs = np.fromiter((p for i in at for p in align.links[i]), np.int64, sum(sizes))
-            u, back = np.unique(pairs, return_inverse=True)
-            n = np.bincount(back, np.repeat(seen[at], sizes), len(u)).astype(np.int64)
-            for a in range(0, len(u), 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(u[a:a + (1 << 17)]), pa.array(n[a:a + (1 << 17)])], names=["pair", "n"])
-
-        for b in batches:
-            for _, texts in _slices(b.column(0)):
-                parts = np.fromiter((i for n in align.numbers(texts) for i in n), np.int64)
-                if len(seen) < len(align.groups):
-                    seen = np.concatenate([seen, np.zeros(len(align.groups) * 2 - len(seen), np.int64)])
-                seen[:len(align.groups)] += np.bincount(parts, minlength=len(align.groups))
-                if align.held > MEMO:
-                    yield from out()
-                    align.clear()
-                    seen[:] = 0
-        yield from out()
-
-    counted = stage(docs.select("text").mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")), "link-counts")
-    b = F.col("pair").bitwiseAND(0xFFFFFFFF)
-    most = counted.groupBy(b.alias("b")).agg(F.max("n").alias("most"))   # at most a row for each id of B
-    return stage(counted.withColumn("b", b).join(most, "b").select("pair", "n", (F.col("n") == F.col("most")).alias("best")), "link-best")
-
-
-def align(docs: DataFrame, counts: DataFrame, a_path: str, b_path: str, head: int = HEAD) -> DataFrame:
+def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """By row of docs (doc_id, text): n_a, n_b, n_groups, n_links, groups (A's ids, '|', B's ids, groups
-    parted by ';'), and of its links n_best and count_sum over the ``head`` most frequent pairs; the
-    other pairs as ``rare``, for ``with_rare``."""
-    known = counts.orderBy(F.desc("n"), "pair").limit(head).toArrow().sort_by("pair")   # at most ``head`` rows
-    shared = docs.sparkSession.sparkContext.broadcast(
-        (known["pair"].to_numpy(), known["n"].to_numpy(), known["best"].to_numpy(zero_copy_only=False)))
-
+    parted by ';') and links (A's id in the high 32 bits, B's below)."""
     def run(batches):
-        pairs, ns, bests = shared.value
+        import os
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"   # Spark's tasks are the parallel part
         aligner = Aligner(Tokenizers(a_path, b_path))
-        values, rare = np.zeros((0, 5), np.int64), []
-
-        def weigh(links):
-            """(links that are the best of their B id, sum of their counts, pairs that aren't known)."""
-            x = np.array(links, np.int64)
-            at = np.minimum(np.searchsorted(pairs, x), max(len(pairs) - 1, 0))
-            hit = pairs[at] == x if len(pairs) else np.zeros(len(x), bool)
-            return (int(bests[at[hit]].sum()), int(ns[at[hit]].sum())) if hit.any() else (0, 0), x[~hit].tolist()
-
         for b in batches:
             for first, texts in _slices(b.column(1)):
-                found = aligner.numbers(texts)
-                fresh = []
-                for i in range(len(values), len(aligner.groups)):
-                    sums, left = weigh(aligner.links[i])
-                    fresh.append((*aligner.sizes[i], *sums))
-                    rare.append(left)
-                values = np.concatenate([values, np.array(fresh, np.int64).reshape(-1, 5)])
-                rows = np.stack([values[n].sum(axis=0) if n else np.zeros(5, np.int64) for n in found])
-                said = [";".join([aligner.groups[i] for i in n]) for n in found]
-                left = [[p for i in n for p in rare[i]] if n else [] for n in found]
-                col = lambda k: pa.array(rows[:, k])
+                parts, offsets = aligner.numbers(texts)
+                total = np.concatenate([np.zeros((1, 3), np.int64), np.cumsum(aligner.sizes[parts], axis=0)])[offsets]
+                n = np.diff(total, axis=0)
+                each = aligner.sizes[parts, 2]
+                links = aligner.links[np.repeat(aligner.first[parts] - np.cumsum(each) + each, each) + np.arange(each.sum())]
+                said = [aligner.groups[i] for i in parts.tolist()]
+                groups = [";".join(said[x:y]) for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(first, len(texts)), col(0), col(1), col(2), col(2), col(3), col(4), pa.array(said, pa.string()),
-                     pa.array(left, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups", "rare"])
+                    [b.column(0).slice(first, len(texts)), *[pa.array(np.ascontiguousarray(n[:, k])) for k in (0, 1, 2, 2)], pa.array(groups, pa.string()),
+                     pa.ListArray.from_arrays(pa.array(total[:, 2].astype(np.int32)), pa.array(links))],
+                    names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "links"])
                 if aligner.held > MEMO:
                     aligner.clear()
-                    values, rare = np.zeros((0, 5), np.int64), []
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, "
-                                                         "n_best bigint, count_sum bigint, groups string, rare array<bigint>")
+                                                         "groups string, links array<bigint>")
+
+
+def link_counts(links: DataFrame) -> DataFrame:
+    """(pair, n, best): how often each pair of ids is linked in the corpus, and whether no other pair with the
+    same B id is linked more often."""
+    counted = stage(links.select(F.explode("links").alias("pair")).groupBy("pair").agg(F.count("*").alias("n")), "link-counts")
+    b = F.col("pair").bitwiseAND(0xFFFFFFFF)
+    most = counted.groupBy(b.alias("b")).agg(F.max("n").alias("most"))   # at most a row for each id of B
+    return stage(counted.withColumn("b", b).join(most, "b").select("pair", "n", (F.col("n") == F.col("most")).alias("best")), "link-best")
 
 
-def with_rare(aligned: DataFrame, counts: DataFrame) -> DataFrame:
-    """``aligned`` with the counts of its rare links added; a table is written, so large columns such as
-    the groups should be digested before."""
+def weigh(aligned: DataFrame, head: int = HEAD) -> DataFrame:
+    """``aligned`` with its ``links`` replaced by n_best (links that are the most frequent of their B id) and
+    count_sum (their counts added up).  A table is written, so large columns such as the groups should be
+    digested before."""
     rows = stage(aligned.withColumn("_row", F.monotonically_increasing_id()), "aligned")
-    met = (rows.select("_row", F.explode("rare").alias("pair")).groupBy("_row", "pair").agg(F.count("*").alias("_times"))
-           .join(counts, "pair").groupBy("_row")
-           .agg(F.sum(F.when(F.col("best"), F.col("_times")).otherwise(0)).alias("_best"), F.sum(F.col("_times") * F.col("n")).alias("_sum")))
-    return rows.join(met, "_row", "left").select(*[
-        (F.col(c) + F.coalesce(met[extra], F.lit(0))).alias(c) if extra else F.col(c)
-        for c in aligned.columns if c != "rare" for extra in [{"n_best": "_best", "count_sum": "_sum"}.get(c)]])
+    counts = link_counts(rows)
+    known = counts.orderBy(F.desc("n"), "pair").limit(head).toArrow().sort_by("pair")   # at most ``head`` rows
+    shared = rows.sparkSession.sparkContext.broadcast(
+        (known["pair"].to_numpy(), known["n"].to_numpy(), known["best"].to_numpy(zero_copy_only=False)))
+
+    def run(batches):
+        pairs, ns, bests = shared.value
+        for b in batches:
+            offsets = b.column(1).offsets.to_numpy().astype(np.int64)
+            x = b.column(1).values.to_numpy()[offsets[0]:offsets[-1]]
+            offsets -= offsets[0]
+            hit, n, best = np.zeros(len(x), bool), np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+            if len(pairs) and len(x):
+                at = np.minimum(np.searchsorted(pairs, x), len(pairs) - 1)
+                hit = pairs[at] == x
+                n, best = np.where(hit, ns[at], 0), np.where(hit, bests[at], 0)
+            per = lambda v: np.diff(np.concatenate([[0], np.cumsum(v)])[offsets])
+            left = np.concatenate([[0], np.cumsum(~hit)])[offsets].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(per(best)), pa.array(per(n)), pa.ListArray.from_arrays(pa.array(left), pa.array(x[~hit]))],
+                                             names=["_row", "_best", "_sum", "_rare"])
+
+    weighed = rows.select("_row", "links").mapInArrow(run, "_row bigint, _best bigint, _sum bigint, _rare array<bigint>")
+    rare = (weighed.select("_row", F.explode("_rare").alias("pair")).groupBy("_row", "pair").agg(F.count("*").alias("_times"))
+            .join(counts, "pair").select("_row", F.when(F.col("best"), F.col("_times")).otherwise(0).alias("_best"), (F.col("_times") * F.col("n")).alias("_sum")))
+    sums = weighed.select("_row", "_best", "_sum").unionByName(rare).groupBy("_row").agg(F.sum("_best").alias("n_best"), F.sum("_sum").alias("count_sum"))
+    return rows.drop("links").join(sums, "_row").drop("_row")
 
 
 def digest(aligned: DataFrame) -> DataFrame:

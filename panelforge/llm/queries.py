@@ -161,11 +161,9 @@ def op5_surrogates(spark, sf_dir):
 def op13_alignment(spark, sf_dir):
     import public_tokenizers
 
-    from .align import align, digest, link_counts, with_rare
+    from .align import align, digest, weigh
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
-    counts = link_counts(docs, *paths)
-    return with_rare(digest(align(docs, counts, *paths)), counts)
+    return weigh(digest(align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))))
 
 
 @query

@@ -50,9 +50,8 @@ def brute(texts):
 
 
 def run(spark, docs, **kw):
-    from panelforge.llm.align import align, digest, link_counts, with_rare
-    counts = link_counts(docs, *PATHS)
-    return with_rare(digest(align(docs, counts, *PATHS, **kw)), counts)
+    from panelforge.llm.align import align, digest, weigh
+    return weigh(digest(align(docs, *PATHS)), **kw)
 
 
 @pytest.mark.parametrize("head", [1 << 18, 7, 0])
@@ -64,16 +63,28 @@ def test_equal_to_whole_texts(spark, head):
         assert tuple(got[i][c] for c in cols) == want, texts[i]
 
 
-def test_memo_limit_and_partitions(spark, monkeypatch):
+def test_memo_and_partitions(spark):
     from panelforge.llm import align as A
     docs = docs_frame(spark, enumerate(edge_texts() * 2))
     want = rows_of(run(spark, docs.coalesce(1)))
     assert rows_of(run(spark, docs.repartition(7))) == want
-    t = A.Tokenizers(*PATHS)
-    one = A.Aligner(t)
-    first = [one.groups[i] for n in one.numbers(["some words here"]) for i in n]
+    one = A.Aligner(A.Tokenizers(*PATHS))
+    say = lambda text: [one.groups[i] for i in one.numbers([text])[0]]
+    first = say("some words here")
     one.clear()
-    assert [one.groups[i] for n in one.numbers(["some words here"]) for i in n] == first
+    say("other words")
+    assert say("some words here") == first and len(first) == 3
+
+
+def test_spans_are_refined():
+    """Coarse cuts of tokens that share a character are moved to their decoded bytes."""
+    import numpy as np
+
+    from panelforge.llm.align import cuts
+    x = np.array
+    assert cuts(x([0, 1, 1, 4]), x([1, 4, 4, 6]), x([1, 2, 1, 2])).tolist() == [1, 3, 4, 6]
+    assert cuts(x([0, 3, 3, 3]), x([3, 3, 3, 6]), x([3, 1, 1, 1])).tolist() == [3, 4, 5, 6]
+    assert cuts(x([0, 0]), x([2, 2]), x([1, 1])).tolist() == [1, 2]
 
 
 def test_empty_table_and_null_ids(spark):
