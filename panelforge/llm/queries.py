@@ -200,3 +200,9 @@ f AS (SELECT r.doc_id, r.leaf, subroot, (SELECT nodes[1] FROM tv WHERE len(nodes
   FROM r JOIN sub USING (g) LEFT JOIN p USING (k))
 SELECT *, folded_root = root AS verified FROM f
 """
+
+
+@query
+def op11_suffix_dedup(spark, sf_dir):
+    from .suffix import digest, remove_repeats
+    return digest(remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
