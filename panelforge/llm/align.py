@@ -22,6 +22,8 @@ is plain text; repeated rows repeat; further columns are ignored; an empty table
 from __future__ import annotations
 
 import re
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,7 @@ HEAD = 1 << 18           # linked pairs that tasks know
 MEMO = 1 << 24           # characters of parts that a task keeps
 SLICE = 256              # texts aligned at once
 LONG = 1 << 20           # characters of texts from which a slice ends early
+TOGETHER = 1 << 14       # characters of new parts encoded at once
 SPACE = "▁"
 
 _cut = re.compile(r"(?<=\S) ")
@@ -80,6 +83,8 @@ class Tokenizers:
         if any(_cut.search(x.decode(errors="replace")) for x in [*self.a_bytes, *self.b_bytes]):
             raise ValueError("a token goes on from another character to a space: texts can't be cut there")
         self.b_space = self.b.piece_to_id(SPACE)
+        # a pair of ids: A's shifted over B's, in an int if all of them fit
+        self.kind, self.shift = ("int", 15) if len(self.a_bytes) <= 1 << 16 and len(self.b_bytes) <= 1 << 15 else ("bigint", 32)
         self.a_size, self.b_size = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
         # ids as text before ',' and '|' (A), and before ',', ';' and the end of a part (B)
         self.said = np.array([f"{i}{c}" for c in ",|" for i in range(len(self.a_bytes))]
@@ -94,13 +99,14 @@ class Tokenizers:
         the tokens differ."""
         raw = (" " + text).encode()
         a = self.a.encode(" " + text, add_special_tokens=False)
-        ids, spans = np.array(a.ids, np.int64), np.array(a.offsets, np.int64).reshape(-1, 2)
+        ids = np.array(a.ids, np.int64)
+        spans = np.fromiter(chain.from_iterable(a.offsets), np.int64, 2 * len(ids)).reshape(-1, 2)
         if b"".join([self.a_bytes[i] for i in a.ids]) != raw:
             return None
         if not text.isascii():  # offsets of characters to offsets of bytes
             spans = np.append(np.nonzero(np.frombuffer(raw, np.uint8) & 0xC0 != 0x80)[0], len(raw))[spans]
         pieces = self.b.encode(text, return_type="proto").pieces
-        b_ids = [p.id for p in pieces] if text else [self.b_space]
+        b_ids = [p.id for p in pieces] or [self.b_space]     # no text: the space alone
         if b"".join([self.b_bytes[i] for i in b_ids]) != raw:
             return None
         # spans of B are within the text; the space before it belongs to the first piece
@@ -113,7 +119,7 @@ class Tokenizers:
 
 
 class Aligner:
-    """Aligned parts by number; the memo starts anew when it holds ``MEMO`` characters."""
+    """Aligned parts by number; a memo of over ``MEMO`` characters is cut to the parts that came again."""
 
     def __init__(self, tokens: Tokenizers):
         self.tokens = tokens
@@ -121,17 +127,37 @@ class Aligner:
 
     def clear(self):
         self.at: dict[str, int] = {}
-        self.held, self.groups = 0, []
+        self.held, self.groups, self.new = 0, [], []
         self.sizes = np.zeros((0, 3), np.int64)          # by part: tokens of A and B, groups (-1: not given back)
         self.links = np.zeros(0, np.int64)               # of all parts, one after the other
         self.first = np.zeros(0, np.int64)               # by part, its first link
+        self.seen = np.zeros(0, np.int64)                # by part, how often it came since the last trim
+
+    def trim(self) -> None:
+        if self.held <= MEMO:
+            return
+        again = np.nonzero(self.seen > 1)[0]
+        parts, groups, sizes, links, first = list(self.at), self.groups, self.sizes, self.links, self.first
+        self.clear()
+        n = np.maximum(sizes[again, 2], 0)
+        self._keep([parts[i] for i in again], [groups[i] for i in again], sizes[again],
+                   links[np.repeat(first[again] - np.cumsum(n) + n, n) + np.arange(n.sum())])
+        self._grow()
+        if self.held > MEMO // 2:
+            self.clear()
 
     def _keep(self, parts, groups, sizes, links):
-        first = len(self.links) + np.cumsum(np.maximum(sizes[:, 2], 0)) - np.maximum(sizes[:, 2], 0)
         self.at.update(zip(parts, range(len(self.groups), len(self.groups) + len(parts))))
         self.held += sum(map(len, parts)) + 64 * len(parts)
         self.groups += groups
-        self.sizes, self.links, self.first = (np.concatenate(x) for x in ((self.sizes, sizes), (self.links, links), (self.first, first)))
+        self.new.append((sizes, links))
+
+    def _grow(self):
+        sizes, links = (np.concatenate(x) for x in zip((self.sizes, self.links), *self.new))
+        self.new = []
+        n = np.maximum(sizes[:, 2], 0)
+        self.sizes, self.links, self.first = sizes, links, np.cumsum(n) - n
+        self.seen = np.append(self.seen, np.zeros(len(sizes) - len(self.seen), np.int64))
 
     def add(self, parts: list[str]) -> None:
         """Align new parts together; halved until the tokens of each give its bytes back."""
@@ -149,7 +175,8 @@ class Aligner:
         (a, a_ends), (b, b_ends) = done
         common = np.intersect1d(a_ends, b_ends, assume_unique=True)
         n_a, n_b = (np.searchsorted(e, common) + 1 for e in (a_ends, b_ends))     # tokens up to each common cut
-        stop = np.searchsorted(common, np.cumsum([1 + (len(p) if p.isascii() else len(p.encode())) for p in parts])) + 1   # groups up to each part's end
+        size = [1 + len(p.encode()) for p in parts]
+        stop = np.searchsorted(common, np.cumsum(size)) + 1   # groups up to each part's end
         in_a, in_b = np.searchsorted(common, a_ends), np.searchsorted(common, b_ends)   # the group of each token
         said = np.empty(len(a) + len(b), np.int64)
         a_sep, b_sep = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
@@ -160,29 +187,27 @@ class Aligner:
         said[np.arange(len(b)) + n_a[in_b]] = b + nb * b_sep + 2 * na
         groups = "".join(t.said[said].tolist()).split("\n")[:-1]
         up_to = np.stack([n_a[stop - 1], n_b[stop - 1], stop], axis=1)
-        self._keep(parts, groups, np.diff(up_to, axis=0, prepend=0), a[n_a - 1] << 32 | b[n_b - 1])
+        self._keep(parts, groups, np.diff(up_to, axis=0, prepend=0), a[n_a - 1] << t.shift | b[n_b - 1])
 
     def numbers(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """(numbers of the parts of all texts, offsets by text); no parts for texts without tokens."""
         split = [parts_of(t) if t else [] for t in texts]
         flat = [p for q in split for p in q]
         at = list(map(self.at.get, flat))
-        new = sorted({p for p, i in zip(flat, at) if i is None}) if None in at else []
+        new = list(dict.fromkeys(p for p, i in zip(flat, at) if i is None)) if None in at else []
         if new:
             # a part that ends in white space, or is none, must be encoded alone
-            whole, size = [], 0
-            for p in new:
-                if not p or p[-1].isspace():
-                    self.add([p])
-                    continue
-                whole.append(p)
-                size += len(p)
-                if size > LONG // 4:
-                    self.add(whole)
-                    whole, size = [], 0
-            self.add(whole)
+            for p in [p for p in new if p[-1:].isspace() or not p]:
+                self.add([p])
+            new = [p for p in new if p and not p[-1].isspace()]
+            ends = np.cumsum([len(p) for p in new])
+            bounds = np.unique(np.searchsorted(ends, np.arange(TOGETHER, ends[-1], TOGETHER))).tolist() if new else []
+            for x, y in zip([0, *bounds], [*bounds, len(new)]):
+                self.add(new[x:y])
+            self._grow()
             at = list(map(self.at.get, flat))
         at = np.array(at, np.int64)
+        self.seen += np.bincount(at, minlength=len(self.seen))
         ends = np.cumsum([len(q) for q in split])
         bad = np.nonzero(self.sizes[at, 2] < 0)[0]
         if len(bad):
@@ -194,6 +219,12 @@ class Aligner:
         return at, np.concatenate([[0], ends])
 
 
+@lru_cache(2)
+def tokenizers_of(a_path: str, b_path: str) -> Tokenizers:
+    """Read once by a Python worker."""
+    return Tokenizers(a_path, b_path)
+
+
 def _slices(texts: pa.Array):
     """(first, texts) of up to ``SLICE`` texts, fewer if they are long."""
     first, held, size = 0, [], 0
@@ -209,37 +240,38 @@ def _slices(texts: pa.Array):
 
 def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """By row of docs (doc_id, text): n_a, n_b, n_groups, n_links, groups (A's ids, '|', B's ids, groups
-    parted by ';') and links (A's id in the high 32 bits, B's below)."""
+    parted by ';') and links (A's id shifted by 15 bits over B's in an int, by 32 in a bigint)."""
+    links = tokenizers_of(a_path, b_path).kind
+
     def run(batches):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"   # Spark's tasks are the parallel part
-        aligner = Aligner(Tokenizers(a_path, b_path))
+        aligner = Aligner(tokenizers_of(a_path, b_path))
         for b in batches:
             for first, texts in _slices(b.column(1)):
                 parts, offsets = aligner.numbers(texts)
                 total = np.concatenate([np.zeros((1, 3), np.int64), np.cumsum(aligner.sizes[parts], axis=0)])[offsets]
                 n = np.diff(total, axis=0)
                 each = aligner.sizes[parts, 2]
-                links = aligner.links[np.repeat(aligner.first[parts] - np.cumsum(each) + each, each) + np.arange(each.sum())]
+                pairs = aligner.links[np.repeat(aligner.first[parts] - np.cumsum(each) + each, each) + np.arange(each.sum())]
                 said = [aligner.groups[i] for i in parts.tolist()]
                 groups = [";".join(said[x:y]) for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(first, len(texts)), *[pa.array(np.ascontiguousarray(n[:, k])) for k in (0, 1, 2, 2)], pa.array(groups, pa.string()),
-                     pa.ListArray.from_arrays(pa.array(total[:, 2].astype(np.int32)), pa.array(links))],
+                     pa.ListArray.from_arrays(pa.array(total[:, 2].astype(np.int32)), pa.array(pairs.astype(np.int32) if links == "int" else pairs))],
                     names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "links"])
-                if aligner.held > MEMO:
-                    aligner.clear()
+                aligner.trim()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, "
-                                                         "groups string, links array<bigint>")
+                                                         f"groups string, links array<{links}>")
 
 
 def link_counts(links: DataFrame) -> DataFrame:
     """(pair, n, best): how often each pair of ids is linked in the corpus, and whether no other pair with the
     same B id is linked more often."""
     counted = stage(links.select(F.explode("links").alias("pair")).groupBy("pair").agg(F.count("*").alias("n")), "link-counts")
-    b = F.col("pair").bitwiseAND(0xFFFFFFFF)
+    b = F.col("pair").bitwiseAND((1 << 15) - 1 if counted.schema["pair"].dataType.simpleString() == "int" else (1 << 32) - 1)
     most = counted.groupBy(b.alias("b")).agg(F.max("n").alias("most"))   # at most a row for each id of B
     return stage(counted.withColumn("b", b).join(most, "b").select("pair", "n", (F.col("n") == F.col("most")).alias("best")), "link-best")
 
@@ -270,7 +302,7 @@ def weigh(aligned: DataFrame, head: int = HEAD) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(per(best)), pa.array(per(n)), pa.ListArray.from_arrays(pa.array(left), pa.array(x[~hit]))],
                                              names=["_row", "_best", "_sum", "_rare"])
 
-    weighed = rows.select("_row", "links").mapInArrow(run, "_row bigint, _best bigint, _sum bigint, _rare array<bigint>")
+    weighed = rows.select("_row", "links").mapInArrow(run, f"_row bigint, _best bigint, _sum bigint, _rare {rows.schema['links'].dataType.simpleString()}")
     rare = (weighed.select("_row", F.explode("_rare").alias("pair")).groupBy("_row", "pair").agg(F.count("*").alias("_times"))
             .join(counts, "pair").select("_row", F.when(F.col("best"), F.col("_times")).otherwise(0).alias("_best"), (F.col("_times") * F.col("n")).alias("_sum")))
     sums = weighed.select("_row", "_best", "_sum").unionByName(rare).groupBy("_row").agg(F.sum("_best").alias("n_best"), F.sum("_sum").alias("count_sum"))
