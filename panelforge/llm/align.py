@@ -3,7 +3,8 @@
 Tokenizer A (the tokenizers library, byte-level) gives character offsets, tokenizer B (sentencepiece)
 the spans of its proto; both are coarse cuts in bytes.  A token whose span doesn't have the length of
 its decoded bytes (a part of a multibyte character, a byte-fallback token, the added first space) is
-cut after its decoded bytes instead.  Offsets where tokens of both end cut the text into groups; the
+cut after its decoded bytes instead.  Over ASCII alone every character is a byte, no span can differ
+from the decoded bytes, and none is asked for.  Offsets where tokens of both end cut the text into groups; the
 last tokens of a group are linked.
 
 Neither tokenizer has a token that goes on from another character to a space (checked of every piece
@@ -22,7 +23,7 @@ is plain text; repeated rows repeat; further columns are ignored; an empty table
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from hashlib import sha256
 from itertools import chain
 
 import numpy as np
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 from .common import stage
 
 HEAD = 1 << 18           # linked pairs that tasks know
-MEMO = 1 << 24           # characters of parts that a task keeps
-SLICE = 256              # texts aligned at once
+MEMO = 1 << 23           # characters of parts that a task keeps
+SLICE = 128              # texts aligned at once
 LONG = 1 << 20           # characters of texts from which a slice ends early
 TOGETHER = 1 << 14       # characters of new parts encoded at once
 SPACE = "▁"
@@ -98,24 +99,26 @@ class Tokenizers:
         """((ids, ends) of A, the same of B) over space + text, ends in bytes; None if the joined bytes of
         the tokens differ."""
         raw = (" " + text).encode()
-        a = self.a.encode(" " + text, add_special_tokens=False)
-        ids = np.array(a.ids, np.int64)
-        spans = np.fromiter(chain.from_iterable(a.offsets), np.int64, 2 * len(ids)).reshape(-1, 2)
-        if b"".join([self.a_bytes[i] for i in a.ids]) != raw:
+        ascii_only = len(raw) == len(text) + 1
+        a = (self.a.encode_batch_fast if ascii_only else self.a.encode_batch)([" " + text], add_special_tokens=False)[0]
+        a_ids = a.ids
+        if b"".join([self.a_bytes[i] for i in a_ids]) != raw:
             return None
-        if not text.isascii():  # offsets of characters to offsets of bytes
-            spans = np.append(np.nonzero(np.frombuffer(raw, np.uint8) & 0xC0 != 0x80)[0], len(raw))[spans]
-        pieces = self.b.encode(text, return_type="proto").pieces
-        b_ids = [p.id for p in pieces] or [self.b_space]     # no text: the space alone
+        pieces = [] if ascii_only else self.b.encode(text, return_type="proto").pieces
+        b_ids = [p.id for p in pieces] if pieces else self.b.encode(text) or [self.b_space]     # no text: the space alone
         if b"".join([self.b_bytes[i] for i in b_ids]) != raw:
             return None
+        a_ids, b_ids = np.array(a_ids, np.int64), np.array(b_ids, np.int64)
+        a_size, b_size = self.a_size[a_ids], self.b_size[b_ids]
+        if ascii_only:
+            return (a_ids, np.cumsum(a_size)), (b_ids, np.cumsum(b_size))
+        # offsets of characters to offsets of bytes
+        at = np.append(np.nonzero(np.frombuffer(raw, np.uint8) & 0xC0 != 0x80)[0], len(raw))
+        spans = at[np.fromiter(chain.from_iterable(a.offsets), np.int64, 2 * len(a_ids))]
         # spans of B are within the text; the space before it belongs to the first piece
-        n = len(b_ids)
-        starts = np.fromiter((p.begin for p in pieces), np.int64, len(pieces)) + 1 if text else np.zeros(1, np.int64)
-        ends = np.fromiter((p.end for p in pieces), np.int64, len(pieces)) + 1 if text else np.ones(1, np.int64)
+        starts, ends = (np.fromiter(x, np.int64, len(b_ids)) + 1 for x in ((p.begin for p in pieces), (p.end for p in pieces)))
         starts[:1] = 0
-        b_ids = np.array(b_ids, np.int64)
-        return (ids, cuts(spans[:, 0], spans[:, 1], self.a_size[ids])), (b_ids, cuts(starts, ends, self.b_size[b_ids]))
+        return (a_ids, cuts(spans[::2], spans[1::2], a_size)), (b_ids, cuts(starts, ends, b_size))
 
 
 class Aligner:
@@ -200,10 +203,11 @@ class Aligner:
             for p in [p for p in new if p[-1:].isspace() or not p]:
                 self.add([p])
             new = [p for p in new if p and not p[-1].isspace()]
-            ends = np.cumsum([len(p) for p in new])
-            bounds = np.unique(np.searchsorted(ends, np.arange(TOGETHER, ends[-1], TOGETHER))).tolist() if new else []
-            for x, y in zip([0, *bounds], [*bounds, len(new)]):
-                self.add(new[x:y])
+            for some in ([p for p in new if p.isascii()], [p for p in new if not p.isascii()]):
+                ends = np.cumsum([len(p) for p in some])
+                bounds = np.unique(np.searchsorted(ends, np.arange(TOGETHER, ends[-1], TOGETHER))).tolist() if some else []
+                for x, y in zip([0, *bounds], [*bounds, len(some)]):
+                    self.add(some[x:y])
             self._grow()
             at = list(map(self.at.get, flat))
         at = np.array(at, np.int64)
@@ -219,12 +223,6 @@ class Aligner:
         return at, np.concatenate([[0], ends])
 
 
-@lru_cache(2)
-def tokenizers_of(a_path: str, b_path: str) -> Tokenizers:
-    """Read once by a Python worker."""
-    return Tokenizers(a_path, b_path)
-
-
 def _slices(texts: pa.Array):
     """(first, texts) of up to ``SLICE`` texts, fewer if they are long."""
     first, held, size = 0, [], 0
@@ -238,15 +236,16 @@ def _slices(texts: pa.Array):
         yield first, held
 
 
-def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
+def align(docs: DataFrame, a_path: str, b_path: str, render=None) -> DataFrame:
     """By row of docs (doc_id, text): n_a, n_b, n_groups, n_links, groups (A's ids, '|', B's ids, groups
-    parted by ';') and links (A's id shifted by 15 bits over B's in an int, by 32 in a bigint)."""
-    links = tokenizers_of(a_path, b_path).kind
+    parted by ';') and links (A's id shifted by 15 bits over B's in an int, by 32 in a bigint).
+    ``render`` may make another text of a document's groups, such as a digest, before they leave the task."""
+    links = Tokenizers(a_path, b_path).kind
 
     def run(batches):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"   # Spark's tasks are the parallel part
-        aligner = Aligner(tokenizers_of(a_path, b_path))
+        aligner = Aligner(Tokenizers(a_path, b_path))
         for b in batches:
             for first, texts in _slices(b.column(1)):
                 parts, offsets = aligner.numbers(texts)
@@ -255,7 +254,7 @@ def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 each = aligner.sizes[parts, 2]
                 pairs = aligner.links[np.repeat(aligner.first[parts] - np.cumsum(each) + each, each) + np.arange(each.sum())]
                 said = [aligner.groups[i] for i in parts.tolist()]
-                groups = [";".join(said[x:y]) for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+                groups = [(render or str)(";".join(said[x:y])) for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(first, len(texts)), *[pa.array(np.ascontiguousarray(n[:, k])) for k in (0, 1, 2, 2)], pa.array(groups, pa.string()),
                      pa.ListArray.from_arrays(pa.array(total[:, 2].astype(np.int32)), pa.array(pairs.astype(np.int32) if links == "int" else pairs))],
@@ -278,8 +277,8 @@ def link_counts(links: DataFrame) -> DataFrame:
 
 def weigh(aligned: DataFrame, head: int = HEAD) -> DataFrame:
     """``aligned`` with its ``links`` replaced by n_best (links that are the most frequent of their B id) and
-    count_sum (their counts added up).  A table is written, so large columns such as the groups should be
-    digested before."""
+    count_sum (their counts added up).  A table is written, so groups should be rendered as something short
+    before."""
     rows = stage(aligned.withColumn("_row", F.monotonically_increasing_id()), "aligned")
     counts = link_counts(rows)
     known = counts.orderBy(F.desc("n"), "pair").limit(head).toArrow().sort_by("pair")   # at most ``head`` rows
@@ -309,5 +308,5 @@ def weigh(aligned: DataFrame, head: int = HEAD) -> DataFrame:
     return rows.drop("links").join(sums, "_row").drop("_row")
 
 
-def digest(aligned: DataFrame) -> DataFrame:
-    return aligned.withColumn("groups_sha256", F.when(F.col("groups") == "", F.lit("")).otherwise(F.sha2("groups", 256))).drop("groups")
+def sha256_or_empty(groups: str) -> str:
+    return sha256(groups.encode()).hexdigest() if groups else ""

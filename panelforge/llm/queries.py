@@ -161,9 +161,10 @@ def op5_surrogates(spark, sf_dir):
 def op13_alignment(spark, sf_dir):
     import public_tokenizers
 
-    from .align import align, digest, weigh
+    from .align import align, sha256_or_empty, weigh
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return weigh(digest(align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))))
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return weigh(align(docs, *paths, render=sha256_or_empty)).withColumnRenamed("groups", "groups_sha256")
 
 
 @query

@@ -50,8 +50,8 @@ def brute(texts):
 
 
 def run(spark, docs, **kw):
-    from panelforge.llm.align import align, digest, weigh
-    return weigh(digest(align(docs, *PATHS)), **kw)
+    from panelforge.llm.align import align, sha256_or_empty, weigh
+    return weigh(align(docs, *PATHS, render=sha256_or_empty), **kw).withColumnRenamed("groups", "groups_sha256")
 
 
 @pytest.mark.parametrize("head", [1 << 18, 7, 0])
@@ -87,6 +87,13 @@ def test_spans_are_refined():
     assert cuts(x([0, 0]), x([2, 2]), x([1, 1])).tolist() == [1, 2]
 
 
+def test_groups_as_text(spark):
+    from panelforge.llm.align import align
+    texts = ["two words", "é一 x", None]
+    got = {r["doc_id"]: r["groups"] for r in align(docs_frame(spark, enumerate(texts)), *PATHS).collect()}
+    assert [sha(got[i]) if got[i] else "" for i in range(3)] == [b[6] for b in brute(texts)]
+
+
 def test_empty_table_and_null_ids(spark):
     assert run(spark, docs_frame(spark, [])).count() == 0
     got = run(spark, docs_frame(spark, [(None, "a b"), (None, "a b"), (3, None)])).collect()
