@@ -287,7 +287,7 @@ def weigh(aligned: DataFrame, head: int = HEAD) -> DataFrame:
 
     def run(batches):
         pairs, ns, bests = shared.value
-        for b in batches:
+        for b in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             offsets = b.column(1).offsets.to_numpy().astype(np.int64)
             x = b.column(1).values.to_numpy()[offsets[0]:offsets[-1]]
             offsets -= offsets[0]
