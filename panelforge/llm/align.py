@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import stage
 
 HEAD = 1 << 18           # linked pairs that tasks know
-MEMO = 1 << 23           # characters of parts that a task keeps
+MEMO = 1 << 24           # characters of parts that a task keeps
 SLICE = 128              # texts aligned at once
 LONG = 1 << 20           # characters of texts from which a slice ends early
 TOGETHER = 1 << 14       # characters of new parts encoded at once
@@ -301,7 +301,8 @@ def weigh(aligned: DataFrame, head: int = HEAD) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(per(best)), pa.array(per(n)), pa.ListArray.from_arrays(pa.array(left), pa.array(x[~hit]))],
                                              names=["_row", "_best", "_sum", "_rare"])
 
-    weighed = rows.select("_row", "links").mapInArrow(run, f"_row bigint, _best bigint, _sum bigint, _rare {rows.schema['links'].dataType.simpleString()}")
+    kind = rows.schema["links"].dataType.simpleString()
+    weighed = stage(rows.select("_row", "links").mapInArrow(run, f"_row bigint, _best bigint, _sum bigint, _rare {kind}"), "weighed")
     rare = (weighed.select("_row", F.explode("_rare").alias("pair")).groupBy("_row", "pair").agg(F.count("*").alias("_times"))
             .join(counts, "pair").select("_row", F.when(F.col("best"), F.col("_times")).otherwise(0).alias("_best"), (F.col("_times") * F.col("n")).alias("_sum")))
     sums = weighed.select("_row", "_best", "_sum").unionByName(rare).groupBy("_row").agg(F.sum("_best").alias("n_best"), F.sum("_sum").alias("count_sum"))
