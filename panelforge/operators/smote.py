@@ -1,12 +1,10 @@
 """SMOTE and ADASYN oversampling (B5, D5) as distributed jobs.
 
-Neighbour search never builds all pairs of a group.  Rows are ordered along
-``TABLES`` fixed random projections (bucketed rank, no one-partition sort);
-each order is cut into blocks of ``block`` rows, and a row's candidates are the
-rows of its own and the two neighbouring blocks in every order.  Each block
-gives its rows' k nearest by exact distance, and the k nearest of all tables
-together are kept.  The same search runs at every size; it is approximate where
-a group has more rows than three blocks, and a test states its recall.
+Neighbours are exact at every size (``neighbours``: a blocked search with pivot
+bounds).  Partners of SMOTE and ADASYN are the k nearest minority rows; ADASYN's
+risk is the share of majority rows among the k nearest of all, so minority rows
+are its queries and every row of the task is stored once.  Neighbours are row
+numbers; the partner that a synthetic row draws is joined when it is drawn.
 
 How many synthetic rows each minority row produces is decided up front from the
 counts, so the total is exact in both modes: n_new = floor(ratio * n_majority) -
@@ -21,28 +19,14 @@ task; rows without a label pass through and are nobody's neighbours.
 """
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..conf import RANDOM_STATE, SMOTE_K, SMOTE_RATIO
 from ..functions.prefix import global_rank, join_groups
 from ..session import cut_lineage
 from .balance import HASH_RANGE, md5_hash
-
-TABLES = 6
-BLOCK = 512
-
-
-def _projections(dims: int, seed: int, tables: int):
-    """array<(t, p)>: the position of a row on each random projection."""
-    def dot(row):
-        return F.aggregate(F.zip_with("_v", F.array(*[F.lit(float(x)) for x in row]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-
-    w = np.random.default_rng(seed).normal(size=(tables, dims))
-    return F.array(*[F.struct(F.lit(t).alias("t"), dot(row).alias("p")) for t, row in enumerate(w)])
+from .neighbours import BLOCK, exact_neighbours
 
 
 def _u(cols: list[str], seed: int, salt: str):
@@ -51,56 +35,16 @@ def _u(cols: list[str], seed: int, salt: str):
     return F.conv(F.substring(F.md5(s), 1, 15), 16, 10).cast("double") / F.lit(float(1 << 60))
 
 
-def _nearest(q: np.ndarray, x: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(distances, positions) of the k nearest rows of x for each row of q, without position own[i]."""
-    d = (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2.0 * (q @ x.T)
-    d[np.arange(len(q)), own] = np.inf
-    m = min(len(x) - 1, k + 8)   # a few more, as the expansion above rounds
-    if m <= 0:
-        return np.empty((len(q), 0)), np.empty((len(q), 0), int)
-    at = np.argpartition(d, m - 1, axis=1)[:, :m]
-    exact = ((q[:, None, :] - x[at]) ** 2).sum(2)
-    exact[at == own[:, None]] = np.inf
-    order = np.lexsort((at, exact), axis=1)[:, :k]
-    return np.take_along_axis(exact, order, 1), np.take_along_axis(at, order, 1)
-
-
-def nearest_neighbours(pool: DataFrame, by: str, keys: list[str], k: int, seed: int = RANDOM_STATE,
-                       block: int = BLOCK, tables: int = TABLES, dims: int = 1) -> DataFrame:
-    """(by, keys, _near): per minority row of ``pool`` (by, keys, ``_v`` vector, ``_min`` flag) its k
-    nearest rows and its k nearest minority rows, as array<(d, n, min, v)> by distance; ``n`` is a
-    hash of the neighbour's key."""
-    tagged = pool.withColumn("_n", F.xxhash64(*keys)).withColumn("_x", F.explode(_projections(dims, seed, tables)))
-    spread = cut_lineage(tagged.select(by, *keys, "_v", "_min", "_n", F.col("_x.t").alias("_t"), F.col("_x.p").alias("_p")), "projections")
-    ranked = global_rank(spread, "_p", descending=False, tiebreak=keys, by=[by, "_t"], name="_pos")
-    home = F.floor((F.col("_pos") - 1) / block).cast("long")
-    blocks = (ranked.withColumn("_home", home).withColumn("_blk", F.explode(F.array(home - 1, home, home + 1)))
-              .drop("_p", "_pos"))
-    near = T.ArrayType(T.StructType([T.StructField("d", T.DoubleType()), T.StructField("n", T.LongType()),
-                                     T.StructField("min", T.BooleanType()), T.StructField("v", T.ArrayType(T.DoubleType()))]))
-    schema = T.StructType([pool.schema[by], *[pool.schema[c] for c in keys], T.StructField("_near", near)])
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = np.nonzero(((pdf["_home"] == pdf["_blk"]) & pdf["_min"]).to_numpy())[0]
-        out = pdf.iloc[at][[by, *keys]].copy()
-        if not len(at):
-            return out.assign(_near=pd.Series(dtype=object))
-        x, is_min, n = np.stack(pdf["_v"].to_numpy()), pdf["_min"].to_numpy(), pdf["_n"].to_numpy()
-        found = [[] for _ in at]
-        minority = np.nonzero(is_min)[0]
-        own = np.searchsorted(minority, at)
-        for cand, self_at in ((np.arange(len(x)), at), (minority, own)):
-            d, pos = _nearest(x[at], x[cand], self_at, k)
-            for i in range(len(at)):
-                found[i] += [{"d": float(a), "n": int(n[j]), "min": bool(is_min[j]), "v": x[j].tolist()}
-                             for a, j in zip(d[i], cand[pos[i]]) if np.isfinite(a)]
-        out["_near"] = found
-        return out
-
-    parts = blocks.groupBy(by, "_t", "_blk").applyInPandas(search, schema)
-    # at most 2 * k entries a table and row
-    merged = parts.groupBy(by, *keys).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_near")))).alias("_near"))
-    return merged
+def search_pool(rows: DataFrame, cols: list[str], by: str, keys: list[str], minority) -> DataFrame:
+    """Rows (with ``_row``) as ``exact_neighbours`` takes them; ``flag`` marks the minority, all rows are queries."""
+    v = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols])
+    return rows.select(F.coalesce(F.concat(F.lit("="), F.col(by).cast("string")), F.lit("-")).alias("g"), F.col("_row").alias("row"),
+                       F.xxhash64(*keys).alias("n"), F.lit(True).alias("query"), minority.alias("flag"), v.alias("v"))
+
+
+def risk_share(near):
+    """Share of majority rows among the nearest rows; 0 without any."""
+    return F.when(F.size(near) > 0, F.size(F.filter(near, lambda x: ~x["flag"])) / F.size(near)).otherwise(F.lit(0.0))
 
 
 def oversample_synthetic(df: DataFrame, cols: list[str], label: str = "label", by: str = "task",
@@ -113,7 +57,9 @@ def oversample_synthetic(df: DataFrame, cols: list[str], label: str = "label", b
     minority row's k nearest neighbours (all classes).
     """
     keys, k = list(keys), int(k)
-    df = cut_lineage(df, "oversample")   # counted, searched and returned
+    plain = df.columns
+    # counted, searched and returned
+    df = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()), "oversample")
     counts = df.groupBy(by).agg(F.count_if(F.col(label) == 1).alias("_n1"),
                                 F.count_if(F.col(label) == 0).alias("_n0"))
     # the minority class is the smaller one of each task
@@ -123,19 +69,17 @@ def oversample_synthetic(df: DataFrame, cols: list[str], label: str = "label", b
     counts = counts.withColumn("_new", F.greatest(F.floor(F.col("_nmaj") * F.lit(ratio)).cast("long")
                                                   - F.col("_nmin"), F.lit(0)))
     active = counts.filter((F.col("_new") > 0) & (F.col("_nmin") > 0))
-    v = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols]).alias("_v")
-    pool = join_groups(df.filter(F.col(label).isin(0, 1)), active, [by]).select(
-        by, *keys, v, (F.col(label) == F.col("_class")).alias("_min"))
-    if mode == "smote":
-        pool = pool.filter("_min")
-    near = nearest_neighbours(pool, by, keys, k, seed, block, dims=len(cols))
-    minority = join_groups(df, active, [by]).filter(F.col(label) == F.col("_class"))
-    src = join_groups(minority, near, [by, *keys])
+    pool = search_pool(join_groups(df.filter(F.col(label).isin(0, 1)), active, [by]), cols, by, keys, F.col(label) == F.col("_class"))
+    pool = cut_lineage(pool if mode == "adasyn" else pool.filter("flag"), "pool")
+    partners = exact_neighbours(pool.filter("flag"), k, block)
+    src = join_groups(df, active, [by]).filter(F.col(label) == F.col("_class")).join(
+        partners.select(F.col("row").alias("_row"), F.col("near").alias("_to")), "_row")
+    if mode == "adasyn":
+        around = exact_neighbours(pool.withColumn("query", F.col("flag")), k, block)
+        src = src.join(around.select(F.col("row").alias("_row"), F.col("near").alias("_all")), "_row")
     src = cut_lineage(src.withColumn("_h", md5_hash(keys, seed)), "neighbours")
     if mode == "adasyn":
-        all_k = F.slice("_near", 1, k)
-        risk = F.when(F.size(all_k) > 0, F.size(F.filter(all_k, lambda x: ~x["min"])) / F.size(all_k)).otherwise(F.lit(0.0))
-        src = src.withColumn("_risk", risk)
+        src = src.withColumn("_risk", risk_share(F.col("_all")))
         total = src.groupBy(by).agg(F.sum("_risk").alias("_rsum"))
         src = join_groups(src, total, [by])
         want = F.when(F.col("_rsum") > 0, F.col("_risk") / F.col("_rsum")).otherwise(1 / F.col("_nmin")) * F.col("_new")
@@ -149,18 +93,18 @@ def oversample_synthetic(df: DataFrame, cols: list[str], label: str = "label", b
         rem = F.col("_new") - per * F.col("_nmin")
         src = src.withColumn("_reps", (per + F.when(F.col("_hp") <= rem, 1).otherwise(0)).cast("long"))
     gen = (src.filter(F.col("_reps") > 0)
-           .withColumn("_to", F.slice(F.filter("_near", lambda x: x["min"]), 1, k))
            .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_reps").cast("int")))))
     pick = (F.floor(_u(keys + ["copy"], seed, "n") * F.size("_to")) + 1).cast("int")
     # without any other minority row the copy is the row itself
-    nb = F.when(F.size("_to") > 0, F.try_element_at("_to", F.greatest(pick, F.lit(1)))["v"])
-    gen = gen.withColumn("_nb", nb).withColumn("_gap", _u(keys + ["copy"], seed, "g"))
+    nb = F.when(F.size("_to") > 0, F.try_element_at("_to", F.greatest(pick, F.lit(1)))["row"])
+    gen = gen.withColumn("_nb_row", nb).withColumn("_gap", _u(keys + ["copy"], seed, "g"))
+    gen = gen.join(pool.select(F.col("row").alias("_nb_row"), F.col("v").alias("_nb")), "_nb_row", "left")
 
     own = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols])
     gen = gen.withColumn("_own", own).withColumn("_mid", F.zip_with(
         "_own", F.coalesce("_nb", "_own"), lambda x, y: x + F.col("_gap") * (y - x)))
     synth = gen.withColumns({c: F.get("_mid", F.lit(i)).cast(df.schema[c].dataType) for i, c in enumerate(cols)}).withColumn("synthetic", F.lit(True))
-    return df.withColumn("synthetic", F.lit(False)).unionByName(synth.select(*df.columns, "synthetic"))
+    return df.select(*plain, F.lit(False).alias("synthetic")).unionByName(synth.select(*plain, "synthetic"))
 
 
 def smote(df: DataFrame, cols: list[str], label: str = "label", by: str = "task", **kw) -> DataFrame:

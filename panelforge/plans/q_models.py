@@ -2,15 +2,17 @@
 
 Iterative fits are not SQL-expressible, so they carry no oracle; tests check
 them on a separable and a constant set.  Of the synthetic rows, SQL fixes the
-number per task and the range they lie in.
+number per task and the range they lie in, and it finds the same neighbours by
+comparing all rows.
 """
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..operators.joins import experiment_grid
-from ..operators.smote import adasyn, smote
-from ..conf import RunConfig
+from ..operators.neighbours import exact_neighbours
+from ..operators.smote import adasyn, risk_share, search_pool, smote
+from ..conf import SMOTE_K, RunConfig
 from ..session import cut_lineage, scratch_path
 from ..sources.files import read_run_log, read_table
 from . import fixtures as fx
@@ -130,3 +132,41 @@ def q_smote(spark, sf):
 @query("adasyn", _SYNTH_SQL)
 def q_adasyn(spark, sf):
     return _synthetic(adasyn, _vectors(spark, sf))
+
+
+# The k nearest rows of each minority row, found by comparing it with every row of its task.
+_NEAREST_SQL = """
+    p AS (SELECT v.task, vec_id AS id, v.label, e FROM (
+        SELECT vec_id, 'C' || CAST(k AS VARCHAR) AS task, CAST(label = k AS INTEGER) AS label, embedding AS e FROM embeddings, range(0, 10) AS g(k)) v),
+    n AS (SELECT a.task, a.id, b.label, sqrt(list_sum(list_transform(range(1, 65), lambda i: power(CAST(a.e[i] AS DOUBLE) - CAST(b.e[i] AS DOUBLE), 2)))) AS d
+          FROM p a JOIN p b ON a.task = b.task AND a.id <> b.id WHERE a.label = 1 {among}),
+    r AS (SELECT *, row_number() OVER (PARTITION BY task, id ORDER BY d) AS place FROM n)"""
+
+
+def _vector_pool(spark, sf):
+    v = cut_lineage(_vectors(spark, sf).withColumn("_row", F.monotonically_increasing_id()), "vectors")
+    pool = search_pool(v, [f"e{i}" for i in range(DIMS)], "task", ["id", "wave"], F.col("label") == 1)
+    return v.select(F.col("_row").alias("row"), "task", "id"), cut_lineage(pool, "pool")
+
+
+@query("smote_neighbours", f"""WITH {_NEAREST_SQL.format(among="AND b.label = 1")}
+    SELECT task, id, CAST(count(*) AS INTEGER) AS n_near, round(min(d), 6) AS nearest, round(max(d), 6) AS farthest, round(avg(d), 6) AS mean_distance
+    FROM r WHERE place <= 5 GROUP BY task, id""")
+def q_smote_neighbours(spark, sf):
+    """Distances of the partners that SMOTE draws from: the 5 nearest minority rows of each minority row."""
+    named, pool = _vector_pool(spark, sf)
+    d = F.transform("near", lambda x: F.sqrt(x["d"]))
+    mean = F.aggregate("d", F.lit(0.0), lambda s, x: s + x) / F.size("d")
+    return (exact_neighbours(pool.filter("flag"), SMOTE_K).filter(F.size("near") > 0).withColumn("d", d).join(named, "row")
+            .select("task", "id", F.size("d").alias("n_near"), F.round(F.array_min("d"), 6).alias("nearest"),
+                    F.round(F.array_max("d"), 6).alias("farthest"), F.round(mean, 6).alias("mean_distance")))
+
+
+@query("adasyn_risk", f"""WITH {_NEAREST_SQL.format(among="")}
+    SELECT task, id, count_if(label = 0) / CAST(5 AS DOUBLE) AS risk, round(max(d), 6) AS farthest FROM r WHERE place <= 5 GROUP BY task, id""")
+def q_adasyn_risk(spark, sf):
+    """The share of majority rows among the 5 nearest of all rows, by minority row."""
+    named, pool = _vector_pool(spark, sf)
+    near = exact_neighbours(pool.withColumn("query", F.col("flag")), SMOTE_K)
+    return near.join(named, "row").select("task", "id", risk_share(F.col("near")).alias("risk"),
+                                          F.round(F.sqrt(F.element_at("near", -1)["d"]), 6).alias("farthest"))

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from panelforge.conf import RunConfig
 from panelforge.operators.joins import experiment_grid
-from panelforge.operators.smote import adasyn, nearest_neighbours, smote
+from panelforge.operators.neighbours import exact_neighbours
+from panelforge.operators.smote import adasyn, smote
 from panelforge.plans import models as MD
 from panelforge.session import cut_lineage, scratch_path
 from panelforge.sources import files as IO
@@ -67,18 +68,48 @@ def clouds(spark, n=1500, dims=6):
     return spark.createDataFrame(rows, "task string, id long, wave int, label int, " + ", ".join(f"{c} double" for c in cols)), cols, x
 
 
-def test_neighbour_recall(spark):
-    """Blocks far smaller than the groups still find at least 0.9 of the exact neighbours."""
-    df, cols, x = clouds(spark)
-    pool = df.select("task", "id", "wave", F.array(*cols).alias("_v"), F.lit(True).alias("_min"))
-    near = nearest_neighbours(pool, "task", ["id", "wave"], 5, block=64, dims=len(cols)).collect()
-    assert len(near) == len(x)
-    hit = 0
-    for r in near:
-        own = [i for i in range(len(x)) if i % 2 == r.id % 2 and i != r.id]
-        d = np.sort(((x[own] - x[r.id]) ** 2).sum(1))[:5]
-        hit += sum(a["d"] <= d[4] + 1e-9 for a in r._near[:5])
-    assert hit >= 0.9 * 5 * len(x)
+def pool_of(spark, x, group, flag, query):
+    rows = [(g, i, (i * 7919) % 1009, bool(q), bool(f), v) for i, (v, g, f, q) in enumerate(zip(x.tolist(), group, flag, query))]
+    return spark.createDataFrame(rows, "g string, row long, n long, query boolean, flag boolean, v array<double>").repartition(6)
+
+
+def brute_neighbours(x, group, query, k):
+    """By query row the row numbers of its k nearest: by distance, hash of the key, row number."""
+    n, out = (np.arange(len(x)) * 7919) % 1009, {}
+    for i in np.nonzero(query)[0]:
+        own = np.nonzero((group == group[i]) & (np.arange(len(x)) != i))[0]
+        d = ((x[i] - x[own]) ** 2).sum(1)
+        out[i] = own[np.lexsort((own, n[own], d))[:k]].tolist()
+    return out
+
+
+def check_neighbours(spark, x, group, flag, query, k, **kw):
+    got = exact_neighbours(pool_of(spark, x, group, flag, query), k, **kw).collect()
+    want = brute_neighbours(x, group, query, k)
+    assert {r.row: [a.row for a in r.near] for r in got} == want
+    for r in got:
+        assert [a.d for a in r.near] == [((x[r.row] - x[j]) ** 2).sum() for j in want[r.row]]
+        assert [a.flag for a in r.near] == [bool(flag[j]) for j in want[r.row]]
+
+
+def test_neighbours_equal_brute_force_64_dimensions(spark):
+    """5,000 rows of 64 dimensions in one group, 20 times the block."""
+    x = np.random.default_rng(4).normal(size=(5000, 64))
+    every = np.ones(5000, bool)
+    check_neighbours(spark, x, np.array(["=t"] * 5000), every, every, 5, block=256, queries=2000)
+
+
+def test_neighbours_of_a_skewed_group(spark):
+    """Minority rows (1 %) ask, every row answers; clusters, copies, a small group and one row alone."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4000, 8)) + rng.integers(0, 9, (4000, 1)) * 4
+    x[3000:3100] = x[0]           # 100 copies: ties at distance 0
+    x[::41] = x[1::41][:len(x[::41])]
+    group = np.array(["=a"] * 3960 + ["-"] * 39 + ["=b"])
+    flag = rng.random(4000) < 0.01
+    flag[[0, 3000, 3999]] = True
+    check_neighbours(spark, x, group, flag, flag, 5, block=100, queries=7)
+    check_neighbours(spark, x, group, flag, flag, 5)
 
 
 @pytest.mark.parametrize("over", [smote, adasyn])
@@ -96,6 +127,34 @@ def test_synthetic_totals_and_range(spark, over):
         assert new.filter("c0 IS NULL").count() == 0
 
 
+def test_adasyn_risk_equals_brute_force(spark):
+    from panelforge.operators.smote import risk_share, search_pool
+    df, cols, x = clouds(spark, 900)
+    pool = cut_lineage(search_pool(df.withColumn("_row", F.col("id")), cols, "task", ["id", "wave"], F.col("label") == 1))
+    got = exact_neighbours(pool.withColumn("query", F.col("flag")), 5, block=64).select("row", risk_share(F.col("near")).alias("risk")).collect()
+    label = np.arange(len(x)) % 10 < 2
+    assert len(got) == label.sum()
+    for r in got:
+        own = np.array([i for i in range(len(x)) if i % 2 == r.row % 2 and i != r.row])
+        nearest = own[np.argsort(((x[own] - x[r.row]) ** 2).sum(1))[:5]]
+        assert r.risk == (~label[nearest]).sum() / 5
+
+
+def test_synthetic_rows_lie_between_nearest_minority_rows(spark):
+    df, cols, x = clouds(spark, 600)
+    df = df.filter("task = 't'")
+    minority = np.array([i for i in range(len(x)) if i % 2 and i % 10 < 2])
+    for r in smote(df, cols, block=32).filter("synthetic").collect():
+        y, a = np.array([r[c] for c in cols]), x[r.id]
+        others = minority[minority != r.id]
+        near = others[np.argsort(((x[others] - a) ** 2).sum(1))[:5]]
+        gaps = []
+        for b in x[near]:
+            t = np.dot(y - a, b - a) / np.dot(b - a, b - a)
+            gaps.append(np.abs(a + t * (b - a) - y).max() if 0 <= t <= 1 else np.inf)
+        assert min(gaps) < 1e-9
+
+
 def test_run_records_report_rejects(spark):
     root = scratch_path(spark, "records-test")
     spark.createDataFrame([('{"a": 1, "b": {"c": "x"}}',)], "value string").coalesce(1).write.text(f"{root}/good")
