@@ -71,3 +71,12 @@ class RunConfig:
     sample_rows: int | None = None
     params: dict = field(default_factory=dict)
     split: SplitSpec = field(default_factory=SplitSpec)
+    weighting: str = "balanced"
+
+    @classmethod
+    def from_mapping(cls, said: dict) -> RunConfig:
+        """From a configuration file's mapping; what it leaves out has the usual value (condition DIABE, lr)."""
+        model = said.get("model") or {}
+        return cls(said.get("target_suffix", "DIABE"), model.get("type", "lr"), said.get("feature_columns") or None,
+                   said.get("sample_fraction"), said.get("sample_rows"), dict(model.get("params") or {}),
+                   weighting=said.get("weighting", "balanced"))

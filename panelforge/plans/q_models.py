@@ -1,7 +1,8 @@
 """Queries: model jobs (E1-E8) and synthetic oversampling.
 
-Iterative fits are not SQL-expressible, so they carry no oracle; tests check
-them on a separable and a constant set.  Of the synthetic rows, SQL fixes the
+Iterative fits are not SQL-expressible, so their metrics carry no oracle; tests
+check them on a separable and a constant set, and the ``_facts`` queries hold
+what the data fix of a fit (rows, positives, moments, ranks) against SQL.  Of the synthetic rows, SQL fixes the
 number per task and the range they lie in, and it finds the same neighbours by
 comparing all rows.
 """
@@ -12,12 +13,15 @@ from pyspark.sql import functions as F
 from ..operators.joins import experiment_grid
 from ..operators.neighbours import exact_neighbours
 from ..operators.smote import adasyn, risk_share, search_pool, smote
-from ..conf import SMOTE_K, RunConfig
+from ..conf import SMOTE_K, RunConfig, SplitSpec
+from ..functions import metrics as M
+from ..functions.prefix import prefix_sums
 from ..session import cut_lineage, scratch_path
 from ..sources.files import read_run_log, read_table
 from . import fixtures as fx
 from . import models as MD
 from .fixtures import FEATURES, TARGETS
+from .q_panel import oracle
 from .registry import query
 
 _SMALL = {"lr": {"max_iter": 50}, "rf": {"n_estimators": 50, "max_depth": 6},
@@ -63,29 +67,136 @@ def q_run_condition_sampled(spark, sf):
     return MD.run_condition(fx.model(spark, sf), RunConfig("URGE", "lr", FEATURES, sample_fraction=0.5, params=_SMALL["lr"]), [])
 
 
-@query("experiment_grids", "SELECT * FROM (VALUES " + ", ".join(
-    f"('{name}', '{m}', '{f}', {str(s).lower()})" for name, g in (("quick", MD.QUICK_GRID), ("full", MD.FULL_GRID))
-    for m in g["models"] for f in g["feature_sets"] for s in g["smote"])
-    + ") v(mode, model, feature_set, use_smote), (SELECT count(*) AS n_rows FROM customer) c")
+@query("experiment_grids", oracle(["runs", "importances"], """
+    SELECT DISTINCT mode, model, feature_set, use_smote FROM (
+      SELECT 'full' AS mode, r.family AS model, i.grp AS feature_set, s.use_smote
+      FROM (SELECT DISTINCT family FROM runs) r, (SELECT DISTINCT grp FROM importances) i, (SELECT DISTINCT use_smote FROM runs) s
+      UNION ALL
+      SELECT 'quick', (SELECT min(family) FROM runs), grp, false
+      FROM (SELECT grp FROM importances GROUP BY grp ORDER BY sum(CAST(round(importance * 100) AS BIGINT)) DESC, grp LIMIT 2) t) g"""))
 def q_experiment_grids(spark, sf):
-    """Quick and full grids, with the number of subjects each run would read."""
-    out = None
-    for name, g in (("quick", MD.QUICK_GRID), ("full", MD.FULL_GRID)):
-        models = spark.createDataFrame([(m,) for m in g["models"]], "model string")
-        one = experiment_grid(models, g["feature_sets"], smote=g["smote"]).select(F.lit(name).alias("mode"), "model", "feature_set", "use_smote")
-        out = one if out is None else out.unionByName(one)
-    n = read_table(spark, f"{sf}/customer.parquet").agg(F.count("*").alias("n_rows"))
-    return out.crossJoin(n)   # one row
+    """Grids over what has been run and measured: all model families of the run records x the feature groups of
+    the importances x the SMOTE settings seen; the quick one has the first family and the two heaviest groups."""
+    runs, imp = fx.runs(spark, sf), fx.importances(spark, sf)
+    seen = runs.agg(F.collect_set("family").alias("models"), F.collect_set("use_smote").alias("smote"))
+    groups = imp.groupBy("grp").agg(F.sum(F.round(F.col("importance") * 100).cast("long")).alias("weight"))
+    sets = groups.agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "grp"))).alias("sets"))
+    one = seen.crossJoin(sets)   # one row each
+    names = F.transform("sets", lambda x: x["grp"])
+    full = one.select(F.lit("full").alias("mode"), F.explode("models").alias("model"), names.alias("sets"), "smote")
+    quick = one.select(F.lit("quick").alias("mode"), F.array_min("models").alias("model"), F.slice(names, 1, 2).alias("sets"), F.array(F.lit(False)).alias("smote"))
+    both = full.unionByName(quick).withColumn("feature_set", F.explode("sets")).withColumn("use_smote", F.explode("smote"))
+    return both.select("mode", "model", "feature_set", "use_smote")
+
+
+def _sweep_grid(spark):
+    models = spark.createDataFrame([(m,) for m in (*MD.FULL_GRID["models"], "bogus")], "model string")
+    grid = experiment_grid(models, ["all"], smote=(False,))
+    # STF is the rarest condition: SMOTE has work to do there
+    return grid.unionByName(experiment_grid(models.filter("model = 'lr'"), ["all"], smote=(True,)))
 
 
 @query("run_sweep")
 def q_run_sweep(spark, sf):
-    models = spark.createDataFrame([(m,) for m in (*MD.FULL_GRID["models"], "bogus")], "model string")
-    sets = {"all": FEATURES}
-    grid = experiment_grid(models, list(sets), smote=(False,))
-    # STF is the rarest condition: SMOTE has work to do there
-    grid = grid.unionByName(experiment_grid(models.filter("model = 'lr'"), list(sets), smote=(True,)))
-    return MD.run_sweep(fx.model(spark, sf), grid, sets, "STF", _SMALL)
+    return MD.run_sweep(fx.model(spark, sf), _sweep_grid(spark), {"all": FEATURES}, "STF", _SMALL)
+
+
+@query("run_sweep_resumed", oracle(["model"], """
+    SELECT model, feature_set, use_smote, false AS failed, 1 AS n_commits
+    FROM (VALUES ('lr', 'all', false), ('lr', 'all', true), ('lr', 'few', false), ('lr', 'few', true)) v(model, feature_set, use_smote)
+    WHERE (SELECT count(target_STF) FROM model) > 0
+    UNION ALL SELECT 'lr', 'absent', false, true, 1"""))
+def q_run_sweep_resumed(spark, sf):
+    """A sweep that was ended halfway and started again: every run was committed once, the one without features as an error."""
+    out, model, sets = scratch_path(spark, "resumed"), cut_lineage(fx.model(spark, sf), "model"), {"all": FEATURES, "few": FEATURES[:2]}
+    lr = spark.createDataFrame([("lr",)], "model string")
+    half = experiment_grid(lr, ["all"], smote=(False, True)).unionByName(experiment_grid(lr, ["absent"], smote=(False,)))
+    MD.run_sweep(model, half, sets, "STF", _SMALL, out_dir=out)
+    got = MD.run_sweep(model, half.unionByName(experiment_grid(lr, ["few"], smote=(False, True))), sets, "STF", _SMALL, out_dir=out)
+    marks = spark.read.option("recursiveFileLookup", "true").schema("run_key string").parquet(f"{out}/runs/commits")
+    named = spark.read.option("recursiveFileLookup", "true").schema(MD.SWEEP_SCHEMA).parquet(f"{out}/runs/attempts")
+    n = named.join(marks, "run_key").groupBy("model", "feature_set", "use_smote").agg(F.count("*").cast("int").alias("n_commits"))
+    return got.withColumn("failed", F.col("error").isNotNull()).join(n, ["model", "feature_set", "use_smote"]).select(
+        "model", "feature_set", "use_smote", "failed", "n_commits")
+
+
+def _rank_gap(scored):
+    """By task the difference between the reported ROC-AUC and the share of (positive, negative) pairs in
+    order, ties half, from running counts of the negatives."""
+    n = scored.groupBy("task", "prob").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
+    below = prefix_sums(cut_lineage(n, "ranks"), ["task"], "prob", {"neg": F.col("neg")}, descending=False)
+    pairs = below.groupBy("task").agg(F.try_divide(F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("pairs"))
+    return M.roc_auc(scored).join(pairs, "task").select("task", F.round(F.abs(F.col("roc_auc") - F.col("pairs")), 6).alias("gap"))
+
+
+def _facts_sql(model_type):
+    needs = "".join(f" AND {c} IS NOT NULL" for c in FEATURES) if model_type in MD.COMPLETE_CASE_MODELS else ""
+    rows = ["SELECT 'train_rows' AS fact, '' AS item, CAST(count(*) AS DOUBLE) AS value FROM t",
+            "SELECT 'train_positives', '', CAST(count_if(target_URGE = 1) AS DOUBLE) FROM t",
+            "SELECT 'scored_rows', '', CAST(count(*) AS DOUBLE) FROM v", "SELECT 'scored_positives', '', CAST(count_if(target_URGE = 1) AS DOUBLE) FROM v",
+            "SELECT 'scores_outside', '', 0.0::DOUBLE", "SELECT 'rank_gap', '', 0.0::DOUBLE"]
+    for c in FEATURES:
+        if model_type in ("lr", "mlp"):
+            rows += [f"SELECT 'mean', '{c}', 0.0::DOUBLE", f"SELECT 'std', '{c}', CASE WHEN stddev_pop(CAST(coalesce({c}, 0) AS DOUBLE)) > 0 THEN 1.0 ELSE 0.0 END FROM t"]
+        if model_type == "gbt":
+            rows += [f"SELECT 'mean', '{c}', round(avg(CAST(coalesce({c}, 0) AS DOUBLE)), 4) FROM t",
+                     f"SELECT 'mean', '{c}_missing', round(count_if({c} IS NULL) / CAST(count(*) AS DOUBLE), 4) FROM t"]
+    return oracle(["model"], f"""SELECT fact, item, value FROM (
+        WITH d AS (SELECT * FROM model WHERE target_URGE IS NOT NULL{needs}),
+        t AS (SELECT * FROM d WHERE wave BETWEEN 3 AND 9), v AS (SELECT * FROM d WHERE wave BETWEEN 10 AND 12)
+        {" UNION ALL ".join(rows)}) f""")
+
+
+def _facts(model_type):
+    """What a fit's data fix whatever the optimiser does: rows and positives on both sides, moments of the columns
+    it is given, probabilities within bounds, and scores whose order gives the reported ROC-AUC."""
+    def run(spark, sf):
+        model = cut_lineage(fx.model(spark, sf), "model")
+        d, names, columns = MD._prepare(model, FEATURES, "target_URGE", model_type, SplitSpec())
+        n, pos, moments = MD._train_stats(d, columns)
+        train = d.filter("split = 'train'")
+        _, _, scored = MD.train_eval(model, FEATURES, "target_URGE", model_type, _SMALL[model_type], task="URGE")
+        rows = [("train_rows", "", float(n)), ("train_positives", "", float(pos))]
+        s = scored.agg(F.count("*"), F.count_if(F.col("label") == 1), F.count_if(~F.col("prob").between(0, 1))).first()
+        rows += [(k, "", float(v)) for k, v in zip(("scored_rows", "scored_positives", "scores_outside"), s)]
+        if model_type in ("lr", "mlp"):
+            scaled = [(F.col(c) - moments[c][0]) / moments[c][1] for c in columns]
+            r = train.agg(*[f(x) for x in scaled for f in (F.avg, F.stddev_pop)]).first()
+            rows += [(k, c, abs(round(r[2 * i + j], 6))) for i, c in enumerate(names) for j, k in enumerate(("mean", "std"))]
+        if model_type == "gbt":
+            rows += [("mean", c, round(moments[x][0], 4)) for c, x in zip(names, columns)]
+        return spark.createDataFrame(rows, "fact string, item string, value double").unionByName(
+            _rank_gap(scored).select(F.lit("rank_gap").alias("fact"), F.lit("").alias("item"), F.col("gap").alias("value")))
+    return run
+
+
+for _name, _type in (("fit_logistic_facts", "lr"), ("fit_forest_facts", "rf"), ("fit_gbt_facts", "gbt"), ("fit_mlp_facts", "mlp")):
+    query(_name, _facts_sql(_type))(_facts(_type))
+
+
+@query("importance_facts", oracle(["model"], f"""
+    SELECT {2 * len(FEATURES)} AS n_features, CASE WHEN count_if(target_URGE = 1) > 0 THEN 1.0 ELSE 0.0 END AS total, 0 AS n_negative, 0 AS n_unsorted FROM model"""))
+def q_importance_facts(spark, sf):
+    """Importances of the boosted trees: one a column, none negative, descending, of sum 1."""
+    model, used, _ = MD.train_eval(fx.model(spark, sf), FEATURES, "target_URGE", "gbt", _SMALL["gbt"])
+    imp = MD.feature_importance(spark, model, used)
+    listed = imp.agg(F.count("*").cast("int").alias("n_features"), F.round(F.sum("importance"), 6).alias("total"),
+                     F.count_if(F.col("importance") < 0).cast("int").alias("n_negative"), F.collect_list("importance").alias("l"))
+    return listed.select("n_features", "total", "n_negative", F.when(F.col("l") == F.reverse(F.array_sort("l")), 0).otherwise(1).alias("n_unsorted"))
+
+
+@query("fit_conditions_facts", oracle(["model"], " UNION ALL ".join(
+    f"""SELECT '{t}' AS task, count(*) AS n_scored, count_if({t} = 1) AS n_positive, 0 AS n_outside, 0.0::DOUBLE AS rank_gap, true AS few_passes
+        FROM model WHERE wave BETWEEN 10 AND 12 AND {t} IS NOT NULL{"".join(f" AND {c} IS NOT NULL" for c in FEATURES)}""" for t in TARGETS)))
+def q_fit_conditions_facts(spark, sf):
+    """All conditions fitted in shared passes: rows and positives scored by condition, and the order of the scores."""
+    model = cut_lineage(fx.model(spark, sf), "model")
+    fitted = MD.fit_conditions(model, FEATURES, TARGETS)
+    scored = cut_lineage(MD.score_conditions(model, fitted), "scored")
+    n = scored.groupBy("task").agg(F.count("*").alias("n_scored"), F.count_if(F.col("label") == 1).alias("n_positive"),
+                                   F.count_if(~F.col("prob").between(0, 1)).cast("int").alias("n_outside"))
+    return n.join(_rank_gap(scored), "task").select("task", "n_scored", "n_positive", "n_outside", F.col("gap").alias("rank_gap"),
+                                                    F.lit(fitted.iterations <= 50).alias("few_passes"))
 
 
 DIMS = 64   # of the embeddings table

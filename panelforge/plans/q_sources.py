@@ -199,3 +199,17 @@ def q_run_log_append(spark, sf):
     IO.log_run(params, root)
     IO.log_run(metrics, root)
     return IO.read_run_log(spark, root).drop("logged_at")
+
+
+@query("run_log_retried", oracle(["runs"], """
+    SELECT experiment, run_id, 'metrics' AS kind, task || '_roc_auc' AS key, roc AS value, NULL AS text FROM runs"""))
+def q_run_log_retried(spark, sf):
+    """Every run logged twice, half of them a third time, and an attempt that died before its commit: each reads back once."""
+    metrics = fx.runs(spark, sf).select("experiment", "run_id", F.lit("metrics").alias("kind"), F.concat(F.col("task"), F.lit("_roc_auc")).alias("key"),
+                                        F.col("roc").alias("value"), F.lit(None).cast("string").alias("text"), F.current_timestamp().alias("logged_at"))
+    root = scratch_path(spark, "run_log")
+    IO.log_run(metrics.withColumn("value", F.col("value") - 1), root)
+    IO.log_run(metrics, root)
+    IO.log_run(metrics.filter(F.pmod(F.xxhash64("run_id"), F.lit(2)) == 0), root)
+    metrics.withColumn("value", F.lit(-1.0)).write.parquet(f"{root}/attempts/attempt=0")
+    return IO.read_run_log(spark, root).drop("logged_at")

@@ -5,11 +5,17 @@ calls, so a cluster writes them in parallel, one file per task.
 """
 from __future__ import annotations
 
+import json
+import time
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..conf import RunConfig
+from ..functions.prefix import join_groups
 from ..session import cut_lineage
 
 IMPORTANCE_SCHEMA = T.StructType([T.StructField("feature", T.StringType()),
@@ -180,14 +186,65 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> str:
 # -- S12 --------------------------------------------------------------------
 RUN_LOG_SCHEMA = "experiment string, run_id string, kind string, key string, " \
                  "value double, text string, logged_at timestamp"
+#: what a commit replaces: all records of one kind of a run
+RUN_LOG_UNIT = ["experiment", "run_id", "kind"]
+
+
+def commit_records(records: DataFrame, root: str, unit: list[str]) -> str:
+    """Write ``records`` once, in a folder of their own, then commit what they hold: one row for each distinct
+    ``unit``.  Records without a commit, of an attempt that died, are never read; a later commit of
+    a unit replaces the earlier one.  Attempts never touch each other's files, so writers need no lock."""
+    spark = records.sparkSession
+    attempt = uuid.uuid4().hex
+    records.write.parquet(f"{root}/attempts/attempt={attempt}")
+    held = spark.read.schema(records.schema).parquet(f"{root}/attempts/attempt={attempt}")
+    commits = held.select(*unit).distinct().withColumns({"attempt": F.lit(attempt), "committed_at": F.lit(time.time_ns())})
+    commits.write.parquet(f"{root}/commits/attempt={attempt}_")
+    return root
+
+
+def read_committed(spark: SparkSession, root: str, schema: str, unit: list[str]) -> DataFrame:
+    """The records of the last commit of each unit; no rows if nothing was committed."""
+    kinds = spark.createDataFrame([], schema)
+    marks = T.StructType([kinds.schema[c] for c in unit] + [T.StructField("attempt", T.StringType()), T.StructField("committed_at", T.LongType())])
+    try:
+        commits = spark.read.schema(marks).parquet(f"{root}/commits/attempt=*")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
+            return kinds
+        raise
+    last = commits.groupBy(*unit).agg(F.max_by("attempt", F.struct("committed_at", "attempt")).alias("_attempt"))
+    records = spark.read.schema(kinds.schema).parquet(f"{root}/attempts/attempt=*").withColumn(
+        "_attempt", F.regexp_extract(F.col("_metadata.file_path"), r"/attempt=([0-9a-f]+)/", 1))
+    return join_groups(records, last, [*unit, "_attempt"]).drop("_attempt")
 
 
 def log_run(records: DataFrame, root: str) -> str:
-    """Append tidy run records (see ``RUN_LOG_SCHEMA``) to a partitioned table."""
+    """Commit tidy run records (see ``RUN_LOG_SCHEMA``).  Logging a run again replaces its records
+    of the kinds that are logged, so a run that is retried reads back once."""
     cols = [c.split()[0] for c in RUN_LOG_SCHEMA.split(", ")]
-    records.select(*cols).write.mode("append").partitionBy("experiment").parquet(root)
-    return root
+    return commit_records(records.select(*cols), root, RUN_LOG_UNIT)
 
 
 def read_run_log(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(root)
+    return read_committed(spark, root, RUN_LOG_SCHEMA, RUN_LOG_UNIT)
+
+
+# -- E7 ---------------------------------------------------------------------
+def read_run_config(spark: SparkSession, path: str) -> RunConfig:
+    """A run's configuration from a YAML or JSON file, read through Spark's file systems: ``target_suffix``,
+    ``model`` (``type``, ``params``), ``feature_columns``, ``sample_fraction``, ``sample_rows``, ``weighting``."""
+    files = spark.read.text(path, wholetext=True).collect()
+    if len(files) != 1:
+        raise ValueError(f"{path} must be one file, not {len(files)}")
+    try:
+        said = json.loads(files[0]["value"])
+    except json.JSONDecodeError:
+        try:
+            import yaml
+        except ImportError as e:
+            raise ValueError(f"{path} is no JSON, and there is no YAML reader") from e
+        said = yaml.safe_load(files[0]["value"])
+    if not isinstance(said, dict):
+        raise ValueError(f"{path} holds no mapping")
+    return RunConfig.from_mapping(said)

@@ -54,10 +54,128 @@ def test_run_errors(spark):
             MD.run_condition(d, cfg, [])
 
 
+def rare(spark):
+    """The separable set with positives so rare that SMOTE has work to do."""
+    return separable(spark).withColumn("target_T", (F.col("id") % 12 == 0).cast("int")).withColumn(
+        "x", F.when(F.col("id") % 12 == 0, 2.0).otherwise(-2.0) + (F.col("id") % 5) / 10.0)
+
+
+@pytest.mark.parametrize("model", ["lr", "rf", "gbt", "mlp"])
+def test_smote_runs_of_every_model(spark, model):
+    cfg = RunConfig("T", model, ["x", "y"], params=PARAMS[model])
+    row = MD.run_condition(rare(spark), cfg, [], use_smote=True).first()
+    assert row.ROC_AUC == 1.0
+
+
+@pytest.mark.parametrize("model", ["lr", "mlp", "gbt"])
+def test_scored_rows_keep_their_keys(spark, model):
+    d = rare(spark)
+    _, names, scored = MD.train_eval(d, ["wave", "x"], "target_T", model, PARAMS[model], use_smote=model == "lr")
+    assert names[:2] == ["wave", "x"]
+    want = {(r.id, r.wave, r.target_T) for r in d.filter("wave >= 10").collect()}
+    assert {(r.id, r.wave, r.label) for r in scored.collect()} == want and scored.count() == len(want)
+
+
+def test_weighting_of_a_run(spark):
+    d = rare(spark).withColumn("x", F.col("x") + F.when(F.col("id") % 7 == 0, 3.0).otherwise(0.0))
+    coefs = {}
+    for w in ("balanced", "scale_pos_weight"):
+        model, _, _ = MD.train_eval(d, ["x"], "target_T", "lr", {"max_iter": 30, "reg": 0.01}, weighting=w)
+        coefs[w] = (model.coefficients[0], model.intercept)
+    assert np.allclose(coefs["balanced"], coefs["scale_pos_weight"], atol=1e-3)   # the same weights but for their sum
+    with pytest.raises(ValueError):
+        MD.train_eval(d, ["x"], "target_T", "lr", weighting="no")
+
+
+def test_run_config_from_a_file(spark, tmp_path):
+    said = {"target_suffix": "T", "model": {"type": "rf", "params": {"max_depth": 2}}, "feature_columns": ["x"], "sample_rows": 9}
+    (tmp_path / "a.json").write_text(__import__("json").dumps(said))
+    cfg = IO.read_run_config(spark, str(tmp_path / "a.json"))
+    assert cfg == RunConfig("T", "rf", ["x"], sample_rows=9, params={"max_depth": 2})
+    yaml = pytest.importorskip("yaml")
+    (tmp_path / "b.yaml").write_text(yaml.safe_dump(said))
+    assert IO.read_run_config(spark, str(tmp_path / "b.yaml")) == cfg
+    (tmp_path / "c.json").write_text("[1]")
+    with pytest.raises(ValueError):
+        IO.read_run_config(spark, str(tmp_path / "c.json"))
+    assert RunConfig.from_mapping({}) == RunConfig("DIABE", "lr")
+
+
 def test_sweep_reports_failed_runs(spark):
-    grid = experiment_grid(spark.createDataFrame([("lr",), ("bogus",)], "model string"), ["all"], smote=(False,))
-    got = {r.model: r for r in MD.run_sweep(separable(spark), grid, {"all": ["x", "y"]}, "T", PARAMS).collect()}
-    assert got["lr"].roc == 1.0 and got["lr"].error is None and "bogus" in got["bogus"].error
+    grid = experiment_grid(spark.createDataFrame([("lr",), ("bogus",)], "model string"), ["all", "absent"], smote=(False,))
+    got = {(r.model, r.feature_set): r for r in MD.run_sweep(separable(spark), grid, {"all": ["x", "y"]}, "T", PARAMS).collect()}
+    assert got["lr", "all"].roc == 1.0 and got["lr", "all"].error is None and "bogus" in got["bogus", "all"].error
+    assert got["lr", "absent"].error.startswith("KeyError") and len(got) == 4
+
+
+def test_sweep_goes_on_where_it_stopped(spark, monkeypatch):
+    """Killed halfway, a sweep repeats no run; runs that failed are run again only on demand."""
+    out, ran, true_run = scratch_path(spark, "sweep-test"), [], MD.run_condition
+    grid = experiment_grid(spark.createDataFrame([("lr",), ("gbt",), ("rf",)], "model string"), ["one", "two"], smote=(False,))
+    sets = {"one": ["x"], "two": ["x", "y"]}
+
+    def run(df, cfg, *a, **kw):
+        if len(ran) == 3:
+            raise KeyboardInterrupt
+        ran.append((cfg.model_type, tuple(cfg.features)))
+        if cfg.model_type == "gbt" and len(cfg.features) == 1:
+            raise RuntimeError("lost")
+        return true_run(df, cfg, *a, **kw)
+
+    monkeypatch.setattr(MD, "run_condition", run)
+    with pytest.raises(KeyboardInterrupt):
+        MD.run_sweep(separable(spark), grid, sets, "T", PARAMS, threads=1, out_dir=out)
+    assert len(ran) == 3
+    first = list(ran)
+    again = []
+    monkeypatch.setattr(MD, "run_condition", lambda df, cfg, *a, **kw: (again.append((cfg.model_type, tuple(cfg.features))), true_run(df, cfg, *a, **kw))[1])
+    got = MD.run_sweep(separable(spark), grid, sets, "T", PARAMS, out_dir=out).collect()
+    assert len(again) == 3 and not set(again) & set(first) and len(got) == 6
+    assert [r.error for r in got if r.error] == ["RuntimeError: lost"]
+    written = spark.read.json(f"{out}/results")
+    assert written.count() == 6 and written.filter("roc = 1.0").count() == 5
+    del again[:]
+    got = MD.run_sweep(separable(spark), grid, sets, "T", PARAMS, out_dir=out, retry_errors=True).collect()
+    assert again == [("gbt", ("x",))] and len(got) == 6 and not any(r.error for r in got)
+
+
+def test_run_log_reads_back_once(spark):
+    root = scratch_path(spark, "log-test")
+    assert IO.read_run_log(spark, root).count() == 0
+    rows = spark.createDataFrame([("e", r, k, f"{k}{i}", float(i), None, None) for r in ("a", None) for k in ("params", "metrics") for i in (1, 2)], IO.RUN_LOG_SCHEMA)
+    IO.log_run(rows.filter("kind = 'params'"), root)
+    IO.log_run(rows.filter("kind = 'metrics'"), root)
+    IO.log_run(rows.filter("run_id = 'a'"), root)
+    rows.write.parquet(f"{root}/attempts/attempt=dead")        # an attempt that died before its commit
+    assert sorted(map(str, IO.read_run_log(spark, root).collect())) == sorted(map(str, rows.collect()))
+    IO.log_run(rows.filter("run_id = 'a' AND key = 'metrics1'"), root)   # a later, shorter record replaces its kind
+    assert sorted(r.key for r in IO.read_run_log(spark, root).filter("run_id = 'a'").collect()) == ["metrics1", "params1", "params2"]
+
+
+def test_shared_fit_equals_single_fits(spark):
+    """Coefficients of conditions fitted together are those of each alone; some labels are missing."""
+    rng = np.random.default_rng(9)
+    n = 2400
+    x = rng.normal(size=(n, 3)) * [1, 5, 0.2] + [0, 40, 1]
+    p = 1 / (1 + np.exp(-(x[:, 0] - 0.2 * (x[:, 1] - 40) + 2 * (x[:, 2] - 1))))
+    rows = [(i, 3 + i % 10, *map(float, v), *[None if (i + t) % 5 == 0 else int(rng.random() < q ** (1 + 2 * t)) for t in range(3)])
+            for i, (v, q) in enumerate(zip(x, p))]
+    df = spark.createDataFrame(rows, "id long, wave int, a double, b double, c double, t0 int, t1 int, t2 int").repartition(4)
+    feats, targets = ["a", "b", "c"], ["t0", "t1", "t2"]
+    fitted = MD.fit_conditions(df, feats, targets)
+    scored = MD.score_conditions(df, fitted)
+    for t, name in enumerate(targets):
+        model, _, alone = MD.train_eval(df, feats, name, "lr", {"max_iter": 200}, task=name)
+        assert np.allclose(fitted.coef[t], model.coefficients.toArray(), atol=2e-4) and abs(fitted.intercept[t] - model.intercept) < 2e-4
+        mine = {r.id: (r.label, r.prob) for r in scored.filter(F.col("task") == name).collect()}
+        for r in alone.collect():
+            assert mine.pop(r.id) == (r.label, pytest.approx(r.prob, abs=1e-4))
+        assert not mine
+    assert fitted.iterations < 15
+    with pytest.raises(ValueError):
+        MD.fit_conditions(df.withColumn("t0", F.lit(None).cast("int")), feats, targets)
+    one = MD.fit_conditions(df.withColumn("t0", F.lit(1)), feats, ["t0"])
+    assert one.coef.tolist() == [[0, 0, 0]] and MD.score_conditions(df.withColumn("t0", F.lit(1)), one).filter("prob < 0.99").count() == 0
 
 
 def clouds(spark, n=1500, dims=6):
