@@ -84,6 +84,26 @@ def complete_case_counts(df: DataFrame, cols: list[str]) -> DataFrame:
                         F.col("rows_total") - F.col("complete_cases")))
 
 
+#: From so many columns on, statistics are grouped by column instead of being one expression a column:
+#: plans over thousands of aggregates take longer to compile than to run.
+WIDE = 64
+
+
+def column_stats(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column, pos, n, present, ones, lo, hi, mean) of any number of columns in one pass: each row's values
+    become one array, its entries are aggregated by position with partial sums in every task.  Values that are
+    not numeric count as present only."""
+    num = set(numeric_columns(df, cols))
+    values = F.array(*[F.col(_q(c)).cast("double") if c in num else F.when(F.col(_q(c)).isNotNull(), F.lit(0.0)) for c in cols])
+    v = F.col("v")
+    stats = df.select(F.posexplode(values).alias("pos", "v")).groupBy("pos").agg(
+        F.count(F.lit(1)).alias("n"), F.count(v).alias("present"), F.count_if(v == 1).alias("ones"),
+        F.min(v).alias("lo"), F.max(v).alias("hi"), F.round(F.avg(v), 4).alias("mean"))
+    names = df.sparkSession.createDataFrame(list(enumerate(cols)), "pos int, column string")   # a row a column
+    zero = {c: F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("n", "present", "ones")}
+    return names.join(stats, "pos", "left").select("column", "pos", *zero.values(), "lo", "hi", "mean")
+
+
 # -- A4 ---------------------------------------------------------------------
 def target_columns(df: DataFrame, prefix: str = "target_") -> list[str]:
     return [c for c in df.columns if c.startswith(prefix)]
@@ -92,6 +112,10 @@ def target_columns(df: DataFrame, prefix: str = "target_") -> list[str]:
 def target_balance(df: DataFrame, targets: list[str] | None = None) -> DataFrame:
     """Per target: labelled rows, events, event rate in percent (NULL if none)."""
     targets = targets or target_columns(df)
+    if len(targets) > WIDE:
+        rate = F.when(F.col("present") > 0, F.round(100 * F.col("ones") / F.col("present"), 2))
+        return column_stats(df, targets).select(F.col("column").alias("target"), F.col("present").alias("non_missing"),
+                                                F.col("ones").alias("events"), rate.alias("event_rate_pct"))
     aggs = []
     for i, t in enumerate(targets):
         aggs += [F.count(t).alias(f"_v{i}"), F.count_if(F.col(t) == 1).alias(f"_e{i}")]
@@ -111,6 +135,8 @@ def numeric_columns(df: DataFrame, cols: list[str]) -> list[str]:
 def feature_stats(df: DataFrame, cols: list[str]) -> DataFrame:
     """min / max / mean (4 places) of numeric features, NULLs ignored."""
     num = numeric_columns(df, cols)
+    if len(num) > WIDE:
+        return column_stats(df, num).select(F.col("column").alias("feature"), F.col("lo").alias("min"), F.col("hi").alias("max"), "mean")
     aggs = []
     for i, c in enumerate(num):
         aggs += [F.min(F.col(c).cast("double")).alias(f"_lo{i}"),
@@ -122,6 +148,22 @@ def feature_stats(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 # -- A6 ---------------------------------------------------------------------
+def _report_columns(model: DataFrame, present: list[str], num: list[str], targets: list[str]) -> DataFrame:
+    """The report's rows about single columns, from one pass whatever their number."""
+    n, there, ones = F.col("n"), F.col("present"), F.col("ones")
+    share = lambda part, whole: F.round(F.try_divide(100 * part, whole), 2)
+    row = lambda section, metric, value: F.struct(F.lit(section).alias("section"), F.lit(metric).alias("metric"), value.cast("double").alias("value"))
+    feature = [row("missingness", "count", n - there), row("missingness", "pct", share(n - there, n))]
+    stats = [row("feature_stats", "min", F.col("lo")), row("feature_stats", "max", F.col("hi")), row("feature_stats", "mean", F.col("mean"))]
+    target = [row("target_balance", "non_missing", there), row("target_balance", "events", ones),
+              row("target_balance", "event_rate_pct", F.when(there > 0, share(ones, there)))]
+    # a target may be among the features: by position, features first
+    numeric = F.col("column").isin(num) if len(num) < len(present) else F.lit(True)
+    made = F.when(F.col("pos") >= len(present), F.array(*target)).when(numeric, F.array(*feature, *stats)).otherwise(F.array(*feature))
+    return (column_stats(model, [*present, *targets]).select(F.col("column").alias("item"), F.explode(made).alias("r"))
+            .select("r.section", "item", "r.metric", "r.value"))
+
+
 def quality_report(long: DataFrame, model: DataFrame, cols: list[str],
                    key: str = "id", time: str = "wave", target: str | None = None) -> DataFrame:
     """Everything above as (section, item, metric, value), with the waves of the
@@ -134,10 +176,14 @@ def quality_report(long: DataFrame, model: DataFrame, cols: list[str],
     present = [c for c in cols if c in model.columns]
     num = numeric_columns(model, present)
     targets = target_columns(model)
-    aggs = [F.count(F.lit(1)).alias("_n"), F.count_if(all_present(present)).alias("_cc")]
+    given, wide = present, None
+    if len(present) + len(targets) > WIDE:
+        wide = _report_columns(model, present, num, targets)
+        present, num, targets = [], [], []
+    aggs = [F.count(F.lit(1)).alias("_n"), F.count_if(all_present(given)).alias("_cc")]
     aggs += [F.count_if(F.col(c).isNull()).alias(f"_m{i}") for i, c in enumerate(present)]
     if target:
-        aggs.append(F.count_if(F.col(target).isNotNull() & all_present(present)).alias("_final"))
+        aggs.append(F.count_if(F.col(target).isNotNull() & all_present(given)).alias("_final"))
     for i, t in enumerate(targets):
         aggs += [F.count(t).alias(f"_v{i}"), F.count_if(F.col(t) == 1).alias(f"_e{i}")]
     for i, c in enumerate(num):
@@ -154,7 +200,7 @@ def quality_report(long: DataFrame, model: DataFrame, cols: list[str],
         rows += [["'missingness'", _lit(c), "'count'", f"_m{i}"],
                  ["'missingness'", _lit(c), "'pct'", f"round(try_divide(100 * _m{i}, _n), 2)"]]
     for c in cols:
-        if c not in present:
+        if c not in given:
             rows.append(["'missingness'", _lit(c), "'column_not_present'", "NULL"])
     for i, t in enumerate(targets):
         rows += [["'target_balance'", _lit(t), "'non_missing'", f"_v{i}"],
@@ -167,6 +213,8 @@ def quality_report(long: DataFrame, model: DataFrame, cols: list[str],
                  ["'feature_stats'", _lit(c), "'mean'", f"_mu{i}"]]
     names = ["section", "item", "metric", "value"]
     model_part = _unpivot(one, rows, names)
+    if wide is not None:
+        model_part = model_part.unionByName(wide)
     prof = long.agg(F.count(F.lit(1)).cast("double").alias("rows"),
                     F.count_distinct(key).cast("double").alias("unique_ids"))
     long_part = _stack(prof, [["'long'", "''", "'rows'", "rows"],

@@ -307,3 +307,23 @@ def test_wide_schema(spark):
     few = long.select("id", "wave", *some)
     report = quality_report(few, few.withColumn("target_X", F.lit(1)), some).filter("section = 'missingness' AND metric = 'count'")
     assert report.count() == 200
+
+
+def test_statistics_of_very_many_columns(spark, monkeypatch):
+    """830 columns x 14 waves through balance, statistics and report, and both plans agree on few columns."""
+    import time
+    from panelforge.operators import quality as Q
+    cols = [f"C{i}" for i in range(830)]
+    df = cut_lineage(spark.range(200 * 14).select((F.col("id") % 200).alias("id"), (F.col("id") / 200 + 1).cast("int").alias("wave"), *[
+        F.when((F.col("id") + i) % 7 != 0, (F.col("id") * 3 + i) % 11).alias(c) for i, c in enumerate(cols)],
+        *[F.when(F.col("id") % 5 != i % 5, (F.col("id") + i) % 2).alias(f"target_{i}") for i in range(80)]))
+    start = time.monotonic()
+    assert Q.feature_stats(df, cols).count() == 830 and Q.target_balance(df).count() == 80
+    assert Q.quality_report(df.select("id", "wave"), df, cols).filter("section = 'feature_stats'").count() == 3 * 830
+    assert time.monotonic() - start < 30
+    some, few = cols[:5] + ["gone"], df.select("id", "wave", "C0", "C1", F.col("C2").cast("string").alias("C2"), "C3", "C4", "target_0", "target_1")
+    said = lambda f: sorted(map(str, f.collect()))
+    made = lambda: [said(Q.feature_stats(few, some)), said(Q.target_balance(few)), said(Q.quality_report(few, few, some, target="target_0"))]
+    narrow = made()
+    monkeypatch.setattr(Q, "WIDE", 1)
+    assert made() == narrow

@@ -114,8 +114,18 @@ def test_person_side_must_be_unique(spark):
     from panelforge.operators.joins import merge_person
     panel = spark.createDataFrame([(1, 3), (1, 4)], "id long, wave int")
     side = spark.createDataFrame([(1, "a"), (1, "b")], "id long, x string")
-    with pytest.raises(ValueError):
-        merge_person(panel, side)
+    # the check is part of the plan: it fails the job that reads the result, and adds no exchange to the join's
+    merged = merge_person(panel, side)
+    with pytest.raises(Exception, match="more than one row for 1"):
+        merged.collect()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = merge_person(panel, side)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(id") == 2 and plan.count("Window") >= 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    gone = merge_person(panel, spark.createDataFrame([(1, "a"), (None, "b"), (None, "c"), (7, "d")], side.schema))
+    assert sorted(map(tuple, gone.collect())) == [(1, 3, "a"), (1, 4, "a")]
     assert merge_person(panel, side, check_unique=False).count() == 4
 
 
