@@ -6,10 +6,12 @@ a word is counted over the whole corpus.  Words that tell the labels apart in
 the sample (chi2 and odds) weigh 1, all others ``PLAIN``: no word is left out.
 The vectors are kept in a block-max inverted index with sparse postings: by
 word, the examples and the greatest weight in each block of ``BLOCK`` examples.
-A query adds the block bounds of its words and visits blocks from the highest
-bound down until no bound can beat the k-th best cosine; where more than
-``PROBES`` blocks still can after the first, the postings of all its words are added up.  Either way the
-``K`` nearest are exact.
+The words of most postings (``COMMON``) also have dense rows, for which a batch of queries is bounded and
+scored by products of matrices.  A query's other words are added up from their postings; with the
+greatest weights of its common words in a block they bound the block's cosines.  The ``PROBES`` blocks
+of highest bound are scored first, then all whose bound reaches the k-th best cosine; no other can
+hold a nearer example.  The cosines of the nearest are then added up example by example, so that no
+batch shows in them: the ``K`` nearest are exact.
 Their labels vote with weights that fall with distance, together with a small
 prior vote that keeps scores calibrated; the neighbours are the evidence.
 
@@ -26,6 +28,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -40,7 +43,9 @@ CHI2 = 30.0      # of a telling word against the label (about 5e-8, as very many
 ODDS = 3.0       # how many times likelier it is under one of the labels
 PLAIN = 0.1      # weight of the other words
 BLOCK = 64
-PROBES = 4       # blocks looked at one by one at most
+PROBES = 4       # blocks scored before the others' bounds are looked at
+COMMON = 1024    # words with dense rows at most
+SLICE = 256      # texts scored together
 K = 16
 PRIOR = 0.5      # votes that the share of label 1 has
 
@@ -89,19 +94,38 @@ def word_weights(sample: DataFrame, n0: int, n1: int) -> dict[str, float]:
     return {w: 1.0 if t else PLAIN for w, t in zip(got["word"].to_pylist(), got["tells"].to_pylist())}
 
 
+class Ids(dict):
+    """Numbers of words; unknown words have -1."""
+
+    def __missing__(self, word):
+        return -1
+
+
+def term_counts(texts: list, ids: Ids) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, word, times) of the known words of some texts, by text and word."""
+    words = [_words(t) for t in texts]
+    at = np.fromiter(map(ids.__getitem__, chain.from_iterable(words)), np.int64)
+    doc = np.repeat(np.arange(len(texts)), [len(w) for w in words])
+    keys, n = np.unique((doc * (len(ids) + 1) + at)[at >= 0], return_counts=True)
+    return keys // (len(ids) + 1), keys % (len(ids) + 1), n
+
+
 def document_counts(docs: DataFrame, words) -> tuple[dict[str, int], int]:
-    """In how many of all documents each word of ``words`` (a broadcast dict) is, and how many documents there are."""
+    """In how many of all documents each word of ``words`` (a broadcast ``Ids``) is, and how many documents there are."""
     def run(frames):
-        known, n, rows = words.value.keys(), Counter(), 0
+        ids, rows = words.value, 0
+        n = np.zeros(len(ids), np.int64)
         for f in frames:
             rows += len(f)
-            for t in f["text"]:
-                n.update(w for w in set(_words(t)) if w in known)
-        yield pd.DataFrame([*n.items(), (None, rows)], columns=["word", "n"])
+            for a in range(0, len(f), SLICE):
+                n += np.bincount(term_counts(f["text"].iloc[a:a + SLICE].tolist(), ids)[1], minlength=len(ids))
+        held = np.nonzero(n)[0]
+        yield pd.DataFrame({"at": np.append(held, -1), "n": np.append(n[held], rows)})
 
-    table = docs.select("text").mapInPandas(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
-    got = dict(zip(table["word"].to_pylist(), table["n"].to_pylist()))  # a row a word of the sample
-    return got, got.pop(None, 0)
+    table = docs.select("text").mapInPandas(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    got = dict(zip(table["at"].to_pylist(), table["n"].to_pylist()))  # a row a word of the sample
+    names = list(words.value)
+    return {names[i]: c for i, c in got.items() if i >= 0}, got.get(-1, 0)
 
 
 class Postings:
@@ -111,11 +135,10 @@ class Postings:
         self.start = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=terms))])
         self.places, self.weights = places, weights   # sorted by row
 
-    def add(self, terms: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-        """By place the sum of value * weight over the terms."""
+    def gather(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position in terms, position in the lists) of all entries of the terms."""
         a, n = self.start[terms], self.start[terms + 1] - self.start[terms]
-        at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return np.bincount(self.places[at], self.weights[at] * np.repeat(values, n), size)
+        return np.repeat(np.arange(len(terms)), n), np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
 class BlockMaxIndex:
@@ -133,42 +156,77 @@ class BlockMaxIndex:
         self.examples = Postings(self.n, row, term, weight)      # words by example
         order = np.argsort(term, kind="stable")
         self.words = Postings(terms, term[order], row[order], weight[order])
-        pairs, at = np.unique(term.astype(np.int64) * self.blocks + row // BLOCK, return_inverse=True)
-        most = np.zeros(len(pairs))
-        np.maximum.at(most, at, weight)
-        self.most = Postings(terms, pairs // self.blocks, pairs % self.blocks, most)
+        long = np.diff(self.words.start)
+        common = np.argsort(-long, kind="stable")[:COMMON]
+        common = common[long[common] > self.n // 64]
+        self.place = np.full(terms, -1, np.int64)      # of common words among the dense rows
+        self.place[common] = np.arange(len(common))
         self.query = np.zeros(terms)
-
-    def _block(self, b: int) -> np.ndarray:
-        e, a, z = self.examples, b * BLOCK, min((b + 1) * BLOCK, self.n)
-        lo, hi = e.start[a], e.start[z]
-        return np.bincount(np.repeat(np.arange(z - a), np.diff(e.start[a:z + 1])), self.query[e.places[lo:hi]] * e.weights[lo:hi], z - a)
+        self._dense: tuple[np.ndarray, np.ndarray] | None = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_dense": None}        # tasks fill the dense rows from the postings
+
+    def dense(self) -> tuple[np.ndarray, np.ndarray]:
+        """(weights, greatest weight by block) of the common words."""
+        if self._dense is None:
+            common = np.argsort(np.where(self.place >= 0, self.place, len(self.place)), kind="stable")[:(self.place >= 0).sum()]
+            rows = np.zeros((len(common), self.n))
+            row, at = self.words.gather(common)
+            rows[row, self.words.places[at]] = self.words.weights[at]
+            self._dense = rows, np.maximum.reduceat(rows, np.arange(0, self.n, BLOCK), axis=1) if self.n else rows
+        return self._dense
+
+    def nearest_of(self, doc: np.ndarray, terms: np.ndarray, values: np.ndarray, queries: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """By query the (cosines, examples) of its k nearest with a cosine over 0, best first, ties by example.
+        ``doc``, ``terms``, ``values``: the queries' vectors, by query."""
+        if not self.n:
+            return [(np.zeros(0), np.zeros(0, np.int64))] * queries
+        rows, most = self.dense()
+        place = self.place[terms]
+        dense = np.zeros((queries, len(rows)))
+        dense[doc[place >= 0], place[place >= 0]] = values[place >= 0]
+        rare, at = self.words.gather(terms[place < 0])
+        part = np.bincount(doc[place < 0][rare] * self.n + self.words.places[at], self.words.weights[at] * values[place < 0][rare],
+                           queries * self.n).reshape(queries, self.n)
+        bounds = dense @ most + np.maximum.reduceat(part, np.arange(0, self.n, BLOCK), axis=1) + 1e-12
+        scores = np.full((queries, self.n), -1.0)
+
+        def visit(wanted):
+            for b in np.nonzero(wanted.any(axis=0))[0]:
+                q, x = np.nonzero(wanted[:, b])[0], slice(b * BLOCK, min((b + 1) * BLOCK, self.n))
+                scores[q, x] = part[q, x] + dense[q] @ rows[:, x]
+
+        def kth():
+            return np.partition(scores, self.n - k, axis=1)[:, self.n - k] if k < self.n else np.full(queries, -1.0)
+
+        first = np.zeros(bounds.shape, bool)
+        if bounds.shape[1] > PROBES:
+            np.put_along_axis(first, np.argpartition(-bounds, PROBES - 1, axis=1)[:, :PROBES], True, axis=1)
+        else:
+            first[:] = True
+        visit(first)
+        visit(~first & (bounds >= kth()[:, None] - 1e-11))
+        least = np.maximum(kth() - 1e-11, 1e-300)
+        cuts = np.searchsorted(doc, np.arange(queries + 1))
+        out = []
+        for q in range(queries):
+            found = np.nonzero(scores[q] >= least[q])[0]     # all that may be among the k
+            mine = slice(cuts[q], cuts[q + 1])
+            self.query[terms[mine]] = values[mine]
+            example, at = self.examples.gather(found)
+            exact = np.round(np.bincount(example, self.query[self.examples.places[at]] * self.examples.weights[at], len(found)), 12)
+            self.query[terms[mine]] = 0
+            found, exact = found[exact > 0], exact[exact > 0]
+            best = np.lexsort((found, -exact))[:k]
+            out.append((exact[best], found[best]))
+        return out
 
     def nearest(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
-        """(cosine, example) of the k nearest with a cosine over 0, best first, ties by example."""
+        """(cosine, example) of the k nearest of one query."""
         terms, values = np.fromiter(query, np.int64, len(query)), np.fromiter(query.values(), np.float64, len(query))
-        bounds = self.most.add(terms, values, self.blocks)
-        best: list[tuple[float, int]] = []
-
-        def take(scores, first):
-            nonlocal best
-            found = np.nonzero(scores)[0]
-            if len(found) > k:  # all that may tie with the k-th stay
-                found = found[scores[found] >= np.partition(scores[found], -k)[-k] - 1e-11]
-            best = sorted(best + [(round(float(scores[i]), 12), first + int(i)) for i in found], key=lambda x: (-x[0], x[1]))[:k]
-
-        self.query[terms] = values
-        for step, b in enumerate(np.argsort(-bounds, kind="stable")):
-            least = best[-1][0] - 1e-12 if len(best) == k else 0
-            if bounds[b] <= 0 or bounds[b] < least:
-                break
-            if step and np.count_nonzero(bounds >= max(least, 1e-300)) > PROBES:
-                best = []
-                take(self.words.add(terms, values, self.n), 0)
-                break
-            take(self._block(int(b)), int(b) * BLOCK)
-        self.query[terms] = 0
-        return best
+        scores, found = self.nearest_of(np.zeros(len(terms), np.int64), terms, values, 1, k)[0]
+        return list(zip(scores.tolist(), found.tolist()))
 
 
 class _Held:
@@ -182,11 +240,11 @@ class _Held:
 
 
 class Model:
-    """Words, their weights and the index; scores one text at a time."""
+    """Words, their weights and the index; scores texts in batches."""
 
     def __init__(self, weights: dict[str, float], counts: dict[str, int], n: int, examples: list[tuple[int, int, dict[str, int]]]):
-        self.at = {w: i for i, w in enumerate(weights)}
-        self.weight = [x * (math.log((1 + n) / (1 + counts.get(w, 0))) + 1) for w, x in weights.items()]
+        self.at = Ids({w: i for i, w in enumerate(weights)})
+        self.weight = np.array([x * (math.log((1 + n) / (1 + counts.get(w, 0))) + 1) for w, x in weights.items()])
         examples = sorted(examples, key=lambda e: (e[0], e[1]))
         labels = [y for _, y, _ in examples]
         self.prior = sum(labels) / len(labels) if labels else 0.0
@@ -199,15 +257,18 @@ class Model:
         norm = math.sqrt(sum(x * x for x in v.values()))
         return {t: x / norm for t, x in v.items()}
 
-    def score(self, text: str | None) -> tuple[float, list[int]]:
-        counts = Counter(w for w in _words(text) if w in self.at)
-        if not counts:
-            return self.plain
-        near = self.index.nearest(self.vector(counts), K)
-        weights = [(1 / (1.05 - s), i) for s, i in near]  # by distance 1 - cosine
-        total = sum(w for w, _ in weights)
-        return ((sum(w * self.index.labels[i] for w, i in weights) + PRIOR * self.prior) / (total + PRIOR),
-                [int(self.index.ids[i]) for _, i in near])
+    def scores(self, texts: list) -> list[tuple[float, list[int]]]:
+        """(score, doc_ids of the neighbours) by text."""
+        doc, terms, n = term_counts(texts, self.at)
+        values = (1 + np.log(n)) * self.weight[terms]
+        norm = np.sqrt(np.bincount(doc, values * values, len(texts)))
+        near = self.index.nearest_of(doc, terms, values / norm[doc], len(texts), K)
+        out = []
+        for some, (cosines, found) in zip(norm > 0, near):
+            w = 1 / (1.05 - cosines)  # by distance 1 - cosine
+            out.append(self.plain if not some else ((float((w * self.index.labels[found]).sum()) + PRIOR * self.prior) / (float(w.sum()) + PRIOR),
+                                                    self.index.ids[found].tolist()))
+        return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE) -> Model:
@@ -216,7 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
     n1, n0 = n.get(1, 0), sum(v for y, v in n.items() if y != 1)
     weights = word_weights(sample, n0, n1)
     words = list(weights)
-    places = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})  # words of the sample
+    places = docs.sparkSession.sparkContext.broadcast(Ids({w: i for i, w in enumerate(words)}))  # words of the sample
     counts, total = document_counts(docs, places)
 
     def run(frames):
@@ -242,7 +303,8 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
         import pyarrow as pa
         m = shared.value
         for b in batches:
-            found = [m.score(t.as_py()) for t in b.column(at)]
+            texts = b.column(at)
+            found = [x for a in range(0, len(texts), SLICE) for x in m.scores(texts.slice(a, SLICE).to_pylist())]
             score = np.array([s for s, _ in found], np.float64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32)),
                                               pa.array([e for _, e in found], pa.list_(pa.int64()))], names=names)
