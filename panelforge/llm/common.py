@@ -44,10 +44,10 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return cut_lineage(df, name)
 
 
-def sum_blocks(parts: DataFrame, dtype: str, fan_in: int = 64) -> DataFrame:
+def sum_blocks(parts: DataFrame, dtype: str, fan_in: int = 64, ordered: bool = False) -> DataFrame:
     """Sum arrays that the tasks of a job made: rows (part, block, payload), payload a zlib-packed
     array of ``dtype``, give one row (block, payload) a block.  Groups of ``fan_in`` parts are
-    summed first, so no task reads the arrays of all tasks."""
+    summed first, so no task reads the arrays of all tasks.  ``ordered`` adds them by part, so that rounding is always the same."""
     import zlib
 
     import numpy as np
@@ -55,14 +55,14 @@ def sum_blocks(parts: DataFrame, dtype: str, fan_in: int = 64) -> DataFrame:
 
     def add(frame):
         total = 0
-        for p in frame["payload"]:
+        for p in (frame.sort_values("part") if ordered else frame)["payload"]:
             total = total + np.frombuffer(zlib.decompress(p), dtype)
         return pd.DataFrame({"part": [int(frame["part"].iloc[0])], "block": [int(frame["block"].iloc[0])],
                              "payload": [zlib.compress(total.astype(dtype).tobytes(), 1)]})
 
     schema = "part int, block int, payload binary"
     first = parts.withColumn("part", (F.col("part") / fan_in).cast("int")).groupBy("part", "block").applyInPandas(add, schema)
-    return first.withColumn("part", F.lit(0)).groupBy("block").applyInPandas(add, schema)
+    return first.groupBy("block").applyInPandas(add, schema)
 
 
 def pack(docs: DataFrame, *named: str) -> tuple[DataFrame, list[Column]]:

@@ -4,9 +4,12 @@ class-factored softmax.
 A token's probability is P(class | context) * P(token | class).  The class
 model is log-linear over hashed features of the context: the previous token,
 the previous two together, and two skip tokens (the second and third before).
-It is trained by distributed gradient updates: every task runs AdaGrad over its
-own documents from the shared weights, the weight changes are averaged by token
-count, and the next round goes on with other documents.
+It is trained by distributed gradient updates: AdaGrad runs over each shard of the
+documents from the shared weights, the weight changes are averaged by token
+count, and the next round goes on with other documents.  Shards are dealt by a
+hash of doc_id and sorted, their number follows from the number of tokens alone,
+and changes are added in the order of the shards: neither partitions nor cores
+show in the weights.
 
 Classes: the end of a text, the ``TOP`` most frequent tokens one by one, the
 other frequent tokens by shape, rare tokens by shape.  A token's shape (is it
@@ -46,7 +49,10 @@ ROWS = 1 << 11     # weight rows a feature
 DISCOUNT = 0.75
 ROUNDS = 2
 RATE = 0.15
+SHARD = 1 << 21    # training tokens a shard at least
+SHARDS = 1 << 12   # shards at most, as each sends its weight changes
 BATCH = 4096
+TOGETHER = 512     # texts of a shard learned from together
 SLICE = 1 << 21    # bytes hashed at once
 END, BOS = np.uint64(0xE4D0E4D0E4D0E400), np.uint64(0xB05B05B05B05B000)
 LOG10 = float(np.log(10))
@@ -205,14 +211,19 @@ class Model:
         rows = [((m * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - 11)).astype(np.int32) + k * ROWS for k, m in enumerate(mixed)]
         return at, cls, rows
 
-    def log_probs(self, w: np.ndarray, rows, part: slice) -> np.ndarray:
+    def exponents(self, w: np.ndarray, rows, part: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(scores of the classes, their exponentials, the sums of these) of some tokens."""
         z = np.take(w, rows[0][part], axis=0)
         for r in rows[1:]:
             z += np.take(w, r[part], axis=0)
         z += self.bias
         z -= z.max(axis=1, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-        return z
+        e = np.exp(z)
+        return z, e, e.sum(axis=1, keepdims=True)
+
+    def log_probs(self, w: np.ndarray, rows, part: slice) -> np.ndarray:
+        z, _, total = self.exponents(w, rows, part)
+        return z - np.log(total)
 
 
 def held_out():
@@ -275,7 +286,8 @@ def count_tokens(docs: DataFrame) -> tuple[DataFrame, Model]:
 
 
 def _train_batch(model: Model, w, g, rows, cls, part: slice) -> None:
-    err = np.exp(model.log_probs(w, rows, part))
+    _, err, total = model.exponents(w, rows, part)
+    err /= total
     err[np.arange(len(err)), cls[part]] -= 1
     for r in rows:
         f = r[part]
@@ -289,35 +301,58 @@ def _train_batch(model: Model, w, g, rows, cls, part: slice) -> None:
 
 
 def _round(docs: DataFrame, model: Model) -> np.ndarray:
-    """Weights after one round: each task's AdaGrad pass over its documents, averaged by tokens."""
+    """Weights after one round: an AdaGrad pass over each shard, the changes averaged by tokens."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     block = 256
 
     def run(batches):
-        from pyspark import TaskContext
         m = shared.value
-        w, g = m.weights.copy(), np.full_like(m.weights, 1e-3)
-        seen = 0
-        for b in batches:
-            for a in range(0, b.num_rows, 1024):
-                seq, offsets = tokens(b.column(0).slice(a, 1024))
-                _, cls, rows = m.prepare(seq, offsets)
-                for s in range(0, len(seq), BATCH):
-                    _train_batch(m, w, g, rows, cls, slice(s, min(len(seq), s + BATCH)))
-                seen += len(seq)
-        if seen:
+        shard, w, g, seen, held = None, None, None, 0, []
+
+        def learn(texts):
+            nonlocal seen
+            seq, offsets = tokens(texts)
+            _, cls, rows = m.prepare(seq, offsets)
+            for s in range(0, len(seq), BATCH):
+                _train_batch(m, w, g, rows, cls, slice(s, min(len(seq), s + BATCH)))
+            seen += len(seq)
+
+        def rest():
+            """The last texts of a shard, then its weight changes."""
+            if held:
+                learn(pa.concat_arrays(held))
             change = ((w - m.weights) * np.float32(seen)).reshape(-1, block * CLASSES)
-            full = np.nonzero(change.any(axis=1))[0].tolist()
-            part = TaskContext.get().partitionId()
-            pay = [(i, change[i]) for i in full] + [(len(change), np.array([seen], np.float32))]
-            yield pa.RecordBatch.from_arrays([pa.array([part] * len(pay), pa.int32()), pa.array([i for i, _ in pay], pa.int32()),
-                                              pa.array([zlib.compress(x.tobytes(), 1) for _, x in pay], pa.binary())], names=["part", "block", "payload"])
-
-    # gradient tasks need not outnumber the cores by much; merging scan partitions moves no data
-    tasks = max(16, 4 * spark.sparkContext.defaultParallelism)
-    parts = docs.select("text").coalesce(tasks).mapInArrow(run, "part int, block int, payload binary")
-    got = {r["block"]: np.frombuffer(zlib.decompress(r["payload"]), np.float32) for r in sum_blocks(parts, "float32").collect()}
+            pay = [(i, change[i]) for i in np.nonzero(change.any(axis=1))[0].tolist()] + [(len(change), np.array([seen], np.float32))]
+            return pa.RecordBatch.from_arrays([pa.array([shard] * len(pay), pa.int32()), pa.array([i for i, _ in pay], pa.int32()),
+                                               pa.array([zlib.compress(x.tobytes(), 1) for _, x in pay], pa.binary())], names=["part", "block", "payload"])
+
+        for b in batches:
+            of = b.column(0).to_numpy()
+            edges = [0, *(np.nonzero(of[1:] != of[:-1])[0] + 1).tolist(), len(of)]
+            for a, z in zip(edges, edges[1:]):
+                if a == z:
+                    continue
+                if of[a] != shard:
+                    if shard is not None:
+                        yield rest()
+                    shard, w, g, seen, held = int(of[a]), m.weights.copy(), np.full_like(m.weights, 1e-3), 0, []
+                # always TOGETHER texts of a shard at once, wherever batches end
+                while a < z:
+                    take = min(z - a, TOGETHER - sum(map(len, held)))
+                    held.append(b.column(1).slice(a, take))
+                    a += take
+                    if sum(map(len, held)) == TOGETHER:
+                        learn(pa.concat_arrays(held))
+                        held = []
+        if shard is not None:
+            yield rest()
+
+    shards = min(SHARDS, max(1, int(model.n / ROUNDS) // SHARD))
+    dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), "doc_id", F.xxhash64("text").alias("th"), "text")
+    parts = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "th").select("shard", "text").mapInArrow(
+        run, "part int, block int, payload binary")
+    got = {r["block"]: np.frombuffer(zlib.decompress(r["payload"]), np.float32) for r in sum_blocks(parts, "float32", ordered=True).collect()}
     w = model.weights.copy().reshape(-1, block * CLASSES)
     seen = got.pop(len(w), np.ones(1, np.float32))[0]
     for i, x in got.items():
@@ -349,9 +384,10 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
                 lp, lu = np.empty(len(seq)), np.empty(len(seq))
                 for s in range(0, len(seq), BATCH):
                     x = slice(s, min(len(seq), s + BATCH))
-                    z = m.log_probs(m.weights, rows, x)
-                    lp[x] = z[np.arange(len(z)), cls[x]]
-                    lu[x] = np.log(np.exp(z[:, first:]) @ m.unseen)
+                    z, e, total = m.exponents(m.weights, rows, x)
+                    total = np.log(total[:, 0])
+                    lp[x] = z[np.arange(len(z)), cls[x]] - total
+                    lu[x] = np.log(e[:, first:] @ m.unseen) - total
                 head = at >= 0
                 inside, base_ = np.where(head, m.inside[at], 0.0) if len(m.head) else 0.0, np.where(head, m.base[at], 0.0) if len(m.head) else np.zeros(len(seq))
                 per = lambda x: np.add.reduceat(x, offsets[:-1])

@@ -117,3 +117,18 @@ def test_model_beats_the_base_on_held_out_texts(spark):
     rows = [r for r in q.QUERIES["op3_maxent_lm"](spark, SF01).collect() if r["held_out"]]
     assert rows and sum(r["score"] for r in rows) > 0.95 * sum(r["base_score"] for r in rows)
     assert sum(r["score"] > r["base_score"] for r in rows) > 0.9 * len(rows)
+
+
+@pytest.mark.parametrize("shard", [1 << 21, 5000])
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch, shard):
+    monkeypatch.setattr(lm, "SHARD", shard)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+
+    def scores(d):
+        counts, model = lm.train(d)
+        return {r["doc_id"]: r["score"] for r in lm.score(d, counts, model).collect()}
+
+    want = scores(docs.coalesce(1))
+    for n in (3, 12):
+        mine = scores(docs.repartition(n))
+        assert mine.keys() == want.keys() and all(abs(mine[k] - v) <= 1e-9 * abs(v) for k, v in want.items())
