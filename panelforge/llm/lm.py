@@ -290,7 +290,7 @@ def _train_batch(model: Model, w, g, rows, cls, part: slice) -> None:
     err /= total
     err[np.arange(len(err)), cls[part]] -= 1
     for r in rows:
-        f = r[part]
+        f = r[part].astype(np.uint16)   # FEATURES * ROWS rows; numpy sorts 16 bits by radix
         order = np.argsort(f, kind="stable")
         f = f[order]
         at = np.nonzero(np.concatenate([[True], f[1:] != f[:-1]]))[0]
@@ -350,7 +350,7 @@ def _round(docs: DataFrame, model: Model) -> np.ndarray:
 
     shards = min(SHARDS, max(1, int(model.n / ROUNDS) // SHARD))
     dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), "doc_id", F.xxhash64("text").alias("th"), "text")
-    parts = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "th").select("shard", "text").mapInArrow(
+    parts = dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "doc_id", "th").select("shard", "text").mapInArrow(
         run, "part int, block int, payload binary")
     got = {r["block"]: np.frombuffer(zlib.decompress(r["payload"]), np.float32) for r in sum_blocks(parts, "float32", ordered=True).collect()}
     w = model.weights.copy().reshape(-1, block * CLASSES)
