@@ -294,7 +294,13 @@ def _train_batch(model: Model, w, g, rows, cls, part: slice) -> None:
         order = np.argsort(f, kind="stable")
         f = f[order]
         at = np.nonzero(np.concatenate([[True], f[1:] != f[:-1]]))[0]
-        grad = np.add.reduceat(err[order], at, axis=0)
+        size = np.diff(np.append(at, len(f)))
+        # most rows come once or twice; only the others are worth a call to reduceat a row
+        grad = err[order[at]]
+        two, more = np.nonzero(size == 2)[0], np.nonzero(size > 2)[0]
+        grad[two] += err[order[at[two] + 1]]
+        if len(more):
+            grad[more] = np.add.reduceat(err[order[np.repeat(size > 2, size)]], np.cumsum(size[more]) - size[more], axis=0)
         u = f[at]
         g[u] += grad * grad
         w[u] -= RATE * grad / np.sqrt(g[u] + 1e-6)
