@@ -62,7 +62,7 @@ def sum_blocks(parts: DataFrame, dtype: str, fan_in: int = 64, ordered: bool = F
 
     schema = "part int, block int, payload binary"
     first = parts.withColumn("part", (F.col("part") / fan_in).cast("int")).groupBy("part", "block").applyInPandas(add, schema)
-    return first.groupBy("block").applyInPandas(add, schema)
+    return (first if ordered else first.withColumn("part", F.lit(0))).groupBy("block").applyInPandas(add, schema)
 
 
 def pack(docs: DataFrame, *named: str) -> tuple[DataFrame, list[Column]]:
