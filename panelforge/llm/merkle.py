@@ -2,17 +2,15 @@
 
 A text is cut without loss into paragraphs (a line with the line ends after it)
 and every paragraph into leaves of at most ``LEAF`` code points, counted from
-the paragraph's start.  A leaf's node is the hash of its characters, a
-paragraph's that of its leaves, a section (``SECTION`` paragraphs in a row)
-that of its paragraphs, the root that of its sections.  So texts with equal roots
-are equal but for a chance of 2^-32 a pair that differs in one leaf (nodes are cut
-before they are hashed again, as in the SQL twin), and the branches that differ
-say which paragraphs were edited.
-
-The fingerprint string is ``root|section:paragraph.leaf.leaf;paragraph...|...``;
-leaves and paragraphs are cut to 8 hex digits, sections to 16, the root is
-whole.  The likeness of two fingerprints is the Dice coefficient of their sets
-of leaves.
+the paragraph's start.  A leaf's node is the SHA-256 of its characters, a
+paragraph's that of its leaves' nodes, a section's (``SECTION`` paragraphs in a row)
+that of its paragraphs', the root that of its sections'.  Nodes are hashed whole, so equal
+roots mean equal texts, and the branches that differ say which paragraphs were edited.
+
+The fingerprint string is ``root|section:paragraph.leaf.leaf;paragraph...|...``.  The
+root is written whole; leaves and paragraphs are written by their first 8 hex digits,
+sections by 16, after their parents were hashed.  The likeness of two fingerprints is
+the Dice coefficient of their sets of leaves as written.
 
 Defined results: a NULL text is the empty text; the empty text has no sections,
 two empty ones are alike by 1.  "Next" is by descending doc_id, rows with equal
@@ -29,12 +27,21 @@ from .common import let
 
 LEAF = 32
 SECTION = 8
+#: Hex digits of a whole node.
+ROOT = 64
 #: Ranges of doc_id a shuffle partition gets; they bound the rows of the small tables below.
 RANGES = 4
 
 
-def _node(kind: str, children: Column, digits: int) -> Column:
-    return F.substring(F.md5(F.concat(F.lit(kind), children).cast("binary")), 1, digits)
+def _node(kind: str, children: Column) -> Column:
+    return F.sha2(F.concat(F.lit(kind), children).cast("binary"), 256)
+
+
+def _parent(kind: str, children: Column, digits: int, mark: str, between: str) -> Column:
+    """(node, shown) of the children's (node, shown): hashed whole, written by the first digits."""
+    nodes = F.array_join(F.transform(children, lambda c: c["node"]), between)
+    shown = F.array_join(F.transform(children, lambda c: c["shown"]), between)
+    return let(_node(kind, nodes), lambda h: F.struct(h.alias("node"), F.concat(F.substring(h, 1, digits), F.lit(mark), shown).alias("shown")))
 
 
 def fingerprint(text: Column) -> Column:
@@ -42,23 +49,27 @@ def fingerprint(text: Column) -> Column:
     t = F.coalesce(text, F.lit(""))
     leaf = f"[^\\n]{{1,{LEAF}}}\\n*|\\n+"
 
+    def leaf_node(x):
+        return let(_node("L", x), lambda h: F.struct(h.alias("node"), F.substring(h, 1, 8).alias("shown")))
+
     def paragraph(p):
-        leaves = F.transform(F.regexp_extract_all(p, F.lit(leaf), F.lit(0)), lambda x: _node("L", x, 8))
-        return let(F.array_join(leaves, "."), lambda s: F.concat(_node("P", s, 8), F.lit("."), s))
+        found = F.transform(F.regexp_extract_all(p, F.lit(leaf), F.lit(0)), leaf_node)
+        return let(found, lambda ls: _parent("P", ls, 8, ".", "."))
 
     def section(ps, i):
         # get(), not slice(): inside a lambda slice() copies the whole array first
-        return let(F.concat_ws(";", *[F.get(ps, i + x) for x in range(SECTION)]), lambda s: F.concat(_node("S", s, 16), F.lit(":"), s))
+        few = F.filter(F.array(*[F.get(ps, i + x) for x in range(SECTION)]), lambda p: p.isNotNull())
+        return let(few, lambda qs: _parent("S", qs, 16, ":", ";"))
 
     paragraphs = F.transform(F.regexp_extract_all(t, F.lit("[^\\n]*\\n+|[^\\n]+"), F.lit(0)), paragraph)
+    none = F.array().cast("array<struct<node:string,shown:string>>")
     sections = let(paragraphs, lambda ps: F.when(F.size(ps) > 0, F.transform(
-        F.sequence(F.lit(0), F.size(ps) - 1, F.lit(SECTION)), lambda i: section(ps, i))).otherwise(F.array().cast("array<string>")))
-    body = F.array_join(sections, "|")
-    return let(body, lambda s: F.concat(_node("R", s, 32), F.lit("|"), s))
+        F.sequence(F.lit(0), F.size(ps) - 1, F.lit(SECTION)), lambda i: section(ps, i))).otherwise(none))
+    return let(sections, lambda ss: _parent("R", ss, ROOT, "|", "|"))["shown"]
 
 
 def root(fp: Column) -> Column:
-    return F.substring(fp, 1, 32)
+    return F.substring(fp, 1, ROOT)
 
 
 def leaves(fp: Column) -> Column:

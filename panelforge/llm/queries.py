@@ -94,13 +94,15 @@ def op9_merkle(spark, sf_dir):
 
 
 def _fingerprint_sql(text: str) -> str:
-    node = lambda kind, x, n: f"substr(md5('{kind}' || {x}), 1, {n})"
-    leaf = rf"list_transform(regexp_extract_all(p, '[^\n]{{1,32}}\n*|\n+'), lambda x: {node('L', 'x', 8)})"
-    par = f"list_transform([array_to_string({leaf}, '.')], lambda s: {node('P', 's', 8)} || '.' || s)[1]"
-    pars = rf"list_transform(regexp_extract_all({text}, '[^\n]*\n+|[^\n]+'), lambda p: {par})"
-    sec = f"list_transform([array_to_string(ps[i:i + 7], ';')], lambda s: {node('S', 's', 16)} || ':' || s)[1]"
-    body = f"list_transform([{pars}], lambda ps: array_to_string(list_transform(range(1, len(ps) + 1, 8), lambda i: {sec}), '|'))"
-    return f"list_transform({body}, lambda s: {node('R', 's', 32)} || '|' || s)[1]"
+    """Every level is a list of {n: whole node, s: as written}; a parent hashes its children's n."""
+    def parent(kind, children, digits, mark, between):
+        part = lambda f: f"array_to_string(list_transform(cs, lambda c: c.{f}), '{between}')"
+        return (f"list_transform(list_transform([{children}], lambda cs: {{'h': sha256('{kind}' || {part('n')}), 't': {part('s')}}}), "
+                f"lambda v: {{'n': v.h, 's': substr(v.h, 1, {digits}) || '{mark}' || v.t}})[1]")
+    leaf = r"list_transform(list_transform(regexp_extract_all(p, '[^\n]{1,32}\n*|\n+'), lambda x: sha256('L' || x)), lambda h: {'n': h, 's': substr(h, 1, 8)})"
+    pars = rf"list_transform(regexp_extract_all({text}, '[^\n]*\n+|[^\n]+'), lambda p: {parent('P', leaf, 8, '.', '.')})"
+    secs = f"list_transform([{pars}], lambda ps: list_transform(range(1, len(ps) + 1, 8), lambda i: {parent('S', 'ps[i:i + 7]', 16, ':', ';')}))[1]"
+    return f"({parent('R', secs, 64, '|', '|')}).s"
 
 
 def _likeness_sql(a: str, b: str) -> str:

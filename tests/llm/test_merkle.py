@@ -1,3 +1,5 @@
+import hashlib
+import itertools
 import re
 
 from helpers import SF, docs_frame, edge_texts, parity, sha
@@ -57,6 +59,43 @@ def test_branches_locate_edits(spark):
     assert [x == y for x, y in zip(sections(r["fa"]), sections(r["fb"]))] == [True, True, False, True, False]
 
 
+def h(kind, x):
+    return hashlib.sha256((kind + x).encode()).hexdigest()
+
+
+def tree(text):
+    """The root by whole nodes, in plain Python."""
+    pars = [[h("L", x) for x in re.findall(r"[^\n]{1,32}\n*|\n+", p)] for p in re.findall(r"[^\n]*\n+|[^\n]+", text or "")]
+    nodes = [h("P", ".".join(ls)) for ls in pars]
+    sections = [h("S", ";".join(nodes[i:i + 8])) for i in range(0, len(nodes), 8)]
+    return h("R", "|".join(sections))
+
+
+def test_roots_by_brute_force(spark):
+    texts = [t for t in edge_texts()]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: r["r"] for r in df.select("i", merkle.root(merkle.fingerprint(F.col("t"))).alias("r")).collect()}
+    assert got == {i: tree(t) for i, t in enumerate(texts)}
+
+
+def test_leaves_alike_in_what_is_written_have_other_roots(spark):
+    seen = {}
+    for n in itertools.count():
+        x = f"leaf {n}"
+        other = seen.setdefault(h("L", x)[:8], x)
+        if other != x:
+            break
+    text = "above\n{}\nbelow"
+    df = spark.createDataFrame([(text.format(x), text.format(other))], "a string, b string")
+    a, b = merkle.fingerprint(F.col("a")), merkle.fingerprint(F.col("b"))
+    # the line end belongs to the leaf, so the pair is compared without one, too
+    r = df.select(merkle.root(a).alias("a"), merkle.root(b).alias("b")).first()
+    assert r["a"] != r["b"]
+    r = spark.createDataFrame([(x, other)], "a string, b string").select(
+        merkle.leaves(a).alias("la"), merkle.leaves(b).alias("lb"), merkle.root(a).alias("a"), merkle.root(b).alias("b")).first()
+    assert r["la"] == r["lb"] and r["a"] != r["b"]
+
+
 def test_likeness_tells_edits_from_strangers(spark):
     from panelforge.llm import queries as q
     got = q.QUERIES["op9_merkle"](spark, SF).filter("n_chars >= 200").collect()
