@@ -33,6 +33,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+from bisect import bisect_left
 from hashlib import blake2b
 
 import pandas as pd
@@ -73,6 +74,7 @@ PATTERNS = [
     ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)")),
 ]
 PERSON = re.compile(rf"\b(?:(?P<title>{'|'.join(sorted(TITLES, key=len, reverse=True))})\.? (?:(?P<given>{_CAP}) )?(?P<last>{_CAP})|(?P<known>{_GIVEN}) (?P<last2>{_CAP}))\b")
+WORD = re.compile(r"\w+")
 
 
 @functools.cache
@@ -212,11 +214,14 @@ def detect(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, type) of the entities of a text, in order, without overlap."""
     if not text:
         return []
+    starts: list[int] = []  # of the finds, sorted; finds don't overlap, so their ends are sorted, too
     found: list[tuple[int, int, str]] = []
 
     def add(a, b, kind):
-        if not any(x < b and a < y for x, y, _ in found):
-            found.append((a, b, kind))
+        k = bisect_left(starts, b)  # the last find that starts before b is the only one that could reach over a
+        if k == 0 or found[k - 1][1] <= a:
+            starts.insert(k, a)
+            found.insert(k, (a, b, kind))
 
     digits = re.search(r"\d", text) is not None
     for kind, pattern in PATTERNS:
@@ -231,9 +236,26 @@ def detect(text: str | None) -> list[tuple[int, int, str]]:
                     add(*m.span(group), kind)
                     if kind == "surname":
                         last.add(m[group])
-        for m in re.finditer(rf"\b(?:{'|'.join(map(re.escape, sorted(last)))})\b", text) if last else ():
-            add(*m.span(), "surname")
-    return sorted(found)
+        for span in _alone(text, last):
+            add(*span, "surname")
+    return found
+
+
+def _alone(text: str, names: set[str]):
+    """The spans of whole words, or of two joined by a hyphen, that are in ``names``: one pass, however many names."""
+    at = -1  # of the word before: its start where it may begin a joined name
+    end = 0
+    for m in WORD.finditer(text) if names else ():
+        a, b = m.span()
+        if at >= 0 and a == end + 1 and text[end] == "-" and text[at:b] in names:
+            yield at, b
+            at = -1
+        elif m[0] in names:
+            yield a, b
+            at = -1
+        else:
+            at = a
+        end = b
 
 
 class Replacer:
