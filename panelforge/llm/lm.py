@@ -14,7 +14,7 @@ show in the weights.
 Classes: the end of a text, the ``TOP`` most frequent tokens one by one, the
 other frequent tokens by shape, rare tokens by shape.  A token's shape (is it
 ASCII, does it end in punctuation, are there digits or signs in it, is it long)
-is kept in the low bits of its 64-bit hash, so the class follows from the hash
+is kept in the low 4 bits of its 64-bit hash, so the class follows from the hash
 and a bounded table of frequent tokens (``HEAD`` rows, the only vocabulary that
 is sent to tasks).  Rare tokens are never sent: their occurrences, one row a
 document and token, meet the token counts in a join.  Of a rare shape class the
@@ -26,7 +26,8 @@ over the same events.
 
 Defined results: a NULL text is the empty text (one end); repeated rows repeat;
 a NULL doc_id is scored but neither trained on nor held out; without training
-tokens every probability is 1; tokens are told apart by 64-bit hashes; further
+tokens every probability is 1; tokens are told apart by 60 bits of hash and their shape (tokens
+of ``LONG`` bytes and more by XXH64, shorter ones by a polynomial of their bytes); further
 columns are ignored; an empty table gives no rows.
 """
 from __future__ import annotations
@@ -35,6 +36,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +56,7 @@ SHARDS = 1 << 12   # shards at most, as each sends its weight changes
 BATCH = 4096
 TOGETHER = 512     # texts of a shard learned from together
 SLICE = 1 << 21    # bytes hashed at once
+LONG = 32          # bytes from which a token is hashed by XXH64
 END, BOS = np.uint64(0xE4D0E4D0E4D0E400), np.uint64(0xB05B05B05B05B000)
 LOG10 = float(np.log(10))
 
@@ -91,6 +94,10 @@ def _hash_run(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     h ^= (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
+    long = np.nonzero(end - start >= LONG)[0]
+    if len(long):  # a polynomial modulo 2 ** 64 gives long words of two letters equal hashes (Thue-Morse words)
+        held = memoryview(low.tobytes())
+        h[long] = [xxhash.xxh64_intdigest(held[a:b]) for a, b in zip(start[long].tolist(), end[long].tolist())]
     count = lambda flags: np.concatenate([[0], np.cumsum(flags, dtype=np.int32)])
     last = low[end - 1]
     punct = ~_letter[last] & ~((last >= 48) & (last <= 57))

@@ -45,6 +45,16 @@ def test_tokens():
     assert len(set(ids.values())) == len(ids)
 
 
+def test_words_on_which_polynomial_hashes_fail():
+    words = []
+    for n in (16, 31, 32, 64, 1024, 4096):
+        word = [bin(i).count("1") % 2 for i in range(n)]  # Thue-Morse
+        words += ["".join("ab"[b] for b in word), "".join("ba"[b] for b in word), "".join("aé"[b] for b in word), "".join("éa"[b] for b in word)]
+    seq, off = lm.tokens(pa.array([" ".join(words), *words]))
+    assert len(set(seq[:off[1] - 1].tolist())) == len(words)
+    assert seq[:off[1] - 1].tolist() == seq[off[1:-1]].tolist()
+
+
 def test_tokens_across_slices(monkeypatch):
     text = " ".join(f"w{i % 97}{'é' * (i % 5)}" for i in range(3000))
     texts = [text, None, text[:777], "", "z" * 900, text]
