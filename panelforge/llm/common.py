@@ -9,11 +9,18 @@ from pyspark.sql import functions as F
 #: A side may be broadcast when it has no more rows than this (rows of at most a few hundred bytes);
 #: a larger one is joined by shuffle.
 BROADCAST_ROWS = 200_000
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if counting proves it small, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+#: The same for the bytes of a side whose rows have no bound of their own.
+BROADCAST_BYTES = 64 << 20
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, *, size: Column | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if counting proves it small, else as it is.  ``size``: the bytes of
+    a row, where rows may be of any length."""
+    some = df.limit(rows + 1)
+    if size is None:
+        return F.broadcast(df) if some.count() <= rows else df
+    n, total = some.agg(F.count("*"), F.sum(size)).first()
+    return F.broadcast(df) if n <= rows and (total or 0) <= BROADCAST_BYTES else df
 
 
 def let(value: Column, body) -> Column:

@@ -9,9 +9,9 @@ items are joined; each joined place is then extended to whole windows, which
 are compared with the items' windows as text, so a hash can add work but never
 a result.
 
-Only places that join leave the scan of the documents.  The benchmark's side of
-each join is broadcast when a count proves it small and is joined by shuffle
-otherwise; there a fingerprint shared by a third of all documents is split by
+Only places that join leave the scan of the documents, which is one for windows of
+all lengths.  The benchmark's side of each join is broadcast when its rows and bytes,
+counted, prove it small and is joined by shuffle otherwise; there a fingerprint shared by a third of all documents is split by
 Spark's skew join.
 
 Defined results: NULL and empty texts have no words and no windows; a NULL
@@ -73,32 +73,41 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return ws.select("item_id", F.least(n, F.lit(window)).alias("length"), F.explode(grams).alias("gram")).distinct()
 
 
-def _fingerprints(spans: DataFrame, length: int) -> DataFrame:
-    """Distinct fingerprints of the item windows of one length."""
-    one = spans.filter(F.col("length") == length).select(F.split("gram", " ").alias("ws"))
-    return one.select(F.explode(winnow(F.col("ws"), length)).alias("m")).select(F.col("m.fp").alias("fp")).distinct()
+def _tagged(ws: Column, length: int) -> Column:
+    """array<(length, start, fp)>: the fingerprints of one length, told apart from those of others."""
+    return F.transform(winnow(ws, length), lambda m: F.struct(
+        F.lit(length).alias("length"), m["start"].alias("start"), m["fp"].bitwiseXOR(F.lit(length * 0x9E3779B97F4A7C1)).alias("fp")))
+
+
+def _fingerprints(spans: DataFrame, lengths: list[int]) -> DataFrame:
+    """Distinct fingerprints of the item windows."""
+    one = spans.select("length", F.split("gram", " ").alias("ws"))
+    own = F.coalesce(*[F.when(F.col("length") == n, _tagged(F.col("ws"), n)) for n in lengths])
+    return one.select(F.explode(own).alias("m")).select("m.fp").distinct()
 
 
 def document_hits(docs: DataFrame, spans: DataFrame, lengths: list[int]) -> DataFrame:
     """(doc_id, text_hash, start, length, gram): every place of a document where an item's window
-    occurs."""
-    found = None
-    grams = small(spans.select("length", "gram").distinct())
+    occurs.  The documents are read and split once, whatever lengths the windows have."""
+    grams = small(spans.select("length", "gram").distinct(), size=F.octet_length("gram"))
     source = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), words(F.col("text")).alias("ws"))
-    for length in lengths:
-        k = (length + 1) // 2
-        span = length - k + 1
-        marks = source.withColumn("m", F.explode(winnow(F.col("ws"), length)))
-        near = F.slice("ws", F.col("m.start") + 1, length + span - 1)
-        places = marks.join(small(_fingerprints(spans, length)), F.col("m.fp") == F.col("fp")).select(
-            "doc_id", "text_hash", F.col("m.start").alias("at"), near.alias("near"))
-        extended = F.transform(F.sequence(F.lit(0), F.size("near") - length), lambda i: F.struct(
-            (F.col("at") + i).alias("start"), _gram(F.col("near"), i, length).alias("gram")))
-        windows = places.select("doc_id", "text_hash", F.explode(extended).alias("x")).select(
-            "doc_id", "text_hash", F.col("x.start").alias("start"), F.lit(length).alias("length"), F.col("x.gram").alias("gram"))
-        hits = windows.join(grams, ["length", "gram"]).select("doc_id", "text_hash", "start", "length", "gram")
-        found = hits if found is None else found.unionByName(hits)
-    return found
+    marks = source.withColumn("m", F.explode(F.concat(*[_tagged(F.col("ws"), n) for n in lengths])))
+    length = F.col("m.length")
+    # a fingerprint stands for at most length / 2 + 1 windows from its start on
+    near = F.slice("ws", F.col("m.start") + 1, length + (length / 2).cast("int"))
+    places = marks.join(small(_fingerprints(spans, lengths)), F.col("m.fp") == F.col("fp")).select(
+        "doc_id", "text_hash", length.alias("length"), F.col("m.start").alias("at"), near.alias("near"))
+    extended = F.transform(F.sequence(F.lit(0), F.size("near") - F.col("length")), lambda i: F.struct(
+        (F.col("at") + i).alias("start"), F.array_join(F.slice("near", i + 1, F.col("length")), " ").alias("gram")))
+    windows = places.select("doc_id", "text_hash", "length", F.explode(extended).alias("x")).select(
+        "doc_id", "text_hash", "x.start", "length", "x.gram")
+    return windows.join(grams, ["length", "gram"]).select("doc_id", "text_hash", "start", "length", "gram")
+
+
+def _windows(items: DataFrame, window: int) -> tuple[DataFrame, list[int]]:
+    """The windows of all items, written once, and their lengths."""
+    spans = stage(item_windows(items.select("item_id", "text"), window), "benchmark-windows")
+    return spans, sorted(r[0] for r in spans.select("length").distinct().collect())  # at most ``window`` numbers
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -106,8 +115,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     base = docs.select("doc_id", "text").select(
         "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
-    spans = item_windows(items.select("item_id", "text"), window)
-    lengths = sorted(r[0] for r in spans.select("length").distinct().collect())  # at most ``window`` numbers
+    spans, lengths = _windows(items, window)
     if not lengths:
         return base.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"),
                            none.alias("item_ids"), F.lit(False).alias("contaminated"))
@@ -122,7 +130,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
         lambda a: a["n"])
     per_doc = stage(per_doc.select("doc_id", "text_hash", covered.cast("long").alias("n_hit"), "grams"), "benchmark-hits")
     owners = spans.filter("item_id IS NOT NULL").select("gram", F.col("item_id").cast("string").alias("item"))
-    listed = (per_doc.select("doc_id", "text_hash", F.explode("grams").alias("gram")).join(small(owners), "gram")
+    listed = (per_doc.select("doc_id", "text_hash", F.explode("grams").alias("gram")).join(small(owners, size=F.octet_length("gram") + F.octet_length("item")), "gram")
               .groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("item")).alias("item_ids")))
     hit = per_doc.select("doc_id", "text_hash", "n_hit")
     hit = hit.join(listed, same_row(hit, listed, "doc_id", "text_hash"), "left").select(
@@ -135,8 +143,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` in which no item's window occurs."""
-    spans = item_windows(items.select("item_id", "text"), window)
-    lengths = sorted(r[0] for r in spans.select("length").distinct().collect())
+    spans, lengths = _windows(items, window)
     if not lengths:
         return docs
     bad = stage(document_hits(docs.select("doc_id", "text"), spans, lengths).select(

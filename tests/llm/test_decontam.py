@@ -33,7 +33,8 @@ def cases():
     docs = list(enumerate(texts)) + [(5, texts[5]), (None, texts[5]), (None, None), (77, "one two three"), (78, "dup dup dup dup")]
     long = WORD.findall(texts[5])
     items = [(1, " ".join(long[3:16])), (2, " ".join(long[30:45])), (2, " ".join(long[30:45])), (10, " ".join(long[30:45]).upper().replace("É", "é")),
-             (11, "two THREE"), (12, "dup " * 10), (13, "dup dup"), (14, None), (15, "!?"), (None, " ".join(long[40:52])), (16, "nowhere " * 12), (17, "three")]
+             (11, "two THREE"), (12, "dup " * 10), (13, "dup dup"), (14, None), (15, "!?"), (None, " ".join(long[40:52])), (16, "nowhere " * 12), (17, "three"),
+             *[(30 + n, " ".join(long[n:2 * n])) for n in range(3, 10)]]
     return docs, items
 
 
@@ -54,6 +55,24 @@ def test_shuffle_joins_give_the_same(spark, monkeypatch):
     assert got == brute(docs, items)
 
 
+def test_long_words_are_not_broadcast(spark):
+    from pyspark.sql import functions as F
+    df = spark.range(300).select(F.repeat(F.lit("w"), 1 << 18).alias("gram"))
+    hinted = lambda x: "ResolvedHint" in x._jdf.queryExecution().analyzed().toString()
+    assert not hinted(common.small(df, size=F.octet_length("gram")))
+    assert hinted(common.small(df.limit(200), size=F.octet_length("gram"))) and hinted(common.small(df))
+
+
+def test_documents_are_read_once(spark, tmp_path):
+    docs, items = cases()
+    docs_frame(spark, docs).write.parquet(str(tmp_path / "docs"))
+    spans, lengths = decontam._windows(items_frame(spark, items), 10)
+    assert lengths == list(range(1, 11))
+    hits = decontam.document_hits(spark.read.parquet(str(tmp_path / "docs")), spans, lengths)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f"{tmp_path}/docs") == 1
+
+
 def test_every_window_has_a_fingerprint(spark):
     # the guarantee of winnowing, on a text of few words with many equal hashes
     from pyspark.sql import functions as F
