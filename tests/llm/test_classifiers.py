@@ -1,5 +1,6 @@
 import math
 import random
+import zlib
 
 import numpy as np
 from helpers import SF01, SF1, docs_frame, edge_texts
@@ -120,3 +121,85 @@ def test_toxicity_finds_rare_words(spark):
     assert tested
     for i in tested:
         assert out[500 + i]["evidence"] == [400 + i] and out[500 + i]["predicted"] == int(i < 10)
+
+
+def brute_table(texts):
+    """Word vectors by plain loops over places: what ``quality`` sums in numpy blocks."""
+    places, signs = quality.index_vectors()
+    sums = {}
+
+    def add(word, context):
+        v = sums.setdefault(word, [0.0] * quality.DIMS)
+        for p, s in zip(places[context].tolist(), signs[context].tolist()):
+            v[p] += s
+
+    for t in texts:
+        ws = quality.WORD.findall(t or "")
+        ids = [2 + zlib.crc32(w.lower().encode()) % (quality.BUCKETS - 2) for w in ws]
+        for i, a in enumerate(ids):
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(ids):
+                    add(a, ids[j])
+            if len(ws[i]) > 1 and ws[i].isupper():
+                add(quality.UPPER, a)
+            if i and ids[i - 1] == a:
+                add(quality.REPEAT, a)
+    out = {}
+    for w, v in sums.items():
+        n = math.sqrt(sum(x * x for x in v))
+        out[w] = [x / max(n, 1e-9) for x in v]
+    for w in range(quality.BUCKETS):
+        v = out.setdefault(w, [0.0] * quality.DIMS)
+        for p, s in zip(places[w].tolist(), signs[w].tolist()):
+            v[p] += s
+    return out
+
+
+def brute_score(text, table, network):
+    ws = quality.WORD.findall(text or "")
+    ids = [2 + zlib.crc32(w.lower().encode()) % (quality.BUCKETS - 2) for w in ws]
+    held = ids + [quality.UPPER] * sum(len(w) > 1 and w.isupper() for w in ws) + [quality.REPEAT] * sum(a == b for a, b in zip(ids, ids[1:]))
+    x = [0.0] * (2 * quality.DIMS + 1)
+    for w in held:
+        for k, v in enumerate(table[w]):
+            x[k] += v / len(ids)
+            x[quality.DIMS + k] += v * v / len(ids)
+    x[-1] = math.log(1 + len(ids))
+    z = [(a - m) / s for a, m, s in zip(x, network.mean, network.scale)]
+    first, bias, second, last = network.w
+    hidden = [math.tanh(sum(z[i] * first[i][j] for i in range(len(z))) + bias[j]) for j in range(quality.HIDDEN)]
+    return 1 / (1 + math.exp(-(sum(h * w for h, w in zip(hidden, second)) + last[0]) / network.temperature))
+
+
+def test_quality_by_brute_force(spark):
+    """Word table and scores over whole edge texts against plain loops."""
+    rows, df, labels = frame(spark)
+    table = brute_table([t for _, t in rows])
+    got = quality.word_vectors(df)
+    assert np.allclose(got, [table[w] for w in range(quality.BUCKETS)], atol=1e-5)
+    model = quality.fit(df, labels)
+    found = quality.classify(df.select("doc_id", "text"), model).collect()
+    seen = {}
+    for r in found:
+        if r["text"] not in seen:
+            seen[r["text"]] = brute_score(r["text"], table, model[1])
+        assert abs(r["score"] - seen[r["text"]]) < 1e-3 and r["predicted"] == int(r["score"] >= quality.THRESHOLD)
+    assert len(found) == len(rows) and len(seen) > 100
+
+
+def test_quality_with_far_more_words_than_rows(spark):
+    """20 words a row of the word table: most of every text is words of one document, which all share rows."""
+    rng = random.Random(1)
+    words = 20 * quality.BUCKETS
+    kinds = [[f"telling{k}x{i}" for i in range(100)] for k in range(2)]
+    rows = []
+    for i in range(3000):
+        own = [f"w{(i * 110 + j) % words}" for j in range(110)] + rng.choices(kinds[i % 2], k=30)
+        rng.shuffle(own)
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3000)], "doc_id bigint, quality int")
+    got = [r for r in quality.digest(quality.classify(df, quality.fit(df, labels))).collect() if r["held_out"]]
+    area = auc([r["doc_id"] % 2 for r in got], [r["score"] for r in got])
+    print("AUC", area)
+    assert len(got) > 400 and area > 0.95
