@@ -13,7 +13,8 @@ formatted string, one per assistant text, without markers.
 Defined results: rows are ordered by turn (NULL first); rows that tie on the
 turn by role, then content, and repeated rows are all kept; a NULL text is the
 empty text, a NULL role the empty role; NULL part lists and NULL parts are
-skipped; rows with a NULL conv_id form one conversation; an empty table gives
+skipped; a part without type is text, one of a type not named above gets a document's
+placeholder and its attachment keeps the type; rows with a NULL conv_id form one conversation; an empty table gives
 no rows.  Columns other than the ones named are ignored.
 
 A conversation is formatted as a whole because the result is one string, so one
@@ -31,12 +32,13 @@ from pyspark.sql import functions as F
 OPEN, CLOSE, BACK = "<", "[", "\\"
 TURN, BODY, END = "<s>", "[INST]", "</s>"
 MEDIA = {"image": 576, "audio": 750, "document": 1024}  # tokens a part expands to unless it states its own
+OTHER = "document"  # the placeholder of parts of any other type
 
 _ESCAPE = re.compile(r"[\\<\[]")
 _UNESCAPE = re.compile(r"\\(.)", re.S)
 
 PART = "struct<type:string,text:string,ref:string,tokens:bigint>"
-FORMATTED = ("conv_id bigint, formatted string, n_turns bigint, "
+FORMATTED = ("conv_id string, formatted string, n_turns bigint, "
              "loss_spans array<struct<start:bigint,end:bigint>>, "
              "attachments array<struct<turn:bigint,position:bigint,type:string,ref:string,tokens:bigint>>, "
              "expanded_tokens bigint")
@@ -69,7 +71,8 @@ class Flatten:
         self.write(TURN + escape(role) + BODY)
         for p in () if parts is None else parts:
             if p is not None:
-                getattr(self, "visit_" + (p["type"] or "text"), self.visit_unknown)(p, role)
+                visit = self.visit_text if p["type"] in (None, "", "text") else self.visit_media
+                visit(p, role)
         self.write(END)
         self.turn += 1
 
@@ -80,17 +83,12 @@ class Flatten:
             self.loss.append({"start": start, "end": self.at})
 
     def visit_media(self, part, role) -> None:
-        kind = part["type"]
+        kind = part["type"] if part["type"] in MEDIA else OTHER
         self.counts[kind] += 1
         tokens = MEDIA[kind] if part["tokens"] is None else part["tokens"]
-        self.attachments.append({"turn": self.turn, "position": self.at, "type": kind, "ref": part["ref"], "tokens": tokens})
+        self.attachments.append({"turn": self.turn, "position": self.at, "type": part["type"], "ref": part["ref"], "tokens": tokens})
         self.write(f"{OPEN}{kind}:{self.counts[kind]}>")
 
-    visit_image = visit_audio = visit_document = visit_media
-
-    def visit_unknown(self, part, role) -> None:
-        raise ValueError(f"unknown part type {part['type']!r}")
-
 
 # An escaped character is one step, so control strings match only where the template wrote them.
 _TURN = re.compile(r"<s>((?:[^\\<\[]|\\.)*)\[INST\]((?:[^\\<\[]|\\.|<(?:image|audio|document):[0-9]+>)*+)</s>", re.S)
@@ -115,7 +113,9 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 def format_conversations(convs: DataFrame, parts_col: str = "parts") -> DataFrame:
     """One row a conversation from rows (conv_id, turn, role, parts): the formatted string, loss
     spans, attachment references and their token count."""
-    turns = convs.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct(
+    # ids of any type travel as strings, so that none is rounded beside a NULL
+    kind = convs.schema["conv_id"].dataType
+    turns = convs.groupBy(F.col("conv_id").cast("string").alias("conv_id")).agg(F.sort_array(F.collect_list(F.struct(
         F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.col(parts_col).alias("parts")))).alias("turns"))
 
     def run(frames):
@@ -127,11 +127,9 @@ def format_conversations(convs: DataFrame, parts_col: str = "parts") -> DataFram
                 for t in ts:
                     v.visit_turn(t["role"], t["parts"])
                 rows.append((conv, "".join(v.out), v.turn, v.loss, v.attachments, sum(a["tokens"] for a in v.attachments)))
-            out = pd.DataFrame(rows, columns=["conv_id", "formatted", "n_turns", "loss_spans", "attachments", "expanded_tokens"])
-            out["conv_id"] = out["conv_id"].astype("Int64")
-            yield out
+            yield pd.DataFrame(rows, columns=["conv_id", "formatted", "n_turns", "loss_spans", "attachments", "expanded_tokens"])
 
-    return turns.mapInPandas(run, FORMATTED)
+    return turns.mapInPandas(run, FORMATTED).withColumn("conv_id", F.col("conv_id").cast(kind))
 
 
 def text_parts(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -154,9 +152,9 @@ def read_back(formatted: DataFrame) -> DataFrame:
                 for role, text in turns:
                     said.update(f"{role}\n{text}\n".encode())
                 rows.append((conv, len(turns), said.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(s)))
-            out = pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-            out["conv_id"] = out["conv_id"].astype("Int64")
-            yield out
+            yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return formatted.select("conv_id", "formatted", "loss_spans").mapInPandas(
-        run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    kind = formatted.schema["conv_id"].dataType
+    return formatted.select(F.col("conv_id").cast("string").alias("conv_id"), "formatted", "loss_spans").mapInPandas(
+        run, "conv_id string, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint").withColumn(
+        "conv_id", F.col("conv_id").cast(kind))

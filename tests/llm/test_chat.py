@@ -49,5 +49,24 @@ def test_typed_parts(spark):
     assert chat.parse(r["formatted"]) == [("user", "see <end"), ("assistant", "")]
 
 
+def test_other_part_types(spark):
+    part = lambda kind, tokens=None: {"type": kind, "text": "t", "ref": "r", "tokens": tokens}
+    df = spark.createDataFrame([(1, 0, "user", [part("video", 9), part("document"), part("turn"), part("")])],
+                               f"conv_id bigint, turn bigint, role string, parts array<{chat.PART}>")
+    r = chat.format_conversations(df).first()
+    assert r["formatted"] == "<s>user[INST]<document:1><document:2><document:3>t</s>"
+    assert [(a["type"], a["tokens"]) for a in r["attachments"]] == [("video", 9), ("document", 1024), ("turn", 1024)]
+    assert chat.parse(r["formatted"]) == [("user", "t")]
+
+
+def test_ids_of_any_type(spark):
+    rows = [("a", 0, "user", "x"), (None, 0, "user", "y"), ("", 1, "assistant", "z")]
+    df = spark.createDataFrame(rows, "conv_id string, turn bigint, role string, text string")
+    back = chat.read_back(chat.format_conversations(chat.text_parts(df))).collect()
+    assert sorted((str(r["conv_id"]), r["turns_sha256"]) for r in back) == sorted((str(c), sha(f"{o}\n{t}\n")) for c, _, o, t in rows)
+    big = (1 << 60) + 1
+    assert {r["conv_id"] for r in fmt(spark, [(big, 0, "user", "x"), (None, 0, "user", "y")]).collect()} == {big, None}
+
+
 def test_sql(spark):
     parity(spark, "op6_chat_format", SF)
