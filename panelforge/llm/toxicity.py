@@ -46,6 +46,7 @@ BLOCK = 64
 PROBES = 4       # blocks scored before the others' bounds are looked at
 COMMON = 1024    # words with dense rows at most
 SLICE = 256      # texts scored together
+GATHER = 1 << 19  # entries of posting lists in memory together, beyond those of one text
 K = 16
 PRIOR = 0.5      # votes that the share of label 1 has
 
@@ -177,6 +178,22 @@ class BlockMaxIndex:
             self._dense = rows, np.maximum.reduceat(rows, np.arange(0, self.n, BLOCK), axis=1) if self.n else rows
         return self._dense
 
+    def _rare(self, doc: np.ndarray, terms: np.ndarray, values: np.ndarray, queries: int) -> np.ndarray:
+        """(queries x examples) what the words without dense rows add, some queries at a time, so that the
+        entries of their lists don't lie in memory all at once."""
+        part = np.empty((queries, self.n))
+        cuts = np.searchsorted(doc, np.arange(queries + 1))
+        entries = np.concatenate([[0], np.cumsum(self.words.start[terms + 1] - self.words.start[terms])])[cuts]
+        a = 0
+        while a < queries:
+            z = max(a + 1, int(np.searchsorted(entries, entries[a] + GATHER, "right")) - 1)
+            x = slice(cuts[a], cuts[z])
+            word, at = self.words.gather(terms[x])
+            part[a:z] = np.bincount((doc[x][word] - a) * self.n + self.words.places[at], self.words.weights[at] * values[x][word],
+                                    (z - a) * self.n).reshape(z - a, self.n)
+            a = z
+        return part
+
     def nearest_of(self, doc: np.ndarray, terms: np.ndarray, values: np.ndarray, queries: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """By query the (cosines, examples) of its k nearest with a cosine over 0, best first, ties by example.
         ``doc``, ``terms``, ``values``: the queries' vectors, by query."""
@@ -186,9 +203,7 @@ class BlockMaxIndex:
         place = self.place[terms]
         dense = np.zeros((queries, len(rows)))
         dense[doc[place >= 0], place[place >= 0]] = values[place >= 0]
-        rare, at = self.words.gather(terms[place < 0])
-        part = np.bincount(doc[place < 0][rare] * self.n + self.words.places[at], self.words.weights[at] * values[place < 0][rare],
-                           queries * self.n).reshape(queries, self.n)
+        part = self._rare(doc[place < 0], terms[place < 0], values[place < 0], queries)
         bounds = dense @ most + np.maximum.reduceat(part, np.arange(0, self.n, BLOCK), axis=1) + 1e-12
         scores = np.full((queries, self.n), -1.0)
 
