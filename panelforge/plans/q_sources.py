@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..functions.prefix import join_groups
+from ..session import cut_lineage, scratch_path
 from ..sources import files as IO
 from . import fixtures as fx
 from .q_panel import oracle, rnd
@@ -94,7 +95,10 @@ def q_scan_run_records(spark, sf):
 
 
 def _tracking(spark, sf):
-    r = fx.runs(spark, sf)
+    """The newest run of each experiment logs to a tree of its own files, the others' logs are packed."""
+    from ..operators.runs import latest_run
+    r = cut_lineage(fx.runs(spark, sf), "runs")
+    newest = latest_run(r).select("experiment", "run_id", F.lit(True).alias("newest"))
     ms = F.unix_millis(F.col("start_time").cast("timestamp"))
     metrics = r.select("experiment", "run_id", F.lit("metrics").alias("kind"),
                        F.concat(F.col("task"), F.lit("_roc_auc")).alias("key"),
@@ -102,7 +106,9 @@ def _tracking(spark, sf):
     params = r.select("experiment", "run_id", F.lit("params").alias("kind"), F.lit("dropout").alias("key"),
                       F.col("dropout").cast("string").alias("value")).distinct()
     root = scratch_path(spark, "tracking")
-    metrics.unionByName(params).write.partitionBy("experiment", "run_id", "kind", "key").text(root)
+    logs = cut_lineage(join_groups(metrics.unionByName(params), newest, ["experiment", "run_id"], "left"), "logs")
+    logs.filter("newest").drop("newest").write.partitionBy("experiment", "run_id", "kind", "key").text(root)
+    IO.pack_tracking(logs.filter("newest IS NULL"), root)
     return IO.read_tracking(spark, root)
 
 

@@ -106,18 +106,27 @@ def read_feature_list(spark: SparkSession, path: str) -> DataFrame:
 # (experiment=../run_id=../kind=../key=../part-*) written by partitionBy.
 TRACKING_PATH = (r"(?:[^/=]+=)?([^/]+)/(?:[^/=]+=)?([^/]+)/(?:kind=)?(metrics|params)/"
                  r"(?:key=)?([^/]+?)(?:/part-[^/]*)?$")
+TRACKING_NAMES = ["experiment", "run_id", "kind", "key"]
+# folder of packed logs: lines of many logs in few files, each with the path of its log
+PACKED = "packed-logs"
+PACKED_LINE = "log string, line string"
 
 
 def read_tracking(spark: SparkSession, root: str) -> DataFrame:
     """File-per-metric tracking tree to a tidy table.
 
     Layout ``<experiment>/<run>/metrics/<key>`` with lines ``ts value step``
-    and ``<experiment>/<run>/params/<key>`` holding the value.  Output:
+    and ``<experiment>/<run>/params/<key>`` holding the value; logs that were
+    packed (``pack_tracking``) are read from their folder alike.  Output:
     (experiment, run_id, kind, key, ts, value, step, text).  Parts of a metric
     line that are missing or don't parse are NULL.
     """
     raw = (spark.read.option("recursiveFileLookup", "true").text(root)
            .select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("path")))
+    packed = F.col("path").rlike(f"/{PACKED}/part-[^/]*$")
+    raw = raw.withColumn("said", F.when(packed, F.from_json("line", PACKED_LINE))).select(
+        F.when(packed, F.col("said.line")).otherwise(F.col("line")).alias("line"),
+        F.when(packed, F.col("said.log")).otherwise(F.col("path")).alias("path"))
     parts = [F.regexp_extract("path", TRACKING_PATH, i) for i in range(1, 5)]
     tok = F.split(F.trim("line"), r"\s+")
     is_metric = parts[2] == "metrics"
@@ -131,6 +140,17 @@ def read_tracking(spark: SparkSession, root: str) -> DataFrame:
             .filter(F.col("kind") != ""))
 
 
+def pack_tracking(logs: DataFrame, root: str) -> str:
+    """Append the lines of ``logs`` (experiment, run_id, kind, key, value) to the packed logs of ``root``: a file
+    a task, however many runs and keys there are.  A NULL or empty name is written as in the tree."""
+    names = [F.when(F.col(c) != "", F.replace(F.col(c), F.lit("/"), F.lit("%2F"))).otherwise("__HIVE_DEFAULT_PARTITION__")
+             for c in TRACKING_NAMES]
+    path = F.concat_ws("/", *[F.concat(F.lit(f"{c}="), n) for c, n in zip(TRACKING_NAMES, names)])
+    lines = logs.select(path.alias("log"), F.explode(F.split("value", "\r\n|\r|\n")).alias("line"))
+    lines.select(F.to_json(F.struct("log", "line"))).write.mode("append").text(f"{root}/{PACKED}")
+    return root
+
+
 def tracking_runs(tidy: DataFrame, metric_keys: list[str] | None = None) -> DataFrame:
     """One row per run: last logged value of each metric as a column."""
     metrics = (tidy.filter(F.col("kind") == "metrics")

@@ -1,4 +1,6 @@
 """Model jobs (E1-E8), SMOTE neighbours, sources."""
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -293,6 +295,42 @@ def test_malformed_metric_lines(spark):
     assert got == sorted([(0.5, 1), (None, None), (None, 2)], key=str)
 
 
+def test_packed_logs_read_as_the_tree_does(spark):
+    logs = spark.createDataFrame([("e", "r", "metrics", "auc", "1000 0.5 1\n2000 0.6 2"), ("e", "r", "metrics", "f2", "oops"), (None, "s", "params", "", "0.1"),
+                                  ("e", "s", "params", "note", ""), ("e", "s", "params", "none", None), ("e", "s", "other", "k", "1")],
+                                 "experiment string, run_id string, kind string, key string, value string")
+    tree, packed = scratch_path(spark, "tree"), scratch_path(spark, "packed")
+    logs.write.partitionBy("experiment", "run_id", "kind", "key").text(tree)
+    IO.pack_tracking(logs, packed)
+    want = sorted(map(str, IO.read_tracking(spark, tree).collect()))
+    assert len(want) == 4 and sorted(map(str, IO.read_tracking(spark, packed).collect())) == want
+    IO.pack_tracking(logs, tree)
+    assert sorted(map(str, IO.read_tracking(spark, tree).collect())) == sorted(want * 2)
+
+
+def some_events(spark, users):
+    """A folder with the events of so many users, two kinds each."""
+    sf = scratch_path(spark, "events")
+    spark.range(2 * users).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1600000000) + F.col("id")).alias("ts"), F.floor(F.col("id") / 2).alias("user_id"),
+        F.when(F.col("id") % 2 == 0, "view").otherwise("click").alias("event_type"), ((F.col("id") % 50) / 100).alias("value")).write.parquet(f"{sf}/events.parquet")
+    return sf
+
+
+@pytest.mark.parametrize("name,rows", [("scan_tracking", 3), ("tracking_runs", 1)])
+def test_files_of_runs_do_not_grow_with_the_runs(spark, monkeypatch, name, rows):
+    from panelforge.plans import q_sources
+    from panelforge.plans.registry import load_all
+    made = []
+    monkeypatch.setattr(q_sources, "scratch_path", lambda s, n: made.append(scratch_path(s, n)) or made[-1])
+    for users in (30, 300):
+        out = load_all()[name][0](spark, some_events(spark, users))
+        got = out.collect()
+        assert len(got) == rows * users and len({r[0] if name == "scan_run_records" else r.run_id for r in got}) == users
+    files = [sum(n.startswith("part-") for r in (root, f"{root}-lines") for _, _, names in os.walk(r.removeprefix("file:")) for n in names) for root in made]
+    assert len(files) == 2 and files[1] <= files[0] + 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_wide_schema(spark):
     """800 concepts through reshape and missingness, 200 through the quality report."""
     from panelforge.operators.quality import missingness, quality_report
