@@ -317,7 +317,7 @@ def some_events(spark, users):
     return sf
 
 
-@pytest.mark.parametrize("name,rows", [("scan_tracking", 3), ("tracking_runs", 1)])
+@pytest.mark.parametrize("name,rows", [("scan_tracking", 3), ("tracking_runs", 1), ("scan_run_records", 1)])
 def test_files_of_runs_do_not_grow_with_the_runs(spark, monkeypatch, name, rows):
     from panelforge.plans import q_sources
     from panelforge.plans.registry import load_all
