@@ -232,6 +232,18 @@ def test_neighbours_of_a_skewed_group(spark):
     check_neighbours(spark, x, group, flag, flag, 5)
 
 
+def test_queries_are_sent_to_tiles_in_bounded_batches(spark, monkeypatch):
+    x = np.random.default_rng(3).normal(size=(6000, 16))
+    every = np.ones(6000, bool)
+    pool = cut_lineage(pool_of(spark, x, np.array(["=t"] * 6000), every, every))
+    made, plain = [], type(pool).mapInArrow
+    monkeypatch.setattr(type(pool), "mapInArrow", lambda df, f, *a: made.append((df, f)) or plain(df, f, *a))
+    exact_neighbours(pool, 5, block=100)
+    first, visits = made[1]      # after dealing rows to cells
+    sent = [b.num_rows for b in visits(first.toArrow().combine_chunks().to_batches())]
+    assert max(sent) <= 4096 and sum(sent) <= 6000 * 4      # four tiles of 16 blocks
+
+
 @pytest.mark.parametrize("over", [smote, adasyn])
 def test_synthetic_totals_and_range(spark, over):
     df, cols, x = clouds(spark, 400)
